@@ -324,18 +324,30 @@ def marts_sql(select: str, extra: str = "") -> str:
     return with_log(f"with {SQL_FACTS},{SQL_MARTS}{more}\n{select}")
 
 
+def _payments(spark, sf):
+    return facts.fct_payment_attempts(event_log(spark, sf, PAY))
+
+
+# Hourly inputs by name; each reads only its own event types.
+HOURLY = {
+    "orders": lambda spark, sf: marts.orders_hourly(
+        facts.fct_orders(event_log(spark, sf, ("order_created",)))
+    ),
+    "revenue": lambda spark, sf: marts.mart_revenue_hourly(
+        facts.fct_payment_attempts(event_log(spark, sf, ("payment_processed",)))
+    ),
+    "payments": lambda spark, sf: marts.mart_payment_health_hourly(_payments(spark, sf)),
+    "shipments": lambda spark, sf: marts.mart_shipment_health_hourly(
+        facts.shipment_cohorts(event_log(spark, sf, SHIP))
+    ),
+    "refunds": lambda spark, sf: marts.mart_refunds_hourly(
+        facts.fct_refund_requests(event_log(spark, sf, ("refund_requested",)))
+    ),
+}
+
+
 def hourly_inputs(spark, sf):
-    """(orders, revenue, payments, shipments, refunds) by hour, each from its own types."""
-    payments = facts.fct_payment_attempts(event_log(spark, sf, PAY))
-    return (
-        marts.orders_hourly(facts.fct_orders(event_log(spark, sf, ("order_created",)))),
-        marts.mart_revenue_hourly(payments),
-        marts.mart_payment_health_hourly(payments),
-        marts.mart_shipment_health_hourly(facts.shipment_cohorts(event_log(spark, sf, SHIP))),
-        marts.mart_refunds_hourly(
-            facts.fct_refund_requests(event_log(spark, sf, ("refund_requested",)))
-        ),
-    )
+    return [build(spark, sf) for build in HOURLY.values()]
 
 
 def operations_mart(spark, sf):
@@ -344,27 +356,27 @@ def operations_mart(spark, sf):
 
 @query("mart_revenue_hourly_b", marts_sql("select * from revenue"))
 def _(spark, sf):
-    return hourly_inputs(spark, sf)[1]
+    return HOURLY["revenue"](spark, sf)
 
 
 @query("mart_payment_health_hourly", marts_sql("select * from payments"))
 def _(spark, sf):
-    return hourly_inputs(spark, sf)[2]
+    return HOURLY["payments"](spark, sf)
 
 
 @query("mart_shipment_health_hourly", marts_sql("select * from shipments"))
 def _(spark, sf):
-    return hourly_inputs(spark, sf)[3]
+    return HOURLY["shipments"](spark, sf)
 
 
 @query("mart_refunds_hourly_b", marts_sql("select * from refunds"))
 def _(spark, sf):
-    return hourly_inputs(spark, sf)[4]
+    return HOURLY["refunds"](spark, sf)
 
 
 @query("orders_hourly", marts_sql("select * from hourly_orders"))
 def _(spark, sf):
-    return hourly_inputs(spark, sf)[0]
+    return HOURLY["orders"](spark, sf)
 
 
 @query("operations_grain", marts_sql("select * from grain"))
@@ -422,25 +434,34 @@ def a_sql(select: str) -> str:
     return with_log(f"with {_SQL_A}\n{select}", "p")
 
 
-def processed_marts(spark, sf):
-    every = staging.stg_processed_events(processed_log(spark, sf))
-    payments = facts.fct_payment_attempts_a(processed_log(spark, sf, PAY))
+def _stg_a(spark, sf):
+    return staging.stg_processed_events(processed_log(spark, sf))
+
+
+def _quality_a(spark, sf):
     # Orders with k mod 50 = 3 count as unknown, so the quality mart has orphans to find.
     known = processed_log(spark, sf, ("order_created",)).filter(
-        F.expr("cast(substring(order_id, 7) as bigint) % 50 <> 3")
+        "cast(substring(order_id, 7) as bigint) % 50 <> 3"
     )
-    return {
-        "revenue": marts.mart_revenue_hourly_a(payments),
-        "payments": marts.mart_payment_failure_hourly_a(payments),
-        "shipments": marts.mart_shipment_performance_hourly_a(
-            facts.fct_shipments_a(processed_log(spark, sf, SHIP))
-        ),
-        "refunds": marts.mart_refunds_hourly_a(
-            facts.fct_refund_requests_a(processed_log(spark, sf, ("refund_requested",)))
-        ),
-        "operations": marts.mart_operational_health_hourly_a(every),
-        "quality": marts.mart_data_quality_hourly_a(every, facts.fct_orders_a(known)),
-    }
+    return marts.mart_data_quality_hourly_a(_stg_a(spark, sf), facts.fct_orders_a(known))
+
+
+PROCESSED = {
+    "revenue": lambda spark, sf: marts.mart_revenue_hourly_a(
+        facts.fct_payment_attempts_a(processed_log(spark, sf, ("payment_processed",)))
+    ),
+    "payments": lambda spark, sf: marts.mart_payment_failure_hourly_a(
+        facts.fct_payment_attempts_a(processed_log(spark, sf, PAY))
+    ),
+    "shipments": lambda spark, sf: marts.mart_shipment_performance_hourly_a(
+        facts.fct_shipments_a(processed_log(spark, sf, SHIP))
+    ),
+    "refunds": lambda spark, sf: marts.mart_refunds_hourly_a(
+        facts.fct_refund_requests_a(processed_log(spark, sf, ("refund_requested",)))
+    ),
+    "operations": lambda spark, sf: marts.mart_operational_health_hourly_a(_stg_a(spark, sf)),
+    "quality": _quality_a,
+}
 
 
 @query(
@@ -452,19 +473,19 @@ def processed_marts(spark, sf):
     ),
 )
 def _(spark, sf):
-    mart = processed_marts(spark, sf)["revenue"]
+    mart = PROCESSED["revenue"](spark, sf)
     average = F.round(F.col("average_successful_payment").cast("double"), 2)
     return mart.withColumn("average_successful_payment", average)
 
 
 @query("mart_payment_failure_hourly_a", a_sql("select * from pay_a"))
 def _(spark, sf):
-    return processed_marts(spark, sf)["payments"]
+    return PROCESSED["payments"](spark, sf)
 
 
 @query("mart_shipment_performance_hourly_a", a_sql("select * from ship_a"))
 def _(spark, sf):
-    return processed_marts(spark, sf)["shipments"]
+    return PROCESSED["shipments"](spark, sf)
 
 
 @query(
@@ -475,7 +496,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return processed_marts(spark, sf)["refunds"]
+    return PROCESSED["refunds"](spark, sf)
 
 
 @query(
@@ -486,14 +507,14 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    mart = processed_marts(spark, sf)["operations"]
+    mart = PROCESSED["operations"](spark, sf)
     latency = F.round("average_processing_latency_ms", 6)
     return mart.withColumn("average_processing_latency_ms", latency)
 
 
 @query("mart_data_quality_hourly", a_sql("select * from dq_a"))
 def _(spark, sf):
-    return processed_marts(spark, sf)["quality"]
+    return PROCESSED["quality"](spark, sf)
 
 
 # ---- overview rollups -----------------------------------------------------------------
@@ -529,7 +550,7 @@ def _overview(name: str):
     @query(f"overview_{name}", a_sql(_OVERVIEW[name]))
     def _(spark, sf):
         rolled = overview.ROLLUPS[name](
-            processed_marts(spark, sf)[name], F.lit(f"{NOW}Z").cast("timestamp"), HOURS
+            PROCESSED[name](spark, sf), F.lit(f"{NOW}Z").cast("timestamp"), HOURS
         )
         if name == "operations":
             latency = F.round("average_processing_latency_ms", 6)
@@ -553,7 +574,7 @@ for _name in _OVERVIEW:
 )
 def _(spark, sf):
     return overview.freshness(
-        processed_marts(spark, sf)["operations"], F.lit(f"{NOW}Z").cast("timestamp")
+        PROCESSED["operations"](spark, sf), F.lit(f"{NOW}Z").cast("timestamp")
     )
 
 
@@ -569,7 +590,9 @@ def _(spark, sf):
     ).replace("sum(revenue_amount)", "sum(revenue_amount::decimal(24,2))::double"),
 )
 def _(spark, sf):
-    _, revenue, payments, shipments, _ = hourly_inputs(spark, sf)
+    revenue, payments, shipments = (
+        HOURLY[name](spark, sf) for name in ("revenue", "payments", "shipments")
+    )
     cohorts = overview.with_cohort_maturity(
         shipments, "shipment_creation_hour_utc", F.lit(f"{NOW}Z").cast("timestamp")
     )
@@ -585,7 +608,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    shipments = hourly_inputs(spark, sf)[3]
+    shipments = HOURLY["shipments"](spark, sf)
     return overview.with_cohort_maturity(
         shipments, "shipment_creation_hour_utc", F.lit(f"{NOW}Z").cast("timestamp")
     ).select("shipment_creation_hour_utc", "region_code", "delayed_shipment_rate", "cohort_mature")

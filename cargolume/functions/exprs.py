@@ -84,3 +84,13 @@ def rate(numerator: Column, denominator: Column) -> Column:
 
 def one_of(c: Column | str, values: Iterable[str]) -> Column:
     return col(c).isin(*values)
+
+
+def computed_once(c: Column) -> Column:
+    """The same value, marked so that the optimizer neither duplicates nor relocates it.
+
+    A filter on a costly derived column is otherwise pushed below the projection and its
+    whole expression tree is evaluated again, once per reference. A projection holding a
+    non-deterministic expression stays where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolume import contract as c
+from cargolume.functions.exprs import computed_once
 
 _ISO_OFFSET = (
     r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}:?\d{2})$"
@@ -118,7 +119,7 @@ def validate_events(raw: DataFrame) -> DataFrame:
         *[F.lit(x) for pair in c.REJECTION_DETAIL.items() for x in pair]
     )
     return (
-        staged.withColumn("error_code", F.get(verdict, 0))
+        staged.withColumn("error_code", computed_once(F.get(verdict, 0)))
         .select(
             *raw.columns,
             F.struct(

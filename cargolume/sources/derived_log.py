@@ -1,7 +1,7 @@
 """Commerce event log derived from the order tables.
 
 Every order becomes one journey (login, order, payment, shipment, ...), so the log
-grows with the given tables. One scan and one join feed an `explode` of the steps;
+grows with the given tables. One scan and one join feed an `inline` of the steps;
 steps the caller does not need are never generated, which is what partition pruning
 on event_type gives on a stored log.
 """
@@ -9,291 +9,175 @@ on event_type gives on a stored log.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cargolume.contract import EVENT_COLUMNS, EVENT_TYPES
 from cargolume.sources.tables import table
 
-LOG_START = int(datetime(2026, 9, 1, tzinfo=UTC).timestamp())
 TOPIC = "commerce.events.v1"
 
-_STEP_OF_TYPE = {
-    "customer_login": 0,
-    "order_created": 1,
-    "payment_processed": 2,
-    "payment_failed": 2,
-    "shipment_created": 3,
-    "shipment_delayed": 4,
-    "refund_requested": 5,
-    "inventory_updated": 6,
-}
-
+# (event types, condition, step number, type, status, seconds after the order)
+_STEPS = [
+    (("customer_login",), "true", 0, "'customer_login'", "'authenticated'", -60),
+    (("order_created",), "true", 1, "'order_created'", "'created'", 0),
+    (
+        ("payment_processed", "payment_failed"),
+        "true",
+        2,
+        "if(failed, 'payment_failed', 'payment_processed')",
+        "if(failed, 'failed', 'paid')",
+        120,
+    ),
+    (("shipment_created",), "not failed", 3, "'shipment_created'", "'shipped'", 300),
+    (("shipment_delayed",), "not failed and late", 4, "'shipment_delayed'", "'delayed'", 7200),
+    (("refund_requested",), "not failed and refund", 5, "'refund_requested'", "'requested'", 1800),
+    (("inventory_updated",), "true", 6, "'inventory_updated'", "'updated'", 360),
+]
+
+# 1788220800 is 2026-09-01 00:00:00 UTC; s is the order's second in the log.
+_LOG = """
+with located as (
+  select o_orderkey k, o_custkey c, cast(o_totalprice as decimal(14,2)) amt,
+    o_orderkey div 120 q, (o_orderkey * 7919) % 120 h,
+    case n_regionkey % 4 when 0 then 'us-east' when 1 then 'us-west'
+      when 2 then 'eu-west' else 'ap-south' end region
+  from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey),
+journey as (
+  select k, c, amt, region, h * 3600 + (k * 104729) % 1500 s,
+    (q * 37 + k) % 100 < if(h = 100 and region = 'ap-south', 65, 3) failed,
+    (q * 53 + k) % 100 < if(h = 60 and region = 'eu-west', 65, 4) late,
+    (q * 71 + k) % 100 < if(h = 101 and region = 'us-west', 50, 2) refund
+  from located where not (h = 102 and region = 'us-east' and (q + k) % 10 <> 0)),
+step as (
+  select k, c, amt, region, i, t, st, timestamp_seconds(1788220800 + s2) ts,
+    md5(concat(t, ':', k)) d
+  from journey lateral view inline(array_compact(array(%(steps)s))) as i, t, st, s2
+  where t in (%(kinds)s)),
+event as (
+  select 1 schema_version,
+    concat(substr(d,1,8), '-', substr(d,9,4), '-4', substr(d,14,3), '-a', substr(d,18,3), '-',
+      substr(d,21,12)) event_id,
+    t event_type, ts event_ts,
+    if(i < 6, concat('customer-', c), null) customer_id,
+    if(i between 1 and 5, concat('order-', k), null) order_id,
+    if(i > 0, concat('product-', k % 80), null) product_id,
+    if(i in (1, 2, 5), amt, null) amount, 'USD' currency,
+    if(i = 2, case k % 3 when 0 then 'stripe' when 1 then 'adyen' else 'paypal' end, null)
+      payment_provider,
+    if(i in (3, 4), case k % 3 when 0 then 'ups' when 1 then 'fedex' else 'dhl' end, null)
+      shipment_provider,
+    region, st status,
+    if(i = 6, concat('{{"quantity":', k % 1000, ',"synthetic":true}}'), '{{"synthetic":true}}')
+      metadata,
+    '%(topic)s' source_topic, cast(k % 3 as int) source_partition,
+    (k div 3) * 7 + i source_offset, ts source_timestamp,
+    timestamp_seconds(unix_seconds(ts) + 60) ingested_at, k, i
+  from step)
+"""
 
-def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that enters the log, with its planted outcome."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"),
-        F.col("o_custkey").alias("c"),
-        F.col("o_totalprice").cast("decimal(14,2)").alias("amt"),
-    )
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    places = (
-        F.when(F.col("n_regionkey") % 4 == 0, "us-east")
-        .when(F.col("n_regionkey") % 4 == 1, "us-west")
-        .when(F.col("n_regionkey") % 4 == 2, "eu-west")
-        .otherwise("ap-south")
-    )
-    located = (
-        orders.join(customer, F.col("c") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("k", "c", "amt", places.alias("region"))
-        .withColumn("q", F.expr("k div 120"))
-        .withColumn("h", F.expr("(k * 7919) % 120"))
-    )
+# The order's event, one planted fault per two hundred orders and kind. 17: wrong status on
+# order and payment; 23: negative amount; 29: login reuses the order's offset; 31: NULL
+# customer; 37: a second shipment creation; 41: order event lost, children stay.
+_FAULTY = """
+select schema_version, event_id,
+  if(k % 200 = 37 and i = 6, 'shipment_created', event_type) event_type,
+  event_ts, if(k % 200 = 31, null, customer_id) customer_id,
+  if(k % 200 = 37 and i = 6, concat('order-', k), order_id) order_id, product_id,
+  cast(if(k % 200 = 23, -amount, amount) as decimal(14,2)) amount, currency, payment_provider,
+  shipment_provider, region,
+  case when k % 200 = 17 and i in (1, 2) then 'wrong'
+    when k % 200 = 37 and i = 6 then 'shipped' else status end status,
+  metadata, source_topic, source_partition,
+  if(k % 200 = 29 and i = 0, source_offset + 1, source_offset) source_offset,
+  source_timestamp, ingested_at
+from event where not (k % 200 = 41 and i = 1)
+"""
 
-    def share(factor: int, hour: int, region: str, spike: int, usual: int) -> Column:
-        limit = F.when((F.col("h") == hour) & (F.col("region") == region), spike).otherwise(usual)
-        return (F.col("q") * factor + F.col("k")) % 100 < limit
+_PROCESSED = """
+select event_id, schema_version, event_type, event_ts event_timestamp, customer_id, order_id,
+  product_id, amount, currency, payment_provider, shipment_provider, region, status, metadata,
+  source_topic, source_partition, source_offset, source_timestamp kafka_timestamp,
+  timestamp_seconds(unix_seconds(event_ts) + k % 7 * 13 + i + 1) processed_at,
+  cast((k % 7 * 13 + i + 1) * 1000 as double) processing_latency_ms
+from event
+"""
 
-    thinned = (F.col("h") == 102) & (F.col("region") == "us-east")
-    return located.filter(~(thinned & ((F.col("q") + F.col("k")) % 10 != 0))).select(
-        "k",
-        "c",
-        "amt",
-        "region",
-        (F.col("h") * 3600 + (F.col("k") * 104729) % 1500).alias("s"),
-        share(37, 100, "ap-south", 65, 3).alias("failed"),
-        share(53, 60, "eu-west", 65, 4).alias("delayed"),
-        share(71, 101, "us-west", 50, 2).alias("refund"),
-    )
+# Broker records, with planted faults on order rows (k mod 200). 7: exact duplicate with
+# offset + 10^9; 11: truncated JSON; 13: no event_id; 17: unknown field; 19: wrong status;
+# 23: payload is not UTF-8.
+_ENVELOPES = """
+, body as (
+  select *, if(i = 1, k % 200, -1) r, concat('{{"schema_version":1',
+    if(i = 1 and k % 200 = 13, '', concat(',"event_id":"', event_id, '"')),
+    ',"event_type":"', event_type, '","timestamp":"',
+    date_format(convert_timezone(current_timezone(), 'UTC', cast(event_ts as timestamp_ntz)),
+      "yyyy-MM-dd'T'HH:mm:ss"), 'Z"',
+    if(customer_id is null, '', concat(',"customer_id":"', customer_id, '"')),
+    if(order_id is null, '', concat(',"order_id":"', order_id, '"')),
+    if(product_id is null, '', concat(',"product_id":"', product_id, '"')),
+    if(amount is null, '', concat(',"amount":', amount)), ',"currency":"USD"',
+    if(payment_provider is null, '', concat(',"payment_provider":"', payment_provider, '"')),
+    if(shipment_provider is null, '', concat(',"shipment_provider":"', shipment_provider, '"')),
+    ',"region":"', region, '","status":"', if(i = 1 and k % 200 = 19, 'wrong', status), '"',
+    if(i = 1 and k % 200 = 17, ',"coupon":"x"', ''), ',"metadata":', metadata, '}}') b
+  from event)
+select source_topic topic, source_partition `partition`, source_offset + shift `offset`,
+  source_timestamp `timestamp`, cast(coalesce(order_id, customer_id, product_id) as binary) key,
+  case when r = 11 then cast(substr(b, 1, 40) as binary)
+    when r = 23 then concat(unhex('FF'), cast(b as binary)) else cast(b as binary) end value
+from body lateral view explode(if(r = 7, array(0L, 1000000000L), array(0L))) as shift
+"""
 
 
-def _steps(kinds: Iterable[str]) -> list[Column]:
-    failed, ok = F.col("failed"), ~F.col("failed")
-    every = F.lit(True)
-    # step, event type, status, seconds after the order, condition
-    catalogue = [
-        (0, F.lit("customer_login"), F.lit("authenticated"), -60, every),
-        (1, F.lit("order_created"), F.lit("created"), 0, every),
-        (
-            2,
-            F.when(failed, "payment_failed").otherwise("payment_processed"),
-            F.when(failed, "failed").otherwise("paid"),
-            120,
-            every,
-        ),
-        (3, F.lit("shipment_created"), F.lit("shipped"), 300, ok),
-        (4, F.lit("shipment_delayed"), F.lit("delayed"), 7200, ok & F.col("delayed")),
-        (5, F.lit("refund_requested"), F.lit("requested"), 1800, ok & F.col("refund")),
-        (6, F.lit("inventory_updated"), F.lit("updated"), 360, every),
-    ]
-    wanted = {_STEP_OF_TYPE[kind] for kind in kinds}
-    return [
-        F.struct(
-            F.lit(i).alias("i"),
-            kind.alias("t"),
-            status.alias("st"),
-            (F.col("s") + shift).alias("s2"),
-            present.alias("present"),
-        )
-        for i, kind, status, shift, present in catalogue
-        if i in wanted
-    ]
+def _log(spark: SparkSession, sf_dir: str, kinds: Iterable[str], select: str) -> DataFrame:
+    wanted = tuple(kinds)
+    steps = ", ".join(
+        f"if({condition}, named_struct('i', {i}, 't', {kind}, 'st', {status}, 's2', s + {shift}),"
+        " null)"
+        for types, condition, i, kind, status, shift in _STEPS
+        if set(wanted) & set(types)
+    )
+    values = {
+        "steps": steps,
+        "kinds": ", ".join(f"'{kind}'" for kind in wanted),
+        "topic": TOPIC,
+    }
+    text = _LOG + select
+    for name, value in values.items():
+        text = text.replace(f"%({name})s", value)
+    return spark.sql(
+        text,
+        orders=table(spark, sf_dir, "orders"),
+        customer=table(spark, sf_dir, "customer"),
+        nation=table(spark, sf_dir, "nation"),
+    )
 
 
 def numbered_log(
     spark: SparkSession, sf_dir: str, kinds: Iterable[str] = EVENT_TYPES
 ) -> DataFrame:
     """Contract events plus the order number `k` and step `i` they came from."""
-    kinds = tuple(kinds)
-    steps = (
-        journeys(spark, sf_dir)
-        .select("k", "c", "amt", "region", F.explode(F.array(*_steps(kinds))).alias("e"))
-        .filter("e.present")
-        .select("k", "c", "amt", "region", "e.i", "e.t", "e.st", "e.s2")
-        .withColumn("d", F.md5(F.concat("t", F.lit(":"), F.col("k").cast("string"))))
-    )
-    if {"payment_processed", "payment_failed"} & set(kinds) and not {
-        "payment_processed",
-        "payment_failed",
-    } <= set(kinds):
-        steps = steps.filter(F.col("t").isin(*kinds))
-    at = F.timestamp_seconds(F.lit(LOG_START) + F.col("s2"))
-
-    def piece(start: int, length: int) -> Column:
-        return F.substring("d", start, length)
-
-    return steps.select(
-        F.lit(1).alias("schema_version"),
-        F.concat_ws(
-            "-",
-            piece(1, 8),
-            piece(9, 4),
-            F.concat(F.lit("4"), piece(14, 3)),
-            F.concat(F.lit("a"), piece(18, 3)),
-            piece(21, 12),
-        ).alias("event_id"),
-        F.col("t").alias("event_type"),
-        at.alias("event_ts"),
-        F.when(F.col("i") < 6, F.concat(F.lit("customer-"), F.col("c"))).alias("customer_id"),
-        F.when(F.col("i").between(1, 5), F.concat(F.lit("order-"), F.col("k"))).alias("order_id"),
-        F.when(F.col("i") > 0, F.concat(F.lit("product-"), F.col("k") % 80)).alias("product_id"),
-        F.when(F.col("i").isin(1, 2, 5), F.col("amt")).alias("amount"),
-        F.lit("USD").alias("currency"),
-        F.when(
-            F.col("i") == 2,
-            F.when(F.col("k") % 3 == 0, "stripe").when(F.col("k") % 3 == 1, "adyen").otherwise("paypal"),
-        ).alias("payment_provider"),
-        F.when(
-            F.col("i").isin(3, 4),
-            F.when(F.col("k") % 3 == 0, "ups").when(F.col("k") % 3 == 1, "fedex").otherwise("dhl"),
-        ).alias("shipment_provider"),
-        "region",
-        F.col("st").alias("status"),
-        F.when(
-            F.col("i") == 6,
-            F.concat(F.lit('{"quantity":'), F.col("k") % 1000, F.lit(',"synthetic":true}')),
-        )
-        .otherwise('{"synthetic":true}')
-        .alias("metadata"),
-        F.lit(TOPIC).alias("source_topic"),
-        (F.col("k") % 3).cast("int").alias("source_partition"),
-        F.expr("(k div 3) * 7 + i").alias("source_offset"),
-        at.alias("source_timestamp"),
-        F.timestamp_seconds(F.lit(LOG_START) + F.col("s2") + 60).alias("ingested_at"),
-        "k",
-        "i",
-    )
+    return _log(spark, sf_dir, kinds, "select * from event")
 
 
 def event_log(spark: SparkSession, sf_dir: str, kinds: Iterable[str] = EVENT_TYPES) -> DataFrame:
     """Contract events (19 columns)."""
-    return numbered_log(spark, sf_dir, kinds).select(*EVENT_COLUMNS)
+    return _log(spark, sf_dir, kinds, f"select {', '.join(EVENT_COLUMNS)} from event")
 
 
 def faulty_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log with one planted fault per two hundred orders and kind.
-
-    17: wrong status on the order · 23: negative amount · 29: login reuses the order's
-    offset · 31: NULL customer · 37: the delay signal turned into a second creation ·
-    41: order event lost, so its payment and shipment have no parent.
-    """
-    r, i = F.col("k") % 200, F.col("i")
-    log = numbered_log(spark, sf_dir).filter(~((r == 41) & (i == 1)))
-    second = (r == 37) & (i == 6)
-    return log.select(
-        "schema_version",
-        "event_id",
-        F.when(second, "shipment_created").otherwise(F.col("event_type")).alias("event_type"),
-        "event_ts",
-        F.when(r != 31, F.col("customer_id")).alias("customer_id"),
-        F.when(second, F.concat(F.lit("order-"), F.col("k")))
-        .otherwise(F.col("order_id"))
-        .alias("order_id"),
-        "product_id",
-        F.when(r == 23, -F.col("amount")).otherwise(F.col("amount")).cast("decimal(14,2)").alias("amount"),
-        "currency",
-        "payment_provider",
-        "shipment_provider",
-        "region",
-        F.when((r == 17) & i.isin(1, 2), "wrong")
-        .when(second, "shipped")
-        .otherwise(F.col("status"))
-        .alias("status"),
-        "metadata",
-        "source_topic",
-        "source_partition",
-        F.when((r == 29) & (i == 0), F.col("source_offset") + 1)
-        .otherwise(F.col("source_offset"))
-        .alias("source_offset"),
-        "source_timestamp",
-        "ingested_at",
-    )
+    """The log with planted contract faults, for the data-quality checks."""
+    return _log(spark, sf_dir, EVENT_TYPES, _FAULTY)
 
 
 def processed_log(
     spark: SparkSession, sf_dir: str, kinds: Iterable[str] = EVENT_TYPES
 ) -> DataFrame:
     """Classifier-line shape of the log: event_timestamp, processed_at and latency."""
-    log = numbered_log(spark, sf_dir, kinds)
-    delay = F.col("k") % 7 * 13 + F.col("i") + 1
-    return log.select(
-        "event_id",
-        "schema_version",
-        "event_type",
-        F.col("event_ts").alias("event_timestamp"),
-        "customer_id",
-        "order_id",
-        "product_id",
-        "amount",
-        "currency",
-        "payment_provider",
-        "shipment_provider",
-        "region",
-        "status",
-        "metadata",
-        "source_topic",
-        "source_partition",
-        "source_offset",
-        F.col("source_timestamp").alias("kafka_timestamp"),
-        (F.col("event_ts") + F.make_dt_interval(secs=delay)).alias("processed_at"),
-        (delay * 1000).cast("double").alias("processing_latency_ms"),
-    )
+    return _log(spark, sf_dir, kinds, _PROCESSED)
 
 
 def envelope_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broker records for the log, with planted faults on order rows (k mod 200).
-
-    7: exact duplicate with offset + 10^9 · 11: truncated JSON · 13: no event_id ·
-    17: unknown field · 19: wrong status · 23: payload is not UTF-8.
-    """
-    log = numbered_log(spark, sf_dir)
-    r = F.when(F.col("i") == 1, F.col("k") % 200).otherwise(F.lit(-1))
-
-    def field(name: str, text: Column) -> Column:
-        return F.when(text.isNotNull(), F.concat(F.lit(f',"{name}":'), text)).otherwise("")
-
-    def quoted(c: Column) -> Column:
-        return F.concat(F.lit('"'), c, F.lit('"'))
-
-    naive = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("event_ts").cast("timestamp_ntz"))
-    body = F.concat(
-        F.lit('{"schema_version":1'),
-        F.when(r == 13, "").otherwise(field("event_id", quoted(F.col("event_id")))),
-        field("event_type", quoted(F.col("event_type"))),
-        field("timestamp", quoted(F.concat(F.date_format(naive, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))),
-        field("customer_id", quoted(F.col("customer_id"))),
-        field("order_id", quoted(F.col("order_id"))),
-        field("product_id", quoted(F.col("product_id"))),
-        field("amount", F.col("amount").cast("string")),
-        F.lit(',"currency":"USD"'),
-        field("payment_provider", quoted(F.col("payment_provider"))),
-        field("shipment_provider", quoted(F.col("shipment_provider"))),
-        field("region", quoted(F.col("region"))),
-        field("status", quoted(F.when(r == 19, "wrong").otherwise(F.col("status")))),
-        F.when(r == 17, ',"coupon":"x"').otherwise(""),
-        field("metadata", F.col("metadata")),
-        F.lit("}"),
-    )
-    payload = (
-        F.when(r == 11, F.substring(body, 1, 40).cast("binary"))
-        .when(r == 23, F.concat(F.unhex(F.lit("FF")), body.cast("binary")))
-        .otherwise(body.cast("binary"))
-    )
-    copies = F.when(r == 7, F.array(F.lit(0), F.lit(10**9))).otherwise(F.array(F.lit(0)))
-    return (
-        log.withColumn("payload", payload)
-        .withColumn("shift", F.explode(copies))
-        .select(
-            F.col("source_topic").alias("topic"),
-            F.col("source_partition").alias("partition"),
-            (F.col("source_offset") + F.col("shift")).alias("offset"),
-            F.col("source_timestamp").alias("timestamp"),
-            F.coalesce("order_id", "customer_id", "product_id").cast("binary").alias("key"),
-            F.col("payload").alias("value"),
-        )
-    )
+    """Broker records of the log, some of them broken."""
+    return _log(spark, sf_dir, EVENT_TYPES, _ENVELOPES)
