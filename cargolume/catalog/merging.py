@@ -1 +1,215 @@
-"""..."""
+"""Deduplication, insert-ignore merge, upserts, ledger and minute metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cargolume import contract as c
+from cargolume.catalog.logs import with_log
+from cargolume.catalog.registry import query
+from cargolume.operators import merge, metrics
+from cargolume.plans import facts
+from cargolume.sources.derived_log import event_log, numbered_log, processed_log
+
+# The batch: every event twice where k mod 5 = 0 (upper-cased id, later offset), and for
+# k mod 11 = 0 the login also claims the order's source position. The table: k mod 3 = 0.
+_BATCH = """
+bt as (
+  select event_id, event_type, event_ts, amount, source_topic, source_partition, source_offset,
+    ingested_at, k, i from e
+  union all select upper(event_id), event_type, event_ts, amount, source_topic, source_partition,
+    source_offset + 1000000000, ingested_at, k, i from e where k % 5 = 0
+  union all select concat(event_id, 'x'), event_type, event_ts, amount, source_topic,
+    source_partition, source_offset + 1, ingested_at, k, i from e where k % 11 = 0 and i = 0),
+ex as (select * from e where k % 3 = 0),
+cand as (select * replace (lower(event_id) as event_id), row_number() over (
+  partition by lower(event_id) order by source_topic, source_partition, source_offset) rn from bt),
+dd as (select * from cand where rn = 1),
+na as (select * from dd where not exists (select 1 from ex where ex.event_id = dd.event_id)),
+ns as (select * from dd where not exists (select 1 from ex where ex.source_topic = dd.source_topic
+  and ex.source_partition = dd.source_partition and ex.source_offset = dd.source_offset)),
+nb as (select *, row_number() over (partition by source_topic, source_partition, source_offset
+  order by event_id) rs from na where not exists (select 1 from ex
+  where ex.source_topic = na.source_topic and ex.source_partition = na.source_partition
+  and ex.source_offset = na.source_offset)),
+ins as (select * from nb where rs = 1)"""
+_COLS = "event_id, event_type, event_ts, source_topic, source_partition::bigint source_partition, source_offset"
+
+
+def merge_sql(select: str) -> str:
+    return with_log(f"with {_BATCH.strip()}\n{select}")
+
+
+def _batch(spark, sf):
+    log = numbered_log(spark, sf)
+    again = log.filter("k % 5 = 0").selectExpr(
+        "* except (event_id, source_offset)",
+        "upper(event_id) event_id",
+        "source_offset + 1000000000 source_offset",
+    )
+    clash = log.filter("k % 11 = 0 and i = 0").selectExpr(
+        "* except (event_id, source_offset)",
+        "concat(event_id, 'x') event_id",
+        "source_offset + 1 source_offset",
+    )
+    return log.unionByName(again).unionByName(clash)
+
+
+def _existing(spark, sf):
+    return numbered_log(spark, sf).filter("k % 3 = 0")
+
+
+_KEEP = ["event_id", "event_type", "event_ts", *c.SOURCE_KEY]
+
+
+@query("dedup_candidates", merge_sql(f"select {_COLS} from dd"))
+def _(spark, sf):
+    return merge.dedup_candidates(_batch(spark, sf)).select(*_KEEP)
+
+
+@query("anti_existing_event_ids", merge_sql(f"select {_COLS} from na"))
+def _(spark, sf):
+    candidates = merge.dedup_candidates(_batch(spark, sf))
+    return merge.anti_existing_event_ids(candidates, _existing(spark, sf)).select(*_KEEP)
+
+
+@query("anti_existing_source", merge_sql(f"select {_COLS} from ns"))
+def _(spark, sf):
+    candidates = merge.dedup_candidates(_batch(spark, sf))
+    return merge.anti_existing_source(candidates, _existing(spark, sf)).select(*_KEEP)
+
+
+@query("merge_new_events", merge_sql(f"select {_COLS} from ins"))
+def _(spark, sf):
+    return merge.merge_new_events(_batch(spark, sf), _existing(spark, sf)).select(*_KEEP)
+
+
+_MINUTE = """date_trunc('minute', event_ts) window_start,
+  date_trunc('minute', event_ts) + interval 1 minute window_end, event_type,
+  count(*) event_count, coalesce(sum(amount), 0)::double total_amount,
+  max(ingested_at) updated_at"""
+
+
+@query("minute_totals_b", with_log(f"select {_MINUTE} from e group by 1, 2, 3"))
+def _(spark, sf):
+    return metrics.minute_totals(event_log(spark, sf))
+
+
+@query(
+    "stg_stream_metrics_minute",
+    with_log(f"select {_MINUTE} from e where k % 3 = 0 group by 1, 2, 3"),
+)
+def _(spark, sf):
+    from cargolume.plans.staging import stg_minute_metrics
+
+    return stg_minute_metrics(metrics.minute_totals(_existing(spark, sf)))
+
+
+@query(
+    "upsert_minute_additive_b",
+    merge_sql(
+        f"select {_MINUTE} from (select event_ts, event_type, amount, ingested_at from ex "
+        "union all select event_ts, event_type, amount, ingested_at from ins) group by 1, 2, 3"
+    ),
+)
+def _(spark, sf):
+    existing = _existing(spark, sf)
+    fresh = merge.merge_new_events(_batch(spark, sf), existing)
+    return merge.upsert_minute_additive(metrics.minute_totals(existing), metrics.minute_totals(fresh))
+
+
+_MINUTE_A = """minute_start, minute_start + interval 1 minute minute_end, region,
+  count(*) event_count, count(*) filter (where event_type = 'order_created') order_count,
+  count(*) filter (where event_type = 'payment_processed') successful_payment_count,
+  count(*) filter (where event_type = 'payment_failed') failed_payment_count,
+  count(*) filter (where event_type in ('payment_processed', 'payment_failed'))
+    payment_attempt_count,
+  coalesce(sum(amount) filter (where event_type = 'payment_processed'), 0)::double
+    successful_revenue,
+  coalesce(count(*) filter (where event_type = 'payment_failed')::double / nullif(count(*) filter
+    (where event_type in ('payment_processed', 'payment_failed')), 0), 0) payment_failure_rate,
+  count(*) filter (where event_type = 'shipment_created') shipment_created_count,
+  count(*) filter (where event_type = 'shipment_delayed') shipment_delayed_count,
+  count(*) filter (where event_type = 'refund_requested') refund_request_count,
+  round(avg(processing_latency_ms), 6) avg_processing_latency_ms, max(processed_at) updated_at
+  from (select *, date_trunc('minute', event_timestamp) minute_start from p)"""
+
+
+def _rounded(frame):
+    return frame.withColumn(
+        "avg_processing_latency_ms", F.round("avg_processing_latency_ms", 6)
+    )
+
+
+@query("minute_metrics_a", with_log(f"select {_MINUTE_A} group by 1, 2, 3", "p"))
+def _(spark, sf):
+    return _rounded(metrics.minute_metrics_a(processed_log(spark, sf)))
+
+
+@query(
+    "upsert_minute_replace_a",
+    with_log(
+        f"""with fresh as (select {_MINUTE_A} where k % 2 = 0 group by 1, 2, 3),
+        old as (select {_MINUTE_A} where k % 3 = 0 group by 1, 2, 3)
+        select * from fresh union all select * from old where (minute_start, region) not in
+          (select (minute_start, region) from fresh)""",
+        "p",
+    ),
+)
+def _(spark, sf):
+    part = lambda n: processed_log(spark, sf).filter(f"(source_offset div 7 * 3 + source_partition) % {n} = 0")  # noqa: E731,E501
+    old, fresh = (_rounded(metrics.minute_metrics_a(part(n))) for n in (3, 2))
+    return merge.replace_by_key(old, fresh, ["minute_start", "region"])
+
+
+@query(
+    "reconcile_minute_metrics",
+    with_log(
+        f"""with st as (select {_MINUTE} from e where k % 40 <> 7 group by 1, 2, 3),
+        full_set as (select {_MINUTE} from e group by 1, 2, 3)
+        select coalesce(f.window_start, st.window_start) window_start,
+          coalesce(f.event_type, st.event_type) event_type, f.event_count expected_count,
+          f.total_amount expected_amount, st.event_count stored_count,
+          st.total_amount stored_amount
+        from full_set f full join st
+          on f.window_start = st.window_start and f.event_type = st.event_type
+        where f.event_count is distinct from st.event_count
+          or f.total_amount is distinct from st.total_amount"""
+    ),
+)
+def _(spark, sf):
+    stored = metrics.minute_totals(numbered_log(spark, sf).filter("k % 40 <> 7"))
+    return metrics.reconcile_minute_metrics(event_log(spark, sf), stored)
+
+
+@query(
+    "incremental_delete_insert",
+    with_log(
+        """select event_id source_event_id, order_id, case when k % 4 <> 1 then 'updated'
+        else 'kept' end origin from e where event_type = 'order_created'
+        and (k % 4 <> 1 or k % 3 = 0)"""
+    ),
+)
+def _(spark, sf):
+    orders = numbered_log(spark, sf, ("order_created",))
+    shape = ("event_id source_event_id", "order_id")
+    target = orders.filter("k % 3 = 0").selectExpr(*shape, "'kept' origin")
+    source = orders.filter("k % 4 <> 1").selectExpr(*shape, "'updated' origin")
+    return merge.incremental_delete_insert(target, source)
+
+
+@query(
+    "stage_identity",
+    with_log(
+        """select distinct source_partition::bigint batch_id, concat('stage_', substr(sha256(
+        concat(source_topic, ':', source_partition)), 1, 24)) stage from e"""
+    ),
+)
+def _(spark, sf):
+    name = F.sha2(F.concat_ws(":", "source_topic", "source_partition"), 256)
+    return (
+        event_log(spark, sf)
+        .select(F.col("source_partition").alias("batch_id"), "source_topic", "source_partition")
+        .distinct()
+        .select("batch_id", F.concat(F.lit("stage_"), F.substring(name, 1, 24)).alias("stage"))
+    )
