@@ -8,20 +8,20 @@ from cargolume import contract as c
 from cargolume.catalog.logs import with_log
 from cargolume.catalog.registry import query
 from cargolume.operators import merge, metrics
-from cargolume.plans import facts
-from cargolume.sources.derived_log import event_log, numbered_log, processed_log
+from cargolume.sources.derived_log import event_log, processed_log
 
-# The batch: every event twice where k mod 5 = 0 (upper-cased id, later offset), and for
-# k mod 11 = 0 the login also claims the order's source position. The table: k mod 3 = 0.
+# The batch: the whole log, every payment a second time (upper-cased id, later offset), and
+# every us-east login again under another id on its order's source position. The table: all
+# events of the first two days.
 _BATCH = """
 bt as (
   select event_id, event_type, event_ts, amount, source_topic, source_partition, source_offset,
-    ingested_at, k, i from e
+    ingested_at from e
   union all select upper(event_id), event_type, event_ts, amount, source_topic, source_partition,
-    source_offset + 1000000000, ingested_at, k, i from e where k % 5 = 0
+    source_offset + 1000000000, ingested_at from e where event_type like 'payment%'
   union all select concat(event_id, 'x'), event_type, event_ts, amount, source_topic,
-    source_partition, source_offset + 1, ingested_at, k, i from e where k % 11 = 0 and i = 0),
-ex as (select * from e where k % 3 = 0),
+    source_partition, source_offset + 1, ingested_at from e where event_type = 'customer_login' and region = 'us-east'),
+ex as (select * from e where event_ts < timestamp '2026-09-03'),
 cand as (select * replace (lower(event_id) as event_id), row_number() over (
   partition by lower(event_id) order by source_topic, source_partition, source_offset) rn from bt),
 dd as (select * from cand where rn = 1),
@@ -41,13 +41,13 @@ def merge_sql(select: str) -> str:
 
 
 def _batch(spark, sf):
-    log = numbered_log(spark, sf)
-    again = log.filter("k % 5 = 0").selectExpr(
+    log = event_log(spark, sf)
+    again = log.filter("event_type like 'payment%'").selectExpr(
         "* except (event_id, source_offset)",
         "upper(event_id) event_id",
         "source_offset + 1000000000 source_offset",
     )
-    clash = log.filter("k % 11 = 0 and i = 0").selectExpr(
+    clash = log.filter("event_type = 'customer_login' and region = 'us-east'").selectExpr(
         "* except (event_id, source_offset)",
         "concat(event_id, 'x') event_id",
         "source_offset + 1 source_offset",
@@ -56,7 +56,7 @@ def _batch(spark, sf):
 
 
 def _existing(spark, sf):
-    return numbered_log(spark, sf).filter("k % 3 = 0")
+    return event_log(spark, sf).filter("event_ts < timestamp'2026-09-03 00:00:00Z'")
 
 
 _KEEP = ["event_id", "event_type", "event_ts", *c.SOURCE_KEY]
@@ -97,12 +97,12 @@ def _(spark, sf):
 
 @query(
     "stg_stream_metrics_minute",
-    with_log(f"select {_MINUTE} from e where k % 3 = 0 group by 1, 2, 3"),
+    with_log(f"select {_MINUTE} from e group by 1, 2, 3"),
 )
 def _(spark, sf):
     from cargolume.plans.staging import stg_minute_metrics
 
-    return stg_minute_metrics(metrics.minute_totals(_existing(spark, sf)))
+    return stg_minute_metrics(metrics.minute_totals(event_log(spark, sf)))
 
 
 @query(
@@ -149,23 +149,25 @@ def _(spark, sf):
 @query(
     "upsert_minute_replace_a",
     with_log(
-        f"""with fresh as (select {_MINUTE_A} where k % 2 = 0 group by 1, 2, 3),
-        old as (select {_MINUTE_A} where k % 3 = 0 group by 1, 2, 3)
+        f"""with fresh as (select {_MINUTE_A} where event_timestamp >= timestamp '2026-09-02' group by 1, 2, 3),
+        old as (select {_MINUTE_A} where event_timestamp < timestamp '2026-09-03' group by 1, 2, 3)
         select * from fresh union all select * from old where (minute_start, region) not in
           (select (minute_start, region) from fresh)""",
         "p",
     ),
 )
 def _(spark, sf):
-    part = lambda n: processed_log(spark, sf).filter(f"(source_offset div 7 * 3 + source_partition) % {n} = 0")  # noqa: E731,E501
-    old, fresh = (_rounded(metrics.minute_metrics_a(part(n))) for n in (3, 2))
+    log = processed_log(spark, sf)
+    old = log.filter("event_timestamp < timestamp'2026-09-03 00:00:00Z'")
+    fresh = log.filter("event_timestamp >= timestamp'2026-09-02 00:00:00Z'")
+    old, fresh = (_rounded(metrics.minute_metrics_a(part)) for part in (old, fresh))
     return merge.replace_by_key(old, fresh, ["minute_start", "region"])
 
 
 @query(
     "reconcile_minute_metrics",
     with_log(
-        f"""with st as (select {_MINUTE} from e where k % 40 <> 7 group by 1, 2, 3),
+        f"""with st as (select {_MINUTE} from e where not (event_type = 'payment_failed' and region = 'us-west') group by 1, 2, 3),
         full_set as (select {_MINUTE} from e group by 1, 2, 3)
         select coalesce(f.window_start, st.window_start) window_start,
           coalesce(f.event_type, st.event_type) event_type, f.event_count expected_count,
@@ -178,23 +180,25 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    stored = metrics.minute_totals(numbered_log(spark, sf).filter("k % 40 <> 7"))
+    stored = metrics.minute_totals(
+        event_log(spark, sf).filter("not (event_type = 'payment_failed' and region = 'us-west')")
+    )
     return metrics.reconcile_minute_metrics(event_log(spark, sf), stored)
 
 
 @query(
     "incremental_delete_insert",
     with_log(
-        """select event_id source_event_id, order_id, case when k % 4 <> 1 then 'updated'
-        else 'kept' end origin from e where event_type = 'order_created'
-        and (k % 4 <> 1 or k % 3 = 0)"""
+        """select event_id source_event_id, order_id, case when event_ts >= timestamp '2026-09-03'
+        then 'updated' else 'kept' end origin from e where event_type = 'order_created'"""
     ),
 )
 def _(spark, sf):
-    orders = numbered_log(spark, sf, ("order_created",))
+    # The target already holds the first three days; the new scan starts on the third.
+    orders = event_log(spark, sf, ("order_created",))
     shape = ("event_id source_event_id", "order_id")
-    target = orders.filter("k % 3 = 0").selectExpr(*shape, "'kept' origin")
-    source = orders.filter("k % 4 <> 1").selectExpr(*shape, "'updated' origin")
+    target = orders.filter("event_ts < timestamp'2026-09-04 00:00:00Z'").selectExpr(*shape, "'kept' origin")
+    source = orders.filter("event_ts >= timestamp'2026-09-03 00:00:00Z'").selectExpr(*shape, "'updated' origin")
     return merge.incremental_delete_insert(target, source)
 
 

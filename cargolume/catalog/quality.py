@@ -10,7 +10,7 @@ from cargolume.catalog.models import HOURLY, PROCESSED, a_sql, marts_sql, operat
 from cargolume.catalog.registry import query
 from cargolume.operators import metrics, quality
 from cargolume.plans import facts
-from cargolume.sources.derived_log import event_log, faulty_log, numbered_log, processed_log
+from cargolume.sources.derived_log import event_log, faulty_log, processed_log
 
 _LEGAL = " ".join(f"when '{k}' then '{v}'" for k, v in c.STATUS_OF_TYPE.items())
 
