@@ -1 +1,266 @@
-"""..."""
+"""Stream jobs run to completion over the derived broker log."""
+
+from __future__ import annotations
+
+from datetime import UTC, datetime
+
+from pyspark.sql import functions as F
+
+from cargolume.catalog.validation import clock, env_sql
+from cargolume.catalog.registry import query
+from cargolume.contract import ENVELOPE_SCHEMA, RAW_SCHEMA
+from cargolume.operators import metrics
+from cargolume.operators.classify import classify_events
+from cargolume.operators.envelope import event_sink_rows
+from cargolume.operators.validate import validate_events
+from cargolume.session import scratch_dir
+from cargolume.sources.derived_log import envelope_log
+from cargolume.sources.retention import retention_candidates
+from cargolume.sources.tables import table
+from cargolume.streaming import queries as jobs
+from cargolume.streaming import sinks
+from cargolume.streaming.progress import progress_row
+
+NOW_TRIGGER = {"availableNow": True}
+_VALID = """vd as (select j_event_id event_id, j_event_type event_type, at_utc event_ts,
+  j_region region, min(ingested) ingested_at, any_value(try_cast(j_amount as decimal(14,2))) amount
+  from cb where code is null group by 1, 2, 3, 4)"""
+
+
+def vd_sql(select: str) -> str:
+    """`select` over `vd`, the accepted events once per id."""
+    return env_sql("select 1").replace("\nselect 1", f",\n{_VALID}\n{select}")
+
+
+def stored_envelopes(spark, sf):
+    """Broker records written as files, and a stream over them."""
+    path = scratch_dir(spark, "broker")
+    envelope_log(spark, sf).write.parquet(path)
+    return spark.readStream.schema(ENVELOPE_SCHEMA).parquet(path)
+
+
+def _ingested():
+    return F.col("timestamp") + F.make_dt_interval(secs=F.lit(60))
+
+
+def raw_layer(spark, sf):
+    layout = jobs.Layout(scratch_dir(spark, "stream"))
+    query_ = jobs.start_raw(stored_envelopes(spark, sf), layout, NOW_TRIGGER, _ingested())
+    query_.awaitTermination()
+    return layout, query_
+
+
+def store(spark, sf):
+    """Raw archive and event store after one complete run."""
+    layout, _ = raw_layer(spark, sf)
+    validated = validate_events(jobs.read_raw_stream(spark, layout))
+    jobs.start_valid_events(validated, layout, NOW_TRIGGER).awaitTermination()
+    return layout, sinks.EventStore(spark, layout.root)
+
+
+@query(
+    "write_raw_archive",
+    env_sql(
+        """select cast("timestamp" + interval 60 second as date) ingest_date, count(*) records,
+        sum(octet_length("value"))::bigint payload_bytes from js group by 1"""
+    ),
+)
+def _(spark, sf):
+    layout, _ = raw_layer(spark, sf)
+    # A batch read of a stream's directory follows the sink's own commit log.
+    return spark.read.schema(RAW_SCHEMA).parquet(layout.raw).groupBy("ingest_date").agg(
+        F.count("*").alias("records"),
+        F.sum(F.octet_length("raw_payload")).alias("payload_bytes"),
+    )
+
+
+@query("progress_table", env_sql("select count(*) input_rows, 0::bigint watermark_dropped from js"))
+def _(spark, sf):
+    _, query_ = raw_layer(spark, sf)
+    rows = [progress_row(report.json) for report in query_.recentProgress]
+    from cargolume.streaming.progress import PROGRESS_SCHEMA
+
+    return spark.createDataFrame(rows, PROGRESS_SCHEMA).agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("watermark_dropped").alias("watermark_dropped")
+    )
+
+
+@query(
+    "write_dead_letters",
+    env_sql(
+        """select code error_code, count(*) letters, count(distinct concat(topic, ':', "partition",
+        ':', "offset")) keys from cb where code is not null group by 1"""
+    ),
+)
+def _(spark, sf):
+    layout, _ = raw_layer(spark, sf)
+    validated = validate_events(jobs.read_raw_stream(spark, layout))
+    jobs.start_dead_letters(validated, layout, NOW_TRIGGER).awaitTermination()
+    return (
+        spark.read.schema("key string, value string")
+        .parquet(layout.dead_letters)
+        .groupBy(F.get_json_object("value", "$.error_code").alias("error_code"))
+        .agg(F.count("*").alias("letters"), F.count_distinct("key").alias("keys"))
+    )
+
+
+@query(
+    "write_event_batch_b",
+    vd_sql("select event_id, event_type, event_ts, region, amount::double amount from vd"),
+)
+def _(spark, sf):
+    _, kept = store(spark, sf)
+    return kept.read_committed("cleaned").select(
+        "event_id", "event_type", "event_ts", "region", "amount"
+    )
+
+
+@query(
+    "read_committed_layer",
+    vd_sql(
+        """select cast(event_ts as date) event_date, hour(event_ts)::bigint event_hour,
+        count(*) events, count(*) filter (where event_type = 'payment_failed') failures,
+        count(*) filter (where event_type = 'shipment_delayed') delays,
+        count(*) filter (where event_type = 'refund_requested') refunds from vd group by 1, 2"""
+    ),
+)
+def _(spark, sf):
+    _, kept = store(spark, sf)
+    return kept.read_committed("curated").groupBy("event_date", "event_hour").agg(
+        F.count("*").alias("events"),
+        F.count_if("is_payment_failure").alias("failures"),
+        F.count_if("is_shipment_delay").alias("delays"),
+        F.count_if("is_refund").alias("refunds"),
+    )
+
+
+@query(
+    "batch_ledger_commit",
+    vd_sql(
+        """select count(*) first_inserted, count(*) replay_inserted, count(*) stored_rows,
+        0::bigint other_query_inserted from vd"""
+    ),
+)
+def _(spark, sf):
+    # The same rows again: as a replay of the batch, then as a batch of another query.
+    layout, kept = store(spark, sf)
+    ledger = kept.manifests().orderBy("batch_id").first()
+    staged = spark.read.parquet(kept.batch_path("staged", ledger["query_id"], ledger["batch_id"]))
+    again = kept.write_batch(staged, ledger["batch_id"], ledger["query_id"])
+    other = kept.write_batch(staged, 0, "second-query")
+    return kept.read_committed("cleaned").agg(F.count("*").alias("stored_rows")).select(
+        F.lit(ledger["row_count"]).alias("first_inserted"),
+        F.lit(again).alias("replay_inserted"),
+        F.lit(other).alias("other_query_inserted"),
+        "stored_rows",
+    )
+
+
+@query(
+    "stream_minute_totals",
+    vd_sql(
+        """select date_trunc('minute', event_ts) window_start, event_type, count(*) event_count,
+        coalesce(sum(amount), 0)::double total_amount from vd group by 1, 2"""
+    ),
+)
+def _(spark, sf):
+    _, kept = store(spark, sf)
+    return kept.minute_totals().select("window_start", "event_type", "event_count", "total_amount")
+
+
+@query("late_reconciliation", vd_sql("select event_id, event_type, event_ts from vd"))
+def _(spark, sf):
+    # Nothing is stored yet, so the pass recovers every accepted event from raw.
+    layout, _ = raw_layer(spark, sf)
+    return jobs.late_reconciliation(spark, layout).select("event_id", "event_type", "event_ts")
+
+
+@query(
+    "write_event_archive",
+    vd_sql(
+        "select cast(event_ts as date) event_date, event_type, count(*) events from vd group by 1, 2"
+    ),
+)
+def _(spark, sf):
+    layout = jobs.Layout(scratch_dir(spark, "archive"))
+    stream = stored_envelopes(spark, sf)
+    jobs.start_event_archive(stream, layout, NOW_TRIGGER, clock()).awaitTermination()
+    return spark.read.parquet(layout.archive).groupBy("event_date", "event_type").agg(
+        F.count("*").alias("events")
+    )
+
+
+@query("write_event_batch_a", vd_sql("select event_id, event_type from vd"))
+def _(spark, sf):
+    # The whole log as batch 0, then again as batch 1, which must insert nothing.
+    path = scratch_dir(spark, "events_a")
+    rows = event_sink_rows(classify_events(envelope_log(spark, sf), clock()).filter("is_valid"))
+    for batch in (0, 1):
+        sinks.write_event_batch_a(rows, batch, path)
+    return spark.read.parquet(path).select("event_id", "event_type")
+
+
+@query(
+    "write_metric_batch_a",
+    vd_sql(
+        """select date_trunc('minute', event_ts) minute_start, region, count(*) event_count
+        from vd group by 1, 2"""
+    ),
+)
+def _(spark, sf):
+    # A first batch of failed payments only is replaced by the complete second batch.
+    path = scratch_dir(spark, "metrics_a")
+    valid = classify_events(envelope_log(spark, sf), clock()).filter("is_valid")
+    once = valid.dropDuplicates(["event_id"])
+    sinks.write_metric_batch_a(
+        metrics.minute_metrics_a(once.filter("event_type = 'payment_failed'")), 0, path
+    )
+    sinks.write_metric_batch_a(metrics.minute_metrics_a(once), 1, path)
+    return sinks.read_metrics_a(spark, path).select("minute_start", "region", "event_count")
+
+
+_CLICKS = """select date_trunc('minute', ts) minute_start, event_type, count(*) event_count
+  from events group by 1, 2"""
+
+
+@query("watermark_dedup_minutes", _CLICKS)
+def _(spark, sf):
+    # The events table as a stream in which every record arrives twice.
+    path = scratch_dir(spark, "clicks")
+    events = table(spark, sf, "events").selectExpr(
+        "event_id", "convert_timezone('UTC', current_timezone(), ts)::timestamp ts", "event_type"
+    )
+    events.unionByName(events).write.parquet(path)
+    stream = spark.readStream.schema("event_id bigint, ts timestamp, event_type string").parquet(path)
+    out = scratch_dir(spark, "clicks_out")
+    once = jobs.deduplicated(stream, "ts", "event_id")
+    (
+        once.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", f"{out}-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return jobs.tumbling_minutes(spark.read.parquet(out), "ts", "event_type")
+
+
+@query(
+    "retention_candidates",
+    env_sql(
+        """select distinct cast("timestamp" + interval 60 second as date)::varchar ingest_date
+        from js"""
+    ),
+)
+def _(spark, sf):
+    layout, _ = raw_layer(spark, sf)
+    files = retention_candidates(spark, [layout.raw], datetime(2100, 1, 1, tzinfo=UTC))
+    day = F.regexp_extract("path", r"ingest_date=(\d{4}-\d{2}-\d{2})", 1)
+    return files.filter(day != "").select(day.alias("ingest_date")).distinct()
+
+
+@query("layer_sample", env_sql("select count(*) row_count, 5::bigint sample_rows from js"))
+def _(spark, sf):
+    layout, _ = raw_layer(spark, sf)
+    count, sample = sinks.layer_sample(spark.read.schema(RAW_SCHEMA).parquet(layout.raw))
+    return sample.agg(F.count("*").alias("sample_rows")).withColumn("row_count", F.lit(count))
