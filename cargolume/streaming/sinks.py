@@ -148,6 +148,10 @@ def write_event_batch_a(frame: DataFrame, batch_id: int, table_path: str) -> Non
     """Insert-ignore on event id and source position; a batch replaces its own attempt."""
     spark = frame.sparkSession
     target = f"{table_path}/batch_id={batch_id}"
+    # Staged first: the merge reads the batch several times, its lineage runs once.
+    stage = f"{table_path.rstrip('/')}_stage/batch_id={batch_id}"
+    frame.write.mode("overwrite").parquet(stage)
+    frame = spark.read.schema(frame.schema).parquet(stage)
     existing = frame.limit(0)
     if path_exists(spark, table_path):
         existing = (
