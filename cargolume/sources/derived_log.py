@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolume.contract import EVENT_COLUMNS, EVENT_TYPES
-from cargolume.sources.tables import table
+from cargolume.sources.tables import spread, table
 
 TOPIC = "commerce.events.v1"
 
@@ -148,7 +148,7 @@ def _log(spark: SparkSession, sf_dir: str, kinds: Iterable[str], select: str) ->
         text = text.replace(f"%({name})s", value)
     return spark.sql(
         text,
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
     )
