@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from cargolume.catalog import QUERIES
@@ -41,6 +42,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -8,7 +8,7 @@ from cargolume.catalog.logs import with_log
 from cargolume.catalog.registry import query
 from cargolume.operators import chunking, retrieval
 from cargolume.sources.derived_log import event_log
-from cargolume.sources.tables import table
+from cargolume.sources.tables import spread, table
 
 # Documents as markdown: a heading per document, another after each line that ends a sentence.
 _MARKDOWN = r"""concat('# ', source, ' ', lang, chr(10), replace(replace(text, concat('.', chr(10)),
@@ -46,7 +46,7 @@ def chunk_sql(select: str, extra: str = "") -> str:
 
 
 def markdown(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
+    return spread(table(spark, sf, "documents")).selectExpr(
         "concat('doc-', doc_id) document_id", "source", "lang", f"{_MARKDOWN} text"
     )
 

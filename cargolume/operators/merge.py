@@ -33,24 +33,26 @@ def dedup_candidates(batch: DataFrame) -> DataFrame:
     return first_per(lowered, ["event_id"], list(SOURCE_KEY))
 
 
-def _known(existing: DataFrame, batch: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Batch keys already present in the existing table.
+def _absent(batch: DataFrame, existing: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Batch rows whose key the existing table lacks.
 
     With a small batch the existing side is only scanned for its key columns and probed
-    against the broadcast batch: the large table is never shuffled.
+    against the broadcast batch keys, so the large table is never shuffled. Otherwise one
+    shuffled anti join does it.
     """
-    wanted = batch.select(*keys).distinct()
     present = existing.select(*keys)
-    return present.join(F.broadcast(wanted) if small else wanted, keys, "left_semi").distinct()
+    if small:
+        wanted = batch.select(*keys).distinct()
+        present = present.join(F.broadcast(wanted), keys, "left_semi").distinct()
+    return batch.join(present, keys, "left_anti").select(*batch.columns)
 
 
 def anti_existing_event_ids(batch: DataFrame, existing: DataFrame, small: bool = False) -> DataFrame:
-    return batch.join(_known(existing, batch, ["event_id"], small), "event_id", "left_anti")
+    return _absent(batch, existing, ["event_id"], small)
 
 
 def anti_existing_source(batch: DataFrame, existing: DataFrame, small: bool = False) -> DataFrame:
-    keys = list(SOURCE_KEY)
-    return batch.join(_known(existing, batch, keys, small), keys, "left_anti")
+    return _absent(batch, existing, list(SOURCE_KEY), small)
 
 
 def merge_new_events(
