@@ -20,13 +20,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest number of labelled rows the model is fitted on, and bytes of text looked at together.
-SAMPLE, BLOCK = 20_000, 4 << 20
+from cargolume.llm.blocks import MIX, blocks, word_codes, word_starts
+
+#: Largest number of labelled rows the model is fitted on.
+SAMPLE = 20_000
 FEATURES = (
     "log_chars log_words upper_share letter_share digit_share bangs_per_word bars_per_word "
     "symbols_per_word stops_per_word repeated_share distinct_share mean_word longest_word lines_per_word"
@@ -50,7 +51,6 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
-MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _block(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -66,17 +66,11 @@ def _block(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
     chars, letters = count((kinds & HEAD) > 0), count((kinds & LETTER) > 0)
     solid = (kinds & SPACE) == 0
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    first = cuts[:-1][cuts[:-1] < cuts[1:]]
-    begins[first] = solid[first]
-    starts = np.flatnonzero(begins)
-    owner = np.searchsorted(cuts, starts, "right") - 1
+    starts, owner = word_starts(solid, cuts)
     words = np.bincount(owner, minlength=docs).astype(float)
     repeated, distinct, longest, total = (np.zeros(docs) for _ in range(4))
     if len(starts):
-        place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-        code = np.add.reduceat(np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * MIX[place & 63], np.uint64(0)), starts)
+        code = word_codes(data, solid, starts)
         size = np.add.reduceat((solid & ((kinds & HEAD) > 0)).astype(np.int64), starts)
         same = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
         repeated = np.bincount(owner[1:][same], minlength=docs).astype(float)
@@ -97,17 +91,7 @@ def _block(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def features_of(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES per text; whole texts, a bounded number of bytes at a time."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    buffers = texts.buffers()
-    cuts = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, dtype=np.uint8)
-    out, at = [np.zeros((0, len(FEATURES)))], 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
-        end = min(end, len(texts))
-        out.append(_block(data[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at]))
-        at = end
-    return np.concatenate(out)
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(_block(*b) for b in blocks(texts))])
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
