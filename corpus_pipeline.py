@@ -1,17 +1,45 @@
 """The corpus pipeline: stages over `documents`, each applying one operator of cargolume.llm.
 
 Each stage gets what its predecessor kept, written as Parquet, and returns the columns of documents;
-the last adds the token ids. Rows of empty tables, null texts and repeated rows follow the rules of
-the operators' own docstrings.
+the last adds the token ids and the text they decode to. Null texts are empty texts; rows with a null
+id stay, unless their text is rejected; empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cargolume.llm.bpe import encode_documents
-from cargolume.llm.common import table, written
+from cargolume.llm.common import fold_of, table, written
+from cargolume.llm.dedup import near_duplicates
+from cargolume.llm.mixing import mix_documents
+from cargolume.llm.quality import scorer, text_features, train
 from cargolume.llm.queries.op3 import TOKENIZER
+from cargolume.llm.queries.op9 import FOLDS, HELD_OUT, LEAST
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; all of them if there is no label to learn from."""
+    featured = docs.select("doc_id", text_features("text").alias("features"))
+    model = train(featured, table(spark, sf_dir, "labels"), fold_of("doc_id", FOLDS) == HELD_OUT)
+    if not model.edges:
+        return docs
+    return docs.filter(scorer(model)(text_features("text")) >= LEAST)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one of smallest id."""
+    classes = near_duplicates(docs)
+    others = classes.filter("doc_id <> class_id").select("doc_id").distinct()
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are no copies
+    kept = docs.join(others, "doc_id", "left_anti").withColumn("__salt", salt)
+    return kept.dropDuplicates(["doc_id", "__salt"]).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: some documents twice, some not at all."""
+    return mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs, TOKENIZER)
 
 
-STAGES = [("bpe_encoding", encode)]
+STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_dedup), ("source_mixing", mix), ("bpe_encoding", encode)]
 
 #: Scores, signatures and token ids are beyond SQL; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
