@@ -39,7 +39,7 @@ _LAW = np.exp(-1) * np.cumsum(1 / np.cumprod([1.0, *range(1, 16)]))
 POISSON = (_LAW[:12] * 2.0**64).astype(np.uint64)
 UNIT = 2.0**-53
 #: Squares whose darts are thrown together.
-SQUARES = 1 << 21
+SQUARES = 1 << 18
 
 
 def _throw(owner: np.ndarray, codes: np.ndarray, weights: np.ndarray, limit: np.ndarray, best: np.ndarray) -> None:
