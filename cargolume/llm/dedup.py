@@ -1,16 +1,19 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-A document is the multiset of its five-word shingles, a shingle's count its weight. Hashing throws
+A document is a weighted set of its five-word shingles: each weighs one, so that similarity is the
+Jaccard similarity of shingle sets, or with `counted` as much as it occurs. (Counts make two documents
+alike that repeat one common line and share nothing else; hence they are not the default.) Hashing throws
 darts onto the (element, weight, rank) space, about one per unit square, the same for all documents.
 A document holds the darts below its weights; of those that fall to a coordinate, it keeps the one of
 smallest rank. Only ranks up to about k ln k / weight can matter, so a signature costs the number of
 shingles plus k ln k, not their product. Two documents agree in a coordinate with the probability of
 their weighted Jaccard similarity.
 
-Bands of coordinates are bucket keys. Exact copies are one node. In a bucket, every node is compared
-with one pivot; buckets that still hold several classes are gone through again: against the other end,
-and along a keyed order (each with the seven before it); those with more than eight members are
-narrowed by requiring two of them at once. Candidates are verified on the exact shingle multisets, links
+Bands of coordinates are bucket keys. Exact copies are one node. A bucket's pivot is its smallest node;
+every node is compared with the smallest of its pivots, those left in another class with the next. Then
+buckets that still hold several classes are gone through, as far as classes differ: each member against
+both ends and, in buckets of up to eight, against the others; larger ones are first narrowed to those
+that share another large one, and gone along in a keyed order (the seven before it). Candidates are verified on the exact weighted shingles, links
 are joined into classes. At 0.8, two documents share no band with probability 6e-5.
 
 Cases: null texts are empty; texts without words are alone in their class; texts of fewer than five
@@ -98,7 +101,7 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), pa.array(values))
 
 
-def signature_udf(width: int, bands: int, rows: int):
+def signature_udf(width: int, bands: int, rows: int, counted: bool):
     """text -> band keys; empty for a text without words."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -108,7 +111,8 @@ def signature_udf(width: int, bands: int, rows: int):
             for data, cuts in blocks(texts):
                 owner, codes, counts = shingles(data, cuts, width)
                 n = len(cuts) - 1
-                best = dart_signatures(owner, codes, counts.astype(float), n, bands * rows)
+                weights = counts.astype(float) if counted else np.ones(len(codes))
+                best = dart_signatures(owner, codes, weights, n, bands * rows)
                 some = np.isfinite(best[:, 0])
                 keys.append(band_keys(best[some], bands, rows).reshape(-1))
                 sizes.append(some * bands)
@@ -117,8 +121,8 @@ def signature_udf(width: int, bands: int, rows: int):
     return run
 
 
-def shingle_udf(width: int):
-    """text -> its shingle codes, sorted; a code that occurs n times follows as n codes of its own."""
+def shingle_udf(width: int, counted: bool):
+    """text -> its shingle codes, sorted; if counted, one that occurs n times as n codes of its own."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -126,6 +130,7 @@ def shingle_udf(width: int):
             values, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for data, cuts in blocks(texts):
                 owner, codes, counts = shingles(data, cuts, width)
+                counts = counts if counted else np.ones_like(counts)
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 codes = mixed(np.repeat(codes, counts) + nth.astype(np.uint64) * MIX[40])
                 owner = np.repeat(owner, counts)
@@ -138,7 +143,7 @@ def shingle_udf(width: int):
 
 @F.arrow_udf(T.DoubleType())
 def similarity(ones: pa.Array, twos: pa.Array) -> pa.Array:
-    """Weighted Jaccard of two shingle multisets as `shingle_udf` gives them."""
+    """Weighted Jaccard of two documents' shingles as `shingle_udf` gives them."""
     out = []
     for one, two in zip(ones, twos):
         a, b = one.values.to_numpy(), two.values.to_numpy()
@@ -157,6 +162,23 @@ def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return sides.select("a", "b", similarity("codes_a", "codes_b").alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def _parted(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs whose classes differ."""
+    if labels is None:
+        return pairs
+    for c in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
+    return pairs.filter(~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))).select("a", "b")
+
+
+def _linked(pairs: DataFrame, held: DataFrame, least: float, links: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links, all pairs tested and all labels, after these pairs."""
+    pairs, _ = written(pairs, "dedup-pairs")
+    found, _ = written(_verified(pairs, held, least), "dedup-links")
+    links = found if links is None else links.unionByName(found)
+    return links, pairs if tested is None else tested.unionByName(pairs), components(links)
+
+
 def _along(members: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket with the seven before it in a keyed order, classes differing."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
@@ -165,37 +187,39 @@ def _along(members: DataFrame) -> DataFrame:
     return pairs.filter("label <> other.label").select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """(doc_id, class_id) per row; the class is the smallest id joined by links, or the row's own."""
     rows_of = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    signed, _ = written(rows_of.select("id", digest.alias("digest"), signature_udf(width, bands, rows)("text").alias("keys")), "dedup-signatures")
+    signed, _ = written(rows_of.select("id", digest.alias("digest"), signature_udf(width, bands, rows, counted)("text").alias("keys")), "dedup-signatures")
     with_words = signed.filter("size(keys) > 0 and id is not null")
     groups, _ = written(with_words.groupBy("digest").agg(F.min("id").alias("node")), "dedup-groups")
     nodes = with_words.join(groups, "digest").filter("id = node")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).filter("pivot < far")
     buckets, _ = written(keyed.join(ends, "key"), "dedup-buckets")
-    pairs, _ = written(buckets.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "dedup-pairs")
     met = buckets.select("node").distinct()
     texts = rows_of.join(met, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"])
-    held, _ = written(texts.select(F.col("id").alias("node"), shingle_udf(width)("text").alias("codes")), "dedup-shingles")
-    links, _ = written(_verified(pairs, held, least), "dedup-links")
-    labels = components(links)
-    # buckets that hold several classes
-    members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("pivot")
-    mixed_ = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    members, _ = written(members.join(mixed_.select("key", "n"), "key"), "dedup-members")
-    far = members.filter("node < far").select(F.col("node").alias("a"), F.col("far").alias("b"))
+    held, _ = written(texts.select(F.col("id").alias("node"), shingle_udf(width, counted)("text").alias("codes")), "dedup-shingles")
+    # one pivot per node at first, twice: most of a group of copies is one class then
+    links, tested, labels = None, None, None
+    for _ in range(2):
+        pairs = _parted(buckets.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), labels)
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        links, tested, labels = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), held, least, links, tested)
+    # then every bucket that still holds several classes
+    members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    members, _ = written(members.join(several.select("key", "n"), "key"), "dedup-members")
+    ends = members.select(F.explode(F.array("pivot", "far")).alias("end"), "node").filter("end <> node")
+    ends = _parted(ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct(), labels)
     large = members.filter("n > 8").select("node", "label", "key")
-    twice = large.join(large.select("node", F.col("key").alias("other")).distinct(), "node").filter("key < other")
+    twice = large.join(large.select("node", F.col("key").alias("other")), "node").filter("key < other")
     twice = twice.select("node", "label", F.xxhash64("key", "other").alias("key"))
-    first = F.min("node").over(Window.partitionBy("key"))
-    star = twice.withColumn("pivot", first).filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    more = far.unionByName(_along(members.select("node", "label", "key"))).unionByName(star).unionByName(_along(twice))
-    more, _ = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "dedup-more")
-    links_too, _ = written(_verified(more, held, least), "dedup-links")
-    labels = components(links.unionByName(links_too))
+    first = F.min(F.struct("node", "label")).over(Window.partitionBy("key"))
+    star = twice.withColumn("first", first).filter("label <> first.label").select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
+    more = ends.unionByName(_along(members.filter("n <= 8").select("node", "label", "key"))).unionByName(star).unionByName(_along(twice))
+    links, tested, labels = _linked(more.distinct().join(tested, ["a", "b"], "left_anti"), held, least, links, tested)
     to = groups.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     out = signed.join(to, "digest", "left")
     alone = F.when((F.size("keys") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id"))
