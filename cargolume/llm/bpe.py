@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 SUFFIX = "</w>"
 #: Words remembered by each Python worker; beyond it the memory is emptied, results do not change.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: The pre-tokenizer's pattern and the Unicode White_Space characters.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -265,8 +265,8 @@ def encode_udf(path: str):
         bpe = tables(path)
         for texts in batches:
             rows = []
-            for at in range(0, len(texts), 256):
-                ids = bpe.encode([t or "" for t in texts[at : at + 256].to_pylist()])
+            for at in range(0, len(texts), 128):
+                ids = bpe.encode([t or "" for t in texts[at : at + 128].to_pylist()])
                 rows += [{"ids": i, "n_tokens": len(i) // 4, "decoded": bpe.decode(i)} for i in ids]
             yield pa.array(rows, type=kind)
 
