@@ -12,8 +12,9 @@ their weighted Jaccard similarity.
 Bands of coordinates are bucket keys. Exact copies are one node. A bucket's pivot is its smallest node;
 every node is compared with the smallest of its pivots, those left in another class with the next. Then
 buckets that still hold several classes are gone through, as far as classes differ: each member against
-both ends and, in buckets of up to eight, against the others; larger ones are first narrowed to those
-that share another large one, and gone along in a keyed order (the seven before it). Candidates are verified on the exact weighted shingles, links
+both ends and, in buckets of up to eight, against the others; larger ones are narrowed to those that
+share another large one, and these are compared with their smallest and along a keyed order (the seven
+before it). This is repeated in other orders until no link is found. Candidates are verified on the exact weighted shingles, links
 are joined into classes. At 0.8, two documents share no band with probability 6e-5.
 
 Cases: null texts are empty; texts without words are alone in their class; texts of fewer than five
@@ -23,6 +24,7 @@ rows with a null id keep a null class; empty tables give empty results; other co
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ from cargolume.llm.graph import components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
+#: A large bucket is paired with so many of the node's next ones.
+TWICE = 8
 #: Darts in a unit square follow the Poisson law of mean one: its distribution function, as 64-bit numbers.
 _LAW = np.exp(-1) * np.cumsum(1 / np.cumprod([1.0, *range(1, 16)]))
 POISSON = (_LAW[:12] * 2.0**64).astype(np.uint64)
@@ -179,9 +183,9 @@ def _linked(pairs: DataFrame, held: DataFrame, least: float, links: DataFrame |
     return links, pairs if tested is None else tested.unionByName(pairs), components(links)
 
 
-def _along(members: DataFrame) -> DataFrame:
+def _along(members: DataFrame, turn: int) -> DataFrame:
     """(a, b): each member of a bucket with the seven before it in a keyed order, classes differing."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "node"), "node")
     before = F.collect_list(F.struct("node", "label")).over(order.rowsBetween(-7, -1))
     pairs = members.withColumn("before", before).select("node", "label", F.explode("before").alias("other"))
     return pairs.filter("label <> other.label").select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
@@ -207,19 +211,26 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         pairs = _parted(buckets.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), labels)
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         links, tested, labels = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), held, least, links, tested)
-    # then every bucket that still holds several classes
-    members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    members, _ = written(members.join(several.select("key", "n"), "key"), "dedup-members")
-    ends = members.select(F.explode(F.array("pivot", "far")).alias("end"), "node").filter("end <> node")
-    ends = _parted(ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct(), labels)
-    large = members.filter("n > 8").select("node", "label", "key")
-    twice = large.join(large.select("node", F.col("key").alias("other")), "node").filter("key < other")
-    twice = twice.select("node", "label", F.xxhash64("key", "other").alias("key"))
-    first = F.min(F.struct("node", "label")).over(Window.partitionBy("key"))
-    star = twice.withColumn("first", first).filter("label <> first.label").select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
-    more = ends.unionByName(_along(members.filter("n <= 8").select("node", "label", "key"))).unionByName(star).unionByName(_along(twice))
-    links, tested, labels = _linked(more.distinct().join(tested, ["a", "b"], "left_anti"), held, least, links, tested)
+    # then buckets that still hold several classes, in another order each time, until nothing is found
+    for turn in itertools.count():
+        members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+        members, _ = written(members.join(several.select("key", "n"), "key"), "dedup-members")
+        own = members.filter("n > 8").groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a key per band at most
+        twice = own.select("node", "label", F.posexplode("keys").alias("place", "key"), "keys")
+        twice = twice.select("node", "label", "key", F.explode(F.slice("keys", F.col("place") + 2, F.lit(TWICE))).alias("other"))
+        twice = twice.select("node", "label", F.xxhash64("key", "other").alias("key"))
+        more = _along(members.filter("n <= 8").select("node", "label", "key"), turn).unionByName(_along(twice, turn))
+        if not turn:
+            ends = members.select(F.explode(F.array("pivot", "far")).alias("end"), "node").filter("end <> node")
+            first = F.min(F.struct("node", "label")).over(Window.partitionBy("key"))
+            star = twice.withColumn("first", first).filter("label <> first.label").select(F.col("first.node").alias("end"), "node")
+            ends = ends.unionByName(star).select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b"))
+            more = more.unionByName(_parted(ends.distinct(), labels))
+        had = links.count()
+        links, tested, labels = _linked(more.distinct().join(tested, ["a", "b"], "left_anti"), held, least, links, tested)
+        if links.count() == had:
+            break
     to = groups.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     out = signed.join(to, "digest", "left")
     alone = F.when((F.size("keys") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id"))
