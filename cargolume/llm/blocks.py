@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text looked at together; one longer text is looked at alone.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Texts of a batch copied together.
+ROWS = 1024
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -17,16 +19,17 @@ MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint
 
 def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, cuts): text i of the block is bytes[cuts[i]:cuts[i + 1]]; nulls are empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    buffers = texts.buffers()
-    cuts = np.frombuffer(buffers[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, dtype=np.uint8)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
-        end = min(end, len(texts))
-        yield data[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at]
-        at = end
+    for begin in range(0, len(texts), ROWS):
+        part = pc.fill_null(texts[begin : begin + ROWS], "").cast(pa.large_string())
+        buffers = part.buffers()
+        cuts = np.frombuffer(buffers[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, dtype=np.uint8)
+        at = 0
+        while at < len(part):
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
+            end = min(end, len(part))
+            yield data[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at]
+            at = end
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

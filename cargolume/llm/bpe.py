@@ -264,11 +264,9 @@ def encode_udf(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tables(path)
         for texts in batches:
-            rows = []
             for at in range(0, len(texts), 128):
                 ids = bpe.encode([t or "" for t in texts[at : at + 128].to_pylist()])
-                rows += [{"ids": i, "n_tokens": len(i) // 4, "decoded": bpe.decode(i)} for i in ids]
-            yield pa.array(rows, type=kind)
+                yield pa.array([{"ids": i, "n_tokens": len(i) // 4, "decoded": bpe.decode(i)} for i in ids], type=kind)
 
     return run
 
