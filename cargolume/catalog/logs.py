@@ -4,17 +4,18 @@ from __future__ import annotations
 
 _JOURNEYS = """
 o as (
-  select o_orderkey k, o_orderkey // 120 q, (o_orderkey * 7919) % 120 h,
+  select *, case when h0 = 102 and region = 'us-east' and (q + k) % 10 <> 0 then 103 else h0 end h
+  from (select o_orderkey k, o_orderkey // 120 q, (o_orderkey * 7919) % 120 h0,
     cast(o_totalprice as decimal(14,2)) amt, o_custkey c,
     case n_regionkey % 4 when 0 then 'us-east' when 1 then 'us-west'
       when 2 then 'eu-west' else 'ap-south' end region
-  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)),
 j as (
   select *, h * 3600 + (k * 104729) % 1500 s,
     (q * 37 + k) % 100 < (case when h = 100 and region = 'ap-south' then 65 else 3 end) failed,
     (q * 53 + k) % 100 < (case when h = 60 and region = 'eu-west' then 65 else 4 end) late,
     (q * 71 + k) % 100 < (case when h = 101 and region = 'us-west' then 50 else 2 end) refund
-  from o where not (h = 102 and region = 'us-east' and (q + k) % 10 <> 0)),
+  from o),
 v as (
   select 0 i, 'customer_login' t, 'authenticated' st, s - 60 s2, k, c, region,
     cast(null as decimal(14,2)) amt, true cu, false od, false pr from j

@@ -150,8 +150,7 @@ delays as (select order_id, count(*) delay_event_count, min(event_ts) first_dela
 fct_shipments as (select md5(event_id) shipment_key, event_id source_event_id,
   event_ts shipment_created_at, e.order_id, {_KEYS}, shipment_provider, status,
   coalesce(delay_event_count, 0) delay_event_count, coalesce(delay_event_count, 0) > 0 was_delayed,
-  first_delayed_at, last_delayed_at, ids[1] first_delay_source_event_id,
-  array_to_string(ids, '|') delay_source_event_ids, {_TAIL}
+  first_delayed_at, last_delayed_at, ids[1] first_delay_source_event_id, {_TAIL}
   from e left join delays on delays.order_id = e.order_id where event_type = 'shipment_created')"""
 
 
@@ -191,7 +190,7 @@ def _(spark, sf):
     "shipment_delays_by_order",
     facts_sql(
         """select order_id, delay_event_count, first_delayed_at, last_delayed_at,
-        ids[1] first_delay_source_event_id, array_to_string(ids, '|') delay_source_event_ids
+        ids[1] first_delay_source_event_id
         from delays"""
     ),
 )
@@ -199,6 +198,18 @@ def _(spark, sf):
     return facts.shipment_delays_by_order(event_log(spark, sf, ("shipment_delayed",)))
 
 
+@query(
+    "shipment_delay_ids",
+    facts_sql(
+        """select order_id, row_number() over (partition by order_id order by event_ts, event_id)
+        ordinal, event_ts delayed_at, event_id delay_source_event_id
+        from e where event_type = 'shipment_delayed'"""
+    ),
+)
+def _(spark, sf):
+    return facts.shipment_delay_ids(event_log(spark, sf, ("shipment_delayed",)))
+
+
 @query("fct_shipments_b", facts_sql("select * from fct_shipments"))
 def _(spark, sf):
     return facts.fct_shipments(event_log(spark, sf, SHIP))
@@ -287,36 +298,33 @@ shipments as (select date_trunc('hour', shipment_created_at) shipment_creation_h
 refunds as (select date_trunc('hour', refund_requested_at) refund_request_hour_utc, region_key,
   region_code, count(*) refund_request_count, sum(requested_amount)::double requested_amount
   from fct_refund_requests group by 1, 2, 3),
-hourly_orders as (select date_trunc('hour', order_created_at) metric_hour_utc, region_key,
-  region_code, count(*) order_count from fct_orders group by 1, 2, 3),
-grain as (
-  select metric_hour_utc, region_key, region_code from hourly_orders
-  union select revenue_hour_utc, region_key, region_code from revenue
-  union select payment_hour_utc, region_key, region_code from payments
-  union select shipment_creation_hour_utc, region_key, region_code from shipments
-  union select refund_request_hour_utc, region_key, region_code from refunds),
+tagged as (
+  select date_trunc('hour', order_created_at) metric_hour_utc, region_key, region_code, 'order' tag,
+    null::decimal(18,2) money, 0::bigint delays from fct_orders
+  union all select date_trunc('hour', payment_event_ts), region_key, region_code,
+    case when payment_succeeded then 'paid' else 'unpaid' end, payment_amount, 0
+    from fct_payment_attempts
+  union all select date_trunc('hour', shipment_created_at), region_key, region_code,
+    case when was_delayed then 'late' else 'shipped' end, null, delay_event_count from fct_shipments
+  union all select date_trunc('hour', refund_requested_at), region_key, region_code, 'refund',
+    requested_amount, 0 from fct_refund_requests),
+counted as (
+  select metric_hour_utc, region_key, region_code, count(*) filter (tag = 'order') orders,
+    count(*) filter (tag = 'paid') paid, count(*) filter (tag = 'unpaid') unpaid,
+    count(*) filter (tag = 'late') late, count(*) filter (tag in ('late', 'shipped')) shipped,
+    sum(delays) delays, count(*) filter (tag = 'refund') refunds,
+    coalesce(sum(money) filter (tag = 'paid'), 0) revenue,
+    coalesce(sum(money) filter (tag = 'refund'), 0) refunded
+  from tagged group by all),
+grain as (select metric_hour_utc, region_key, region_code from counted),
 health as (
-  select g.metric_hour_utc, g.region_key, g.region_code, coalesce(o.order_count, 0) order_count,
-    coalesce(r.successful_payment_count, 0) successful_payment_count,
-    coalesce(r.revenue_amount, 0) revenue_amount,
-    coalesce(p.payment_attempt_count, 0) payment_attempt_count,
-    coalesce(p.failed_payment_count, 0) failed_payment_count,
-    p.failure_rate payment_failure_rate,
-    coalesce(s.shipment_created_count, 0) shipment_created_count,
-    coalesce(s.delayed_shipment_count, 0) delayed_shipment_count,
-    coalesce(s.shipment_delay_event_count, 0) shipment_delay_event_count,
-    s.delayed_shipment_rate,
-    coalesce(f.refund_request_count, 0) refund_request_count,
-    coalesce(f.requested_amount, 0) refund_requested_amount,
-    {micro("coalesce(f.refund_request_count, 0)", "o.order_count")} refund_requests_per_order
-  from grain g
-  left join hourly_orders o using (metric_hour_utc, region_key)
-  left join revenue r on g.metric_hour_utc = r.revenue_hour_utc and g.region_key = r.region_key
-  left join payments p on g.metric_hour_utc = p.payment_hour_utc and g.region_key = p.region_key
-  left join shipments s on g.metric_hour_utc = s.shipment_creation_hour_utc
-    and g.region_key = s.region_key
-  left join refunds f on g.metric_hour_utc = f.refund_request_hour_utc
-    and g.region_key = f.region_key)"""
+  select metric_hour_utc, region_key, region_code, orders order_count, paid successful_payment_count,
+    revenue::double revenue_amount, paid + unpaid payment_attempt_count, unpaid failed_payment_count,
+    {micro("unpaid", "paid + unpaid")} payment_failure_rate, shipped shipment_created_count,
+    late delayed_shipment_count, delays::bigint shipment_delay_event_count,
+    {micro("late", "shipped")} delayed_shipment_rate, refunds refund_request_count,
+    refunded::double refund_requested_amount, {micro("refunds", "orders")} refund_requests_per_order
+  from counted)"""
 
 
 def marts_sql(select: str, extra: str = "") -> str:
@@ -374,7 +382,9 @@ def _(spark, sf):
     return HOURLY["refunds"](spark, sf)
 
 
-@query("orders_hourly", marts_sql("select * from hourly_orders"))
+@query("orders_hourly", marts_sql(
+    "select metric_hour_utc, region_key, region_code, orders order_count from counted where orders > 0"
+))
 def _(spark, sf):
     return HOURLY["orders"](spark, sf)
 
@@ -421,7 +431,8 @@ ops_a as (select event_hour metric_hour, region, count(*) event_count,
   count(*) filter (where event_type = 'refund_requested') refund_request_count,
   avg(processing_latency_ms) average_processing_latency_ms, max(processed_at) warehouse_updated_at
   from p group by 1, 2),
-known as (select distinct order_id from p where event_type = 'order_created' and event_timestamp < timestamp '2026-09-05'),
+known as (select distinct case when event_timestamp < timestamp '2026-09-05' then order_id
+  else 'moved-' || order_id end order_id from p where event_type = 'order_created'),
 dq_a as (select event_hour metric_hour, region,
   count(*) filter (where event_type in ('payment_processed', 'payment_failed')
     and order_id not in (select order_id from known)) orphan_payment_attempt_count,
@@ -439,9 +450,10 @@ def _stg_a(spark, sf):
 
 
 def _quality_a(spark, sf):
-    # Orders of the last day have not arrived yet, so the mart has orphans to find.
-    known = processed_log(spark, sf, ("order_created",)).filter(
-        "event_timestamp < timestamp'2026-09-05 00:00:00Z'"
+    # Orders of the last day came in under other ids, so the mart has orphans to find.
+    known = processed_log(spark, sf, ("order_created",)).withColumn(
+        "order_id",
+        F.expr("if(event_timestamp < timestamp'2026-09-05 00:00:00Z', order_id, 'moved-' || order_id)"),
     )
     return marts.mart_data_quality_hourly_a(_stg_a(spark, sf), facts.fct_orders_a(known))
 

@@ -142,7 +142,7 @@ def _(spark, sf):
     ops_sql(
         """select count(*) filter (where broken = 0) consecutive_failures from (select sum(case when
         status <> 'failed' then 1 else 0 end) over (order by started_at desc, build_id desc) broken
-        from (select * from bl order by started_at desc, build_id desc limit 100))"""
+        from bl)"""
     ),
 )
 def _(spark, sf):
@@ -196,7 +196,7 @@ sm(metric, label, "value") as (
     where completed_at is not null
   union all select 'consecutive_failures', null, count(*) filter (where broken = 0) from (select
     sum(case when status <> 'failed' then 1 else 0 end) over (order by started_at desc, build_id desc)
-    broken from (select * from bl order by started_at desc, build_id desc limit 100))
+    broken from bl)
   union all select 'publication_present', null, count(*) from pu
   union all select 'last_success_epoch', null, epoch(published_at) from pu
   union all select 'published_ingested_epoch', null, epoch(source_max_ingested_at) from pu

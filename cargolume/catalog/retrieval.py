@@ -8,7 +8,7 @@ from cargolume.catalog.logs import with_log
 from cargolume.catalog.registry import query
 from cargolume.operators import chunking, retrieval
 from cargolume.sources.derived_log import event_log
-from cargolume.sources.tables import spread, table
+from cargolume.sources.tables import table
 
 # Documents as markdown: a heading per document, another after each line that ends a sentence.
 _MARKDOWN = r"""concat('# ', source, ' ', lang, chr(10), replace(replace(text, concat('.', chr(10)),
@@ -46,7 +46,7 @@ def chunk_sql(select: str, extra: str = "") -> str:
 
 
 def markdown(spark, sf):
-    return spread(table(spark, sf, "documents")).selectExpr(
+    return table(spark, sf, "documents").selectExpr(
         "concat('doc-', doc_id) document_id", "source", "lang", f"{_MARKDOWN} text"
     )
 
@@ -99,8 +99,7 @@ def _(spark, sf):
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
 _LEX = f"""
-tm as (select cast(item_id as varchar) query_id, t term from (select item_id, unnest(list_slice(
-  list_distinct_ordered, 1, 12)) t from (select item_id, list_filter(ws, lambda w, i:
+tm as (select cast(item_id as varchar) query_id, t term from (select item_id, unnest(list_distinct_ordered) t from (select item_id, list_filter(ws, lambda w, i:
   list_position(ws, w) = i) list_distinct_ordered from (select item_id,
   regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') ws from benchmark))) where t not in {_STOP}),
 wd as (select id, term, count(*) hits from (select id, unnest(regexp_extract_all(lower(text),

@@ -11,7 +11,7 @@ from cargolume.catalog.registry import query
 from cargolume.contract import ENVELOPE_SCHEMA, RAW_SCHEMA
 from cargolume.operators import metrics
 from cargolume.operators.classify import classify_events
-from cargolume.operators.envelope import event_sink_rows
+from cargolume.operators.envelope import accepted_events, event_sink_rows
 from cargolume.operators.validate import validate_events
 from cargolume.session import scratch_dir
 from cargolume.sources.derived_log import envelope_log
@@ -19,7 +19,7 @@ from cargolume.sources.retention import retention_candidates
 from cargolume.sources.tables import table
 from cargolume.streaming import queries as jobs
 from cargolume.streaming import sinks
-from cargolume.streaming.progress import progress_row
+from cargolume.streaming.progress import PROGRESS_SCHEMA, ProgressTable
 
 NOW_TRIGGER = {"availableNow": True}
 _VALID = """vd as (select j_event_id event_id, j_event_type event_type, at_utc event_ts,
@@ -50,10 +50,10 @@ def raw_layer(spark, sf):
     return layout, query_
 
 
-def store(spark, sf):
+def store(spark, sf, files_per_trigger=1000):
     """Raw archive and event store after one complete run."""
     layout, _ = raw_layer(spark, sf)
-    validated = validate_events(jobs.read_raw_stream(spark, layout))
+    validated = validate_events(jobs.read_raw_stream(spark, layout, files_per_trigger))
     jobs.start_valid_events(validated, layout, NOW_TRIGGER).awaitTermination()
     return layout, sinks.EventStore(spark, layout.root)
 
@@ -76,11 +76,16 @@ def _(spark, sf):
 
 @query("progress_table", env_sql("select count(*) input_rows, 0::bigint watermark_dropped from js"))
 def _(spark, sf):
-    _, query_ = raw_layer(spark, sf)
-    rows = [progress_row(report.json) for report in query_.recentProgress]
-    from cargolume.streaming.progress import PROGRESS_SCHEMA
-
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA).agg(
+    # Reports reach the listener one by one; none is lost however long the query runs.
+    listener, path = ProgressTable(), scratch_dir(spark, "progress")
+    spark.streams.addListener(listener)
+    try:
+        raw_layer(spark, sf)
+        listener.wait_terminated("raw")
+    finally:
+        spark.streams.removeListener(listener)
+    listener.flush(spark, path)
+    return spark.read.schema(PROGRESS_SCHEMA).parquet(path).filter("query = 'raw'").agg(
         F.sum("input_rows").alias("input_rows"), F.sum("watermark_dropped").alias("watermark_dropped")
     )
 
@@ -142,20 +147,80 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    # The same rows again: as a replay of the batch, then as a batch of another query.
+    # The same rows again: as a replay of the last batch, then as a batch of another query.
     layout, kept = store(spark, sf)
-    ledger = kept.manifests().orderBy("batch_id").first()
-    staged = spark.read.parquet(kept.batch_path("staged", ledger["query_id"], ledger["batch_id"]))
-    again = kept.write_batch(staged, ledger["batch_id"], ledger["query_id"])
-    other = kept.write_batch(staged, 0, "second-query")
+    ledger = kept.manifests().agg(
+        F.sum("row_count").alias("rows"), F.max_by(F.struct("query_id", "batch_id", "row_count"), "batch_id").alias("last")
+    ).first()
+    raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
+    rows = accepted_events(validate_events(raw))
+    again = kept.write_batch(rows, ledger["last"]["batch_id"], ledger["last"]["query_id"])
+    other = kept.write_batch(rows, 0, "second-query")
     return kept.read_committed("cleaned").agg(F.count("*").alias("stored_rows")).select(
-        F.lit(ledger["row_count"]).alias("first_inserted"),
-        F.lit(again).alias("replay_inserted"),
+        F.lit(ledger["rows"]).alias("first_inserted"),
+        F.lit(ledger["rows"] - ledger["last"]["row_count"] + again).alias("replay_inserted"),
         F.lit(other).alias("other_query_inserted"),
         "stored_rows",
     )
 
 
+class _Interrupted(RuntimeError):
+    pass
+
+
+@query(
+    "replay_after_crash",
+    vd_sql("select count(*) stored_rows, count(distinct event_id) stored_ids, 0::bigint retried from vd"),
+)
+def _(spark, sf):
+    # An attempt dies before its manifest, another query commits the same rows, then the retry runs.
+    layout, _ = raw_layer(spark, sf)
+    rows = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+
+    class Dying(sinks.EventStore):
+        def publish_manifest(self, *args):
+            raise _Interrupted
+
+    try:
+        Dying(spark, layout.root).write_batch(rows, 0, "first-query")
+    except _Interrupted:
+        pass
+    kept = sinks.EventStore(spark, layout.root)
+    kept.write_batch(rows, 0, "second-query")
+    retried = kept.write_batch(rows, 0, "first-query")
+    return kept.read_committed("cleaned").agg(
+        F.count("*").alias("stored_rows"), F.count_distinct("event_id").alias("stored_ids")
+    ).withColumn("retried", F.lit(retried).cast("bigint"))
+
+
+@query(
+    "replay_in_small_triggers",
+    vd_sql("select event_id, event_type, event_ts from vd"),
+)
+def _(spark, sf):
+    # Three raw files a trigger: files come in any event-time order, and nothing may be lost.
+    _, kept = store(spark, sf, files_per_trigger=3)
+    return kept.read_committed("cleaned").select("event_id", "event_type", "event_ts")
+
+
+@query(
+    "store_after_expiry",
+    vd_sql("select 0::bigint visible_rows, count(*) known_keys, 0::bigint accepted_again from vd"),
+)
+def _(spark, sf):
+    # All events expire; their keys stay, and a replay under another name accepts nothing.
+    layout, kept = store(spark, sf)
+    kept.expire_batches(datetime(2100, 1, 1, tzinfo=UTC))
+    visible = kept.read_committed("cleaned").count()
+    raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
+    again = kept.write_batch(accepted_events(validate_events(raw)), 0, "second-query")
+    return kept.read_committed("keys").agg(F.count("*").alias("known_keys")).select(
+        F.lit(visible).cast("bigint").alias("visible_rows"),
+        "known_keys",
+        F.lit(again).cast("bigint").alias("accepted_again"),
+    )
+
+
 @query(
     "stream_minute_totals",
     vd_sql(
@@ -168,10 +233,16 @@ def _(spark, sf):
     return kept.minute_totals().select("window_start", "event_type", "event_count", "total_amount")
 
 
-@query("late_reconciliation", vd_sql("select event_id, event_type, event_ts from vd"))
+@query(
+    "late_reconciliation",
+    vd_sql("select event_id, event_type, event_ts from vd where event_type <> 'customer_login'"),
+)
 def _(spark, sf):
-    # Nothing is stored yet, so the pass recovers every accepted event from raw.
+    # The store holds the logins alone, so the pass recovers every other accepted event from raw.
     layout, _ = raw_layer(spark, sf)
+    raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
+    logins = accepted_events(validate_events(raw)).filter("event_type = 'customer_login'")
+    sinks.EventStore(spark, layout.root).write_batch(logins, 0, "logins")
     return jobs.late_reconciliation(spark, layout).select("event_id", "event_type", "event_ts")
 
 

@@ -35,10 +35,8 @@ def validated(spark, sf):
 
 
 _ALLOWED = "[" + ", ".join(f"'{name}'" for name in c.PAYLOAD_FIELDS) + "]"
-_TYPES = "order_created payment_processed payment_failed shipment_created shipment_delayed " \
-    "refund_requested inventory_updated customer_login".split()
 _STATUS = " ".join(f"when '{k}' then '{v}'" for k, v in c.STATUS_OF_TYPE.items())
-_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+_UUID = c.UUID_TEXT
 
 # Fields of every parseable payload, then the two verdicts.
 _FIELDS = f"""
@@ -57,7 +55,7 @@ ca as (select *, list_filter([
   case when j_schema_version <> '1' then 'unsupported_schema_version' end,
   case when j_event_id is null or not regexp_matches(j_event_id, '{_UUID}')
     then 'invalid_event_id' end,
-  case when j_event_type not in {_words(_TYPES)} then 'invalid_event_type' end,
+  case when j_event_type not in {_words(c.EVENT_TYPES)} then 'invalid_event_type' end,
   case when at_utc is null or at_utc < timestamp '2020-01-01' or
     at_utc > timestamp '2026-09-08 00:05:00' then 'invalid_timestamp' end,
   case when j_region not in {_words(c.REGIONS)} then 'invalid_region' end,
@@ -84,7 +82,7 @@ _CODE_B = f"""
 cb as (select *, "timestamp" + interval 60 second ingested, case
   when not ok then 'malformed_json'
   when j_event_id is null then 'missing_event_id'
-  when j_event_type is null or j_event_type not in {_words(_TYPES)} then 'invalid_event_type'
+  when j_event_type is null or j_event_type not in {_words(c.EVENT_TYPES)} then 'invalid_event_type'
   when at_utc is null or j_status is null or coalesce(j_region not in {_words(c.REGIONS)}, true)
     or coalesce(j_currency, 'USD') <> 'USD' or coalesce(try_cast(j_amount as decimal(14,2)), 0) < 0
     then 'invalid_business_fields'
@@ -134,14 +132,15 @@ def _(spark, sf):
     "project_envelope",
     env_sql(
         f'''select {_SRC}, "timestamp" kafka_timestamp, decode("key") kafka_key,
-        to_base64("value") payload, raw_value from js where raw_value is not null'''
+        to_base64("value") payload, raw_value from js'''
     ),
 )
 def _(spark, sf):
     projected = envelope.project_envelope(envelope_log(spark, sf))
+    # All bytes come through; only their text differs between engines where it is no UTF-8.
     return (
-        projected.filter("is_valid_utf8(cast(raw_bytes as string))")
-        .withColumn("payload", F.regexp_replace(F.base64("raw_bytes"), r"\s", ""))
+        projected.withColumn("payload", F.regexp_replace(F.base64("raw_bytes"), r"\s", ""))
+        .withColumn("raw_value", F.expr("if(is_valid_utf8(raw_value), raw_value, null)"))
         .drop("raw_bytes")
     )
 
@@ -152,25 +151,19 @@ def _(spark, sf):
         f"""select {_SRC}, j_event_id source_event_id, j_event_type event_type,
         at_utc event_timestamp, j_customer_id customer_id, j_order_id order_id,
         j_product_id product_id, try_cast(j_amount as double) amount, j_amount amount_text,
-        quantity quantity_text, array_to_string(names, '|') field_names from fx where ok"""
+        quantity quantity_text, array_to_string(names, '|') field_names, ok readable from fx"""
     ),
 )
 def _(spark, sf):
     parsed = classify.parse_event_json(envelope.project_envelope(envelope_log(spark, sf)))
-    return parsed.filter(
-        "is_valid_utf8(cast(raw_bytes as string)) and parsed._corrupt_record is null"
-    ).select(
-        *c.SOURCE_KEY,
-        "source_event_id",
-        "event_type",
-        "event_timestamp",
-        "customer_id",
-        "order_id",
-        "product_id",
-        "amount",
-        "amount_text",
-        "quantity_text",
-        "field_names",
+    # Unreadable records stay, with no fields: what a broken text half yields differs by engine.
+    readable = "coalesce(is_valid_utf8(raw_value) and parsed._corrupt_record is null, false)"
+    fields = [
+        "source_event_id", "event_type", "event_timestamp", "customer_id", "order_id", "product_id",
+        "amount", "amount_text", "quantity_text", "field_names",
+    ]
+    return parsed.withColumn("readable", F.expr(readable)).select(
+        *c.SOURCE_KEY, *[F.when(F.col("readable"), F.col(n)).alias(n) for n in fields], "readable"
     )
 
 

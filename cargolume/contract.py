@@ -113,14 +113,77 @@ EVENT_COLUMNS = tuple(EVENT_SCHEMA.names)
 BUSINESS_COLUMNS = tuple(BUSINESS_SCHEMA.names)
 SOURCE_KEY = ("source_topic", "source_partition", "source_offset")
 
-# Ledger of committed micro-batches.
-LEDGER_SCHEMA = _struct(
-    [
-        ("query_id", T.StringType()),
-        ("batch_id", T.LongType()),
-        ("row_count", T.LongType()),
-        ("committed_at", T.TimestampType()),
-    ]
+# Texts of single fields.
+UUID_TEXT = (
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+)
+ID_TEXT = r"^\S{1,100}$"
+MONEY_TEXT = r"^(0|[1-9][0-9]{0,11})(\.[0-9]{1,2})?$"
+WHOLE_TEXT = "^(0|[1-9][0-9]*)$"
+TIME_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+
+# Codes of the classifier line, in the order a record reports them.
+CLASSIFIER_CODES = (
+    "malformed_json",
+    "unknown_field",
+    "unsupported_schema_version",
+    "invalid_event_id",
+    "invalid_event_type",
+    "invalid_timestamp",
+    "invalid_region",
+    "invalid_currency",
+    "invalid_status",
+    "invalid_customer_id",
+    "invalid_order_id",
+    "invalid_product_id",
+    "invalid_amount",
+    "invalid_payment_provider",
+    "invalid_shipment_provider",
+    "invalid_inventory_quantity",
+)
+
+# Columns of the classifier line's archive, of its event sink, and the members of its
+# dead-letter body.
+PLACE_COLUMNS = ("source_topic", "source_partition", "source_offset", "kafka_timestamp")
+ARCHIVE_COLUMNS = (
+    *PLACE_COLUMNS,
+    "kafka_key",
+    "raw_bytes",
+    "raw_value",
+    "source_event_id",
+    "validation_errors",
+    "is_valid",
+    "processed_at",
+    "ingest_date",
+)
+SINK_COLUMNS = (
+    "event_id",
+    "schema_version",
+    "event_type",
+    "event_timestamp",
+    "customer_id",
+    "order_id",
+    "product_id",
+    "amount",
+    "currency",
+    "payment_provider",
+    "shipment_provider",
+    "region",
+    "status",
+    "metadata_json",
+    *PLACE_COLUMNS,
+    "processed_at",
+    "processing_latency_ms",
+    "raw_value",
+)
+REJECTION_MEMBERS = (
+    "rejection_schema",
+    "source_event_id",
+    "validation_errors",
+    "raw_payload_base64",
+    "raw_value",
+    "source",
+    "processed_at",
 )
 
 # One row per state change of an analytics build; newest row per build wins.

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UUID_TEXT = (
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
-)
-
-
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -82,10 +75,6 @@ def rate(numerator: Column, denominator: Column) -> Column:
     return (top / bottom).cast("decimal(12,6)")
 
 
-def one_of(c: Column | str, values: Iterable[str]) -> Column:
-    return col(c).isin(*values)
-
-
 def computed_once(c: Column) -> Column:
     """The same value, marked so that the optimizer neither duplicates nor relocates it.
 

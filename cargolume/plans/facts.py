@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolume.contract import PAYMENT_TYPES, SHIPMENT_TYPES
@@ -17,10 +17,6 @@ _TAIL = [
     "ingested_at",
 ]
 
-# Longest list of delay ids carried inside one fact row. Longer lists stay whole in
-# `delay_links`, which is what evidence and every count are built from.
-MAX_INLINE_IDS = 1_000_000
-
 
 def _keys() -> list[Column]:
     return [
@@ -100,34 +96,30 @@ def shipment_delay_counts(stg: DataFrame) -> DataFrame:
     )
 
 
-def shipment_delays_by_order(stg: DataFrame, max_inline: int = MAX_INLINE_IDS) -> DataFrame:
-    """order -> delay count, first, last, first id and the ids in (time, id) order.
-
-    The count comes first, so only orders whose list fits a row are ever collected; an
-    order beyond `max_inline` gets a NULL list here and keeps every id in `delay_links`.
-    """
-    links = delay_links(stg)
-    first = links.groupBy("order_id").agg(
-        F.count("*").alias("delay_event_count"),
-        F.min("delayed_at").alias("first_delayed_at"),
-        F.max("delayed_at").alias("last_delayed_at"),
-        F.min_by(
-            "delay_event_id", F.concat_ws("|", F.format_string("%020d", F.unix_micros("delayed_at")), "delay_event_id")
-        ).alias("first_delay_source_event_id"),
-    )
-    oversized = first.filter(F.col("delay_event_count") > max_inline).select("order_id")
-    listed = (
-        links.join(oversized, "order_id", "left_anti")
+def shipment_delays_by_order(stg: DataFrame) -> DataFrame:
+    """order -> delay count, first and last delay, first id. Every id stands in `shipment_delay_ids`."""
+    earliest = F.min(F.struct("delayed_at", "delay_event_id"))
+    return (
+        delay_links(stg)
         .groupBy("order_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("delayed_at", "delay_event_id"))).alias("signals")
-        )
-        .select(
-            "order_id",
-            F.transform("signals", lambda s: s["delay_event_id"]).alias("delay_source_event_ids"),
+            F.count("*").alias("delay_event_count"),
+            F.min("delayed_at").alias("first_delayed_at"),
+            F.max("delayed_at").alias("last_delayed_at"),
+            earliest["delay_event_id"].alias("first_delay_source_event_id"),
         )
     )
-    return first.join(listed, "order_id", "left")
+
+
+def shipment_delay_ids(stg: DataFrame) -> DataFrame:
+    """Every delay id of an order with its place in (time, id) order: one row each, no lists."""
+    place = Window.partitionBy("order_id").orderBy("delayed_at", "delay_event_id")
+    return delay_links(stg).select(
+        "order_id",
+        F.row_number().over(place).cast("bigint").alias("ordinal"),
+        "delayed_at",
+        F.col("delay_event_id").alias("delay_source_event_id"),
+    )
 
 
 def fct_shipments(stg: DataFrame, delays: DataFrame | None = None) -> DataFrame:
@@ -152,7 +144,6 @@ def fct_shipments(stg: DataFrame, delays: DataFrame | None = None) -> DataFrame:
         "first_delayed_at",
         "last_delayed_at",
         "first_delay_source_event_id",
-        "delay_source_event_ids",
         *_TAIL,
     )
 

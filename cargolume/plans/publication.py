@@ -99,16 +99,14 @@ def quality_state(builds: DataFrame, now: Column, stale_seconds: int = STALE_SEC
     )
 
 
-def consecutive_failures(builds: DataFrame, cap: int = 100) -> DataFrame:
-    """Leading run of failed attempts, newest first, looking at most `cap` attempts back."""
-    recent = builds.select("started_at", "build_id", "status").orderBy(
-        F.desc("started_at"), F.desc("build_id")
-    ).limit(cap)
-    order = Window.orderBy(F.desc("started_at"), F.desc("build_id"))
-    broken = F.sum(F.when(F.col("status") != "failed", 1).otherwise(0)).over(order)
-    return recent.withColumn("_broken", broken).agg(
-        F.count_if(F.col("_broken") == 0).alias("consecutive_failures")
-    )
+def consecutive_failures(builds: DataFrame) -> DataFrame:
+    """Failed attempts after the newest attempt that did not fail: two partial aggregates, no ranking."""
+    place = F.struct("started_at", "build_id")
+    good = builds.filter("status <> 'failed'").agg(F.max(place).alias("last_good"))
+    failed = builds.filter("status = 'failed'").select(place.alias("at"))
+    after = F.col("last_good").isNull() | (F.col("at") > F.col("last_good"))
+    # the single row of `good` is the broadcast side; `failed` is neither shuffled nor sorted
+    return failed.join(F.broadcast(good), after).agg(F.count("*").alias("consecutive_failures"))
 
 
 def detector_gate(builds: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
@@ -307,7 +305,7 @@ class Publications:
                     **state,
                     "status": "failed",
                     "completed_at": datetime.now(UTC),
-                    "failure_reason": reason[:1000],
+                    "failure_reason": reason,
                 }
             )
 

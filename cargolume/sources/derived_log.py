@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolume.contract import EVENT_COLUMNS, EVENT_TYPES
-from cargolume.sources.tables import spread, table
+from cargolume.sources.tables import table
 
 TOPIC = "commerce.events.v1"
 
@@ -39,16 +39,18 @@ _STEPS = [
 _LOG = """
 with located as (
   select o_orderkey k, o_custkey c, cast(o_totalprice as decimal(14,2)) amt,
-    o_orderkey div 120 q, (o_orderkey * 7919) % 120 h,
+    o_orderkey div 120 q, (o_orderkey * 7919) % 120 h0,
     case n_regionkey % 4 when 0 then 'us-east' when 1 then 'us-west'
       when 2 then 'eu-west' else 'ap-south' end region
   from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey),
+placed as (
+  select *, if(h0 = 102 and region = 'us-east' and (q + k) % 10 <> 0, 103, h0) h from located),
 journey as (
   select k, c, amt, region, h * 3600 + (k * 104729) % 1500 s,
     (q * 37 + k) % 100 < if(h = 100 and region = 'ap-south', 65, 3) failed,
     (q * 53 + k) % 100 < if(h = 60 and region = 'eu-west', 65, 4) late,
     (q * 71 + k) % 100 < if(h = 101 and region = 'us-west', 50, 2) refund
-  from located where not (h = 102 and region = 'us-east' and (q + k) % 10 <> 0)),
+  from placed),
 step as (
   select k, c, amt, region, i, t, st, timestamp_seconds(1788220800 + s2) ts,
     md5(concat(t, ':', k)) d
@@ -148,7 +150,7 @@ def _log(spark: SparkSession, sf_dir: str, kinds: Iterable[str], select: str) ->
         text = text.replace(f"%({name})s", value)
     return spark.sql(
         text,
-        orders=spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")),
+        orders=table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
     )

@@ -25,11 +25,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than cores (one small file).
-
-    A table with enough splits is returned as it is, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

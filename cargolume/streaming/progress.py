@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
@@ -54,6 +55,14 @@ class ProgressTable(StreamingQueryListener):
         name = self._names.pop(str(event.id), "other")
         self.states[name] = [name, True, bool(event.exception)]
 
+    def wait_terminated(self, name: str, seconds: float = 60) -> None:
+        """Events arrive behind the query; returns once its end has."""
+        end = time.monotonic() + seconds
+        while not self.states.get(name, [name, False])[1]:
+            if time.monotonic() > end:
+                raise TimeoutError(f"no end of {name!r} reported")
+            time.sleep(0.05)
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, PROGRESS_SCHEMA)
 

@@ -95,7 +95,7 @@ def read_raw_stream(spark: SparkSession, layout: Layout, files_per_trigger: int
 def start_dead_letters(
     validated: DataFrame, layout: Layout, trigger: dict, kafka: dict | None = None
 ) -> StreamingQuery:
-    """Rejections to a topic, or to JSON-lines files where no broker is given."""
+    """Rejections to a topic, or to Parquet files where no broker is given."""
     letters = dead_letters_b(validated)
     if kafka:
         writer = letters.writeStream.format("kafka").options(**kafka)
@@ -105,21 +105,24 @@ def start_dead_letters(
 
 
 def start_valid_events(
-    validated: DataFrame, layout: Layout, trigger: dict, watermark: str = "10 minutes"
+    validated: DataFrame, layout: Layout, trigger: dict, watermark: str | None = None
 ) -> StreamingQuery:
-    """Accepted events, once per id within the watermark, into the event store."""
+    """Accepted events into the event store, whose merge alone keeps ids unique.
+
+    With a watermark, repeats within it are dropped before the merge and rows behind it are dropped
+    and counted; a live job may do so and recover them by `late_reconciliation`. A replay of the raw
+    archive reads files in any event-time order and must not.
+    """
     spark = validated.sparkSession
-    once = (
-        accepted_events(validated)
-        .withWatermark("event_ts", watermark)
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
+    rows = accepted_events(validated)
+    if watermark:
+        rows = rows.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
     def commit(frame: DataFrame, batch_id: int) -> None:
         query_id = checkpoint_query_id(spark, layout.checkpoint("valid-events"))
         EventStore(frame.sparkSession, layout.root).write_batch(frame, batch_id, query_id)
 
-    return _start(once.writeStream.foreachBatch(commit), layout, "valid-events", trigger)
+    return _start(rows.writeStream.foreachBatch(commit), layout, "valid-events", trigger)
 
 
 def start_event_archive(
@@ -141,6 +144,8 @@ def start_queries(
     trigger: dict | None = None,
     ingested_at: Column | None = None,
     dead_letter_topic: dict | None = None,
+    watermark: str | None = None,
+    files_per_trigger: int = 1000,
 ) -> list[StreamingQuery]:
     """Raw, dead letters and valid events; if one fails to start, none is left running."""
     trigger = trigger or {"processingTime": "5 seconds"}
@@ -150,9 +155,9 @@ def start_queries(
         started.append(start_raw(envelopes, layout, trigger, ingested_at))
         if "availableNow" in trigger:
             started[0].awaitTermination()
-        validated = validate_events(read_raw_stream(spark, layout))
+        validated = validate_events(read_raw_stream(spark, layout, files_per_trigger))
         started.append(start_dead_letters(validated, layout, trigger, dead_letter_topic))
-        started.append(start_valid_events(validated, layout, trigger))
+        started.append(start_valid_events(validated, layout, trigger, watermark))
         return started
     except BaseException:
         for query in started:
@@ -171,7 +176,7 @@ def late_reconciliation(spark: SparkSession, layout: Layout) -> DataFrame:
     Both sides are whole tables, so nothing is broadcast here.
     """
     raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
-    stored = EventStore(spark, layout.root).read_committed("cleaned")
+    stored = EventStore(spark, layout.root).read_committed("keys")
     return merge_new_events(accepted_events(validate_events(raw)), stored)
 
 

@@ -1,26 +1,31 @@
 """Micro-batch sinks onto append-only Parquet layers with manifest-last commit.
 
-A batch writes its own directories first and its manifest last; readers list manifests
-only, so an interrupted attempt is invisible and a replay rewrites or skips it.
+Every attempt of a batch writes below a name of its own and its manifest last; readers join the layers
+with the manifests, so an interrupted attempt is invisible for ever. A manifest also says how many
+commits its merge had seen: if another query committed meanwhile, the merge is done again. Uniqueness
+rests on the key layer, which expiry of the events leaves alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolume.contract import EVENT_COLUMNS, EVENT_SCHEMA
+from cargolume.contract import EVENT_COLUMNS, EVENT_SCHEMA, SOURCE_KEY
 from cargolume.operators import merge, metrics
 from cargolume.operators.envelope import curated_events
-from cargolume.session import path_exists
+from cargolume.session import hadoop_path, path_exists
 
 MANIFEST_SCHEMA = (
-    "query_id string, batch_id bigint, row_count bigint, cleaned string, curated string, "
-    "minutes string, committed_at timestamp"
+    "query_id string, batch_id bigint, attempt string, row_count bigint, ledger_version bigint, "
+    "committed_at timestamp"
 )
+ATTEMPT = ("query_id", "batch_id", "attempt")
+KEY_COLUMNS = ("event_id", *SOURCE_KEY)
 MINUTE_SCHEMA = (
     "window_start timestamp, window_end timestamp, event_type string, event_count bigint, "
     "total_amount decimal(24,2), updated_at timestamp"
@@ -32,57 +37,63 @@ def checkpoint_query_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
-def write_layer_once(frame: DataFrame, path: str) -> None:
-    """Write a batch directory unless an earlier attempt finished it."""
-    if not path_exists(frame.sparkSession, f"{path}/_SUCCESS"):
-        frame.write.mode("overwrite").parquet(path)
-
-
 class EventStore:
-    """Cleaned and curated event layers, minute totals and the batch ledger."""
+    """Cleaned events, their keys, minute totals and the batch ledger.
+
+    Layers: `keys` and `cleaned` hold what a batch inserted, `minutes` its totals; `curated` is a
+    projection of `cleaned`. Writers of one store take turns: a commit that finds the ledger changed
+    since its merge repeats the merge.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def batch_path(self, layer: str, query_id: str, batch_id: int) -> str:
-        return f"{self.root}/{layer}/{query_id}/batch-{batch_id:020d}"
+    def attempt_path(self, layer: str, query_id: str, batch_id: int, attempt: str) -> str:
+        return f"{self.root}/{layer}/query_id={query_id}/batch_id={batch_id}/attempt={attempt}"
 
-    def manifests(self) -> DataFrame:
-        """The batch ledger: one row per committed batch."""
-        if not path_exists(self.spark, f"{self.root}/commits"):
+    def _commit_path(self, query_id: str, batch_id: int) -> str:
+        return f"{self.root}/commits/{query_id}/batch-{batch_id:020d}"
+
+    def _ledger(self, folder: str) -> DataFrame:
+        if not path_exists(self.spark, f"{self.root}/{folder}"):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         return self.spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", True).json(
-            f"{self.root}/commits"
+            f"{self.root}/{folder}"
         )
 
+    def manifests(self) -> DataFrame:
+        """The batch ledger: one row per committed batch, whether its events are still kept or not."""
+        return self._ledger("commits")
+
     def committed(self, query_id: str, batch_id: int) -> int | None:
-        path = self.batch_path("commits", query_id, batch_id)
+        path = self._commit_path(query_id, batch_id)
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
             return None
         return self.spark.read.schema(MANIFEST_SCHEMA).json(path).first()["row_count"]
 
     def read_committed(self, layer: str) -> DataFrame:
-        """Rows of committed, non-empty batches. The path list is one entry per batch."""
-        if layer not in ("cleaned", "curated", "minutes"):
-            raise ValueError("layer must be cleaned, curated or minutes")
-        schema = {
-            "cleaned": EVENT_SCHEMA,
-            "curated": T.StructType(
-                [
-                    *EVENT_SCHEMA.fields,
-                    T.StructField("event_date", T.DateType()),
-                    T.StructField("event_hour", T.IntegerType()),
-                    T.StructField("is_payment_failure", T.BooleanType()),
-                    T.StructField("is_shipment_delay", T.BooleanType()),
-                    T.StructField("is_refund", T.BooleanType()),
-                ]
-            ),
-            "minutes": MINUTE_SCHEMA,
+        """Rows of committed batches that have not expired, joined on the layer's partitions."""
+        if layer not in ("cleaned", "curated", "minutes", "keys"):
+            raise ValueError("layer must be cleaned, curated, minutes or keys")
+        if layer == "curated":
+            return curated_events(self.read_committed("cleaned"))
+        fields = {
+            "cleaned": EVENT_SCHEMA.fields,
+            "keys": [EVENT_SCHEMA[name] for name in KEY_COLUMNS],
+            "minutes": T.StructType.fromDDL(MINUTE_SCHEMA).fields,
         }[layer]
-        paths = [row[0] for row in self.manifests().filter("row_count > 0").select(layer).collect()]
-        if not paths:
+        schema = T.StructType(fields)
+        path = f"{self.root}/{layer}"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        named = [T.StructField("query_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+        rows = self.spark.read.schema(
+            T.StructType([*fields, *named, T.StructField("attempt", T.StringType())])
+        ).parquet(path)
+        valid = self.manifests().select(*ATTEMPT)
+        if layer != "keys":
+            valid = valid.join(self._ledger("expired").select(*ATTEMPT), list(ATTEMPT), "left_anti")
+        return rows.join(valid, list(ATTEMPT), "left_semi").select(*schema.names)
 
     def minute_totals(self) -> DataFrame:
         """Additive minute totals: the sum of what each batch inserted."""
@@ -100,39 +111,60 @@ class EventStore:
         """Insert what is new, once per (query, batch). Returns the inserted row count."""
         prior = self.committed(query_id, batch_id)
         if prior is not None:
-            frame.count()  # consume the stateful output of a replay
+            frame.write.format("noop").mode("overwrite").save()  # a replay's state advances too
             return prior
-        paths = {
-            layer: self.batch_path(layer, query_id, batch_id)
-            for layer in ("staged", "cleaned", "curated", "minutes")
-        }
-        # Staged to storage and not cached: the batch is read four times, and an executor
+        attempt = uuid.uuid4().hex
+        # Staged to storage and not cached: the batch is read several times, and an executor
         # lost between them costs a re-read.
-        write_layer_once(frame.select(*EVENT_COLUMNS), paths["staged"])
-        staged = self.spark.read.schema(EVENT_SCHEMA).parquet(paths["staged"])
-        fresh = merge.merge_new_events(staged, self.read_committed("cleaned"), staged.count())
-        write_layer_once(fresh.select(*EVENT_COLUMNS), paths["cleaned"])
-        cleaned = self.spark.read.schema(EVENT_SCHEMA).parquet(paths["cleaned"])
-        write_layer_once(curated_events(cleaned), paths["curated"])
-        write_layer_once(metrics.minute_totals(cleaned), paths["minutes"])
-        inserted = cleaned.count()
-        self.publish_manifest(query_id, batch_id, inserted, paths)
+        stage = self.attempt_path("staged", query_id, batch_id, attempt)
+        frame.select(*EVENT_COLUMNS).write.parquet(stage)
+        staged = self.spark.read.schema(EVENT_SCHEMA).parquet(stage)
+        rows = staged.count()
+        while True:
+            seen = self.manifests().count()
+            paths = {
+                layer: self.attempt_path(layer, query_id, batch_id, attempt)
+                for layer in ("cleaned", "keys", "minutes")
+            }
+            fresh = merge.merge_new_events(staged, self.read_committed("keys"), rows)
+            fresh.select(*EVENT_COLUMNS).write.parquet(paths["cleaned"])
+            cleaned = self.spark.read.schema(EVENT_SCHEMA).parquet(paths["cleaned"])
+            cleaned.select(*KEY_COLUMNS).write.parquet(paths["keys"])
+            metrics.minute_totals(cleaned).write.parquet(paths["minutes"])
+            inserted = cleaned.count()
+            if self.manifests().count() == seen:
+                break
+            attempt = uuid.uuid4().hex
+        self.publish_manifest(query_id, batch_id, attempt, inserted, seen)
+        fs, path = hadoop_path(self.spark, stage)
+        fs.delete(path, True)
         return inserted
 
-    def publish_manifest(self, query_id: str, batch_id: int, rows: int, paths: dict) -> None:
-        row = (
-            query_id,
-            batch_id,
-            rows,
-            paths["cleaned"],
-            paths["curated"],
-            paths["minutes"],
-            datetime.now(UTC),
-        )
+    def publish_manifest(
+        self, query_id: str, batch_id: int, attempt: str, rows: int, version: int
+    ) -> None:
+        row = (query_id, batch_id, attempt, rows, version, datetime.now(UTC))
         self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(
-            self.batch_path("commits", query_id, batch_id)
+            self._commit_path(query_id, batch_id)
         )
 
+    def expire_batches(self, before: datetime) -> int:
+        """Retire the events of batches committed before a time: out of the readers' sight first,
+        then off the store. Keys and ledger stay, so nothing expired is ever accepted again."""
+        old = self.manifests().filter(F.col("committed_at") < F.lit(before))
+        old = old.join(self._ledger("expired").select(*ATTEMPT), list(ATTEMPT), "left_anti")
+        retired = f"{self.root}/expired/{uuid.uuid4().hex}"
+        old.select(*T.StructType.fromDDL(MANIFEST_SCHEMA).names).write.json(retired)
+        gone = self.spark.read.schema(MANIFEST_SCHEMA).json(retired)
+        total = 0
+        for row in gone.toLocalIterator():
+            for layer in ("cleaned", "minutes"):
+                path = self.attempt_path(layer, row["query_id"], row["batch_id"], row["attempt"])
+                fs, target = hadoop_path(self.spark, path)
+                fs.delete(target, True)
+            total += 1
+        return total
+
 
 def layer_sample(frame: DataFrame, limit: int = 5) -> tuple[int, DataFrame]:
     """Row count and a few rows of a layer."""
@@ -152,7 +184,7 @@ def write_event_batch_a(frame: DataFrame, batch_id: int, table_path: str) -> Non
     stage = f"{table_path.rstrip('/')}_stage/batch_id={batch_id}"
     frame.write.mode("overwrite").parquet(stage)
     frame = spark.read.schema(frame.schema).parquet(stage)
-    existing = frame.limit(0)
+    rows, existing = frame.count(), frame.limit(0)
     if path_exists(spark, table_path):
         existing = (
             spark.read.schema(T.StructType([*frame.schema.fields, T.StructField("batch_id", T.LongType())]))
@@ -160,7 +192,7 @@ def write_event_batch_a(frame: DataFrame, batch_id: int, table_path: str) -> Non
             .filter(F.col("batch_id") < batch_id)
             .drop("batch_id")
         )
-    merge.merge_new_events(frame, existing).write.mode("overwrite").parquet(target)
+    merge.merge_new_events(frame, existing, rows).write.mode("overwrite").parquet(target)
 
 
 def write_metric_batch_a(frame: DataFrame, batch_id: int, table_path: str) -> None:
@@ -169,10 +201,16 @@ def write_metric_batch_a(frame: DataFrame, batch_id: int, table_path: str) -> No
 
 
 def read_metrics_a(spark: SparkSession, table_path: str) -> DataFrame:
-    newest = Window.partitionBy("minute_start", "region").orderBy(F.desc("batch_id"))
-    return (
-        spark.read.parquet(table_path)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter("_rank = 1")
-        .drop("_rank", "batch_id")
-    )
+    """The newest version of every minute: one partial maximum per key, no ranking."""
+    rows = spark.read.parquet(table_path)
+    keys = ["minute_start", "region"]
+    body = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*body), "batch_id").alias("_newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+
+
+def compact_metrics_a(spark: SparkSession, table_path: str, target_path: str) -> None:
+    """The newest versions alone, as one new table that continues under the last batch id."""
+    last = spark.read.parquet(table_path).agg(F.max("batch_id")).first()[0]
+    if last is not None:
+        read_metrics_a(spark, table_path).write.parquet(f"{target_path}/batch_id={last}")

@@ -32,7 +32,7 @@ def send(spark, path, offset, *payloads):
 def run(spark, source, layout):
     stream = spark.readStream.schema(ENVELOPE_SCHEMA).parquet(source)
     started = jobs.start_queries(
-        stream, layout, {"availableNow": True}, F.lit(T0 + timedelta(hours=2))
+        stream, layout, {"availableNow": True}, F.lit(T0 + timedelta(hours=2)), watermark="10 minutes"
     )
     for query in started:
         query.awaitTermination()
