@@ -58,6 +58,7 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
                 copy.write(part)
             copy.flush()
             raw = np.memmap(copy.name, dtype=np.uint8, mode="r")
+    raw = raw.view(np.ndarray)  # still mapped; slices of a memmap are slow
     size = int(raw[:8].view("<u8")[0])
     head = json.loads(raw[8 : 8 + size].tobytes())
     base = 8 + size
@@ -139,13 +140,15 @@ class EliasFano:
         high, low = values >> self.low, values & ((1 << self.low) - 1)
         live = np.flatnonzero(high <= (len(self.upper) * 64 - self.n - 1))
         at, end = self._ones_before_zero(high[live] - 1), self._ones_before_zero(high[live])
-        low = low[live]
-        while len(live):
-            some = at < end
-            live, at, end, low = live[some], at[some], end[some], low[some]
-            here = self.lows(at)
-            hit = here == low
-            out[live[hit]] = at[hit]
-            on = here < low
-            live, at, end, low = live[on], at[on] + 1, end[on], low[on]
+        low, stop = low[live], end.copy()
+        some = np.flatnonzero(at < end)
+        while len(some):  # the low parts of one high part rise: halve
+            half = (at[some] + end[some]) // 2
+            less = self.lows(half) < low[some]
+            at[some] = np.where(less, half + 1, at[some])
+            end[some] = np.where(less, end[some], half)
+            some = some[at[some] < end[some]]
+        some = np.flatnonzero(at < stop)
+        some = some[self.lows(at[some]) == low[some]]
+        out[live[some]] = at[some]
         return out
