@@ -222,6 +222,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", scratch=No
     read = scratch(read) if scratch else read
     sites = read.select(F.col("__host").alias("host"), F.col("__page.blocks").alias("blocks"), F.col("__page.digest").alias("digest"))
     templates = site_templates(sites).select(F.col("host").alias("__host"), F.col("templates").alias("__templates"))
+    templates = scratch(templates) if scratch else templates  # its size is known then: pages are only shuffled if it is large
     kept = F.expr("filter(__page.blocks, b -> __templates is null or not arrays_overlap(b.around, __templates))")
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return read.join(templates, "__host", "left").select(*named, text.alias("main_text"))
