@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cargolume.catalog.models import HOURLY, marts_sql, operations_mart
 from cargolume.catalog.registry import query
 from cargolume.plans import detectors, evidence, marts
+from cargolume.plans.runs import DetectorRuns
 from cargolume.session import scratch_dir
 from cargolume.sources.derived_log import event_log
 
@@ -275,3 +280,42 @@ def _(spark, sf):
         F.min("event_ts").alias("first_ts"),
         F.max("event_ts").alias("last_ts"),
     )
+
+
+# Three runs at one time: over a fresh build, over a stale one, and over marts that cannot be read.
+@query(
+    "recorded_evaluate",
+    detect_sql(
+        f"""select 1::bigint run, 'succeeded' status, null::varchar skip_reason,
+        '{BUILD}' analytics_build_id, (select count(*) from cand where evaluation_start =
+          case when detector_name = 'shipment_delay_rate_increase' then timestamp '2026-09-04 04:00:00'
+          else timestamp '2026-09-05 04:00:00' end) created_incidents, null::varchar error_type
+        union all select 2, 'skipped', 'stale_publication', null, null, null
+        union all select 3, 'failed', null, null, null, 'AnalysisException'
+        union all select 4, 'succeeded', null, '{BUILD}', 0, null"""
+    ),
+)
+def _(spark, sf):
+    kept = DetectorRuns(spark, scratch_dir(spark, "runs"))
+    frozen = frozen_marts(spark, sf)
+    at = datetime(2026, 9, 5, 5, 10, tzinfo=UTC)
+
+    def builds(minutes):
+        return spark.createDataFrame(
+            [(BUILD, "succeeded", at - timedelta(minutes=minutes))],
+            "build_id string, status string, published_at timestamp",
+        )
+
+    kept.evaluate(builds(10), lambda _: frozen, at)
+    kept.evaluate(builds(500), lambda _: frozen, at)
+    try:
+        kept.evaluate(builds(10), lambda _: [spark.read.parquet(f"{kept.root}/none")] * 3, at)
+    except AnalysisException:
+        pass
+    # The same hour again: its keys are stored and its incidents still open.
+    kept.evaluate(builds(10), lambda _: frozen, at)
+    order = Window.orderBy("started_at")  # four rows
+    return kept.runs().select(
+        F.row_number().over(order).alias("run"), "status", "skip_reason", "analytics_build_id",
+        "created_incidents", "error_type",
+    )
