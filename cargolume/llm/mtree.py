@@ -19,6 +19,7 @@ give no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,8 @@ from cargolume.llm.common import written
 from cargolume.session import scratch_dir
 
 PIVOTS, GROUP, PAGE = 256, 4096, 96
+#: Queries that go through the tree together.
+TOGETHER = 128
 #: Slack of bounds, in units of the largest norm, for rounding.
 SLACK = 1e-9
 
@@ -86,40 +89,69 @@ class Tree:
     def __init__(self, folder: str, square: float, pivots: np.ndarray, radii: np.ndarray, groups: list[int]):
         self.folder, self.square, self.pivots, self.radii, self.groups = folder, square, pivots, radii, groups
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), best first."""
-        width = len(query)
-        lifted_query = np.append(query, 0.0)
-        norm = float(query @ query)
-        slack = SLACK * (np.sqrt(norm) + np.sqrt(self.square) + 1)
-        to = np.sqrt(((self.pivots - lifted_query) ** 2).sum(axis=1))
-        heap: list[tuple] = [(max(0.0, float(d - r)), -1, i, -1, float(d)) for i, (d, r) in enumerate(zip(to, self.radii)) if self.groups[i]]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """The k best (score, id) of each query, best first.
+
+        Queries go through the tree together: a node is opened in the order of the least bound any of
+        them has on it, and only for those whose bound is within their reach.
+        """
+        n, width = queries.shape
+        lifted_queries = np.column_stack([queries, np.zeros(n)])
+        norms = (queries * queries).sum(axis=1)
+        slack = SLACK * (np.sqrt(norms) + np.sqrt(self.square) + 1)
+
+        def distances(points: np.ndarray) -> np.ndarray:
+            squares = norms[:, None] + (points * points).sum(axis=1) - 2 * lifted_queries @ points.T
+            return np.sqrt(np.maximum(squares, 0))
+
+        to = distances(self.pivots)
+        turn = itertools.count()
+        heap: list[tuple] = []
+        for i, radius in enumerate(self.radii):
+            if self.groups[i]:
+                bound = np.maximum(to[:, i] - radius, 0)
+                heap.append((float(bound.min()), next(turn), i, -1, -1, bound, to[:, i]))
         heapq.heapify(heap)
-        scores, ids, reach = np.zeros(0), np.zeros(0, dtype=np.int64), np.inf
-        while heap and heap[0][0] <= reach + slack:
-            bound, group, pivot, page, distance = heapq.heappop(heap)
+        scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        reach = np.full(n, np.inf)
+        while heap and heap[0][0] <= (reach + slack).max():
+            _, _, pivot, group, page, bound, distance = heapq.heappop(heap)
+            live = np.flatnonzero(bound <= reach + slack)
+            if not len(live):
+                continue
+            limit = (reach + slack)[live]
             if page < 0:
-                for group in range(self.groups[pivot]):
-                    node = pages_of(self.folder, width, pivot, group)
-                    near = np.flatnonzero(np.abs(distance - node["to_pivot"]) - node["radii"] <= reach + slack)
-                    own_to = np.sqrt(((node["centres"][near] - lifted_query) ** 2).sum(axis=1))
-                    low = np.maximum(own_to - node["radii"][near], bound)
-                    for p, d, b in zip(near.tolist(), own_to.tolist(), low.tolist()):
-                        if b <= reach + slack:
-                            heapq.heappush(heap, (b, group, pivot, p, d))
+                for g in range(self.groups[pivot]):
+                    node = pages_of(self.folder, width, pivot, g)
+                    gap = np.abs(distance[live, None] - node["to_pivot"]) - node["radii"]
+                    near = np.flatnonzero((gap <= limit[:, None]).any(axis=0))
+                    if not len(near):
+                        continue
+                    own_to = distances(node["centres"][near])
+                    low = np.maximum(own_to - node["radii"][near], bound[:, None])
+                    for j, p in enumerate(near.tolist()):
+                        heapq.heappush(heap, (float(low[:, j].min()), next(turn), pivot, g, p, low[:, j], own_to[:, j]))
                 continue
             node = pages_of(self.folder, width, pivot, group)
             part = slice(int(node["ends"][page - 1]) if page else 0, int(node["ends"][page]))
-            some = (np.abs(distance - node["to_centre"][part]) <= reach + slack) & (node["ids"][part] != own)
+            some = (np.abs(distance[live, None] - node["to_centre"][part]) <= limit[:, None]).any(axis=0)
             if not some.any():
                 continue
-            scores = np.concatenate([scores, node["rows"][part][some] @ query])
-            ids = np.concatenate([ids, node["ids"][part][some]])
-            best = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[best], ids[best]
-            if len(scores) == k:
-                reach = float(np.sqrt(max(norm + self.square - 2 * scores[-1], 0)))
-        return list(zip(scores.tolist(), ids.tolist()))
+            entries = node["ids"][part][some]
+            found = queries[live] @ node["rows"][part][some].T
+            found[entries == own[live, None]] = -np.inf
+            better = (found >= scores[live, -1:]) & (found > -np.inf)
+            rows = np.flatnonzero(better.any(axis=1))
+            if not len(rows):
+                continue
+            at = live[rows]
+            both = np.concatenate([scores[at], np.where(better[rows], found[rows], -np.inf)], axis=1)
+            named = np.concatenate([ids[at], np.broadcast_to(entries, (len(rows), len(entries)))], axis=1)
+            best = np.lexsort((named, -both), axis=1)[:, :k]
+            scores[at], ids[at] = np.take_along_axis(both, best, 1), np.take_along_axis(named, best, 1)
+            last = scores[at, -1]
+            reach[at] = np.where(last > -np.inf, np.sqrt(np.maximum(norms[at] + self.square - 2 * last, 0)), np.inf)
+        return [[(s, i) for s, i in zip(a, b) if s > -np.inf] for a, b in zip(scores.tolist(), ids.tolist())]
 
 
 @lru_cache(maxsize=1024)
@@ -203,12 +235,20 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for own, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-                query = vector.values.to_numpy(zero_copy_only=False).astype(float)
-                found = trees[len(query)].search(query, own, k) if len(query) in trees else []
-                for rank, (score, other) in enumerate(found, 1):
-                    for column, value in zip(out, (own, rank, other, score)):
-                        column.append(value)
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for width in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == width))
+                if width not in trees:
+                    continue
+                tree, own, vectors = trees[width], part.column(0).to_numpy(), rows_matrix(part.column(1))
+                near = ((tree.pivots[:, :-1] ** 2).sum(axis=1) - 2 * vectors @ tree.pivots[:, :-1].T).argmin(axis=1)
+                order = np.lexsort((own, near))  # neighbours look at the same pages
+                for at in range(0, len(order), TOGETHER):
+                    block = order[at : at + TOGETHER]
+                    for query, found in zip(own[block].tolist(), tree.search(vectors[block], own[block], k)):
+                        for rank, (score, other) in enumerate(found, 1):
+                            for column, value in zip(out, (query, rank, other, score)):
+                                column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query_id", "rank", "id", "score"])
 
