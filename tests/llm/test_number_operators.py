@@ -64,7 +64,7 @@ def test_mtree_avoids_distances(spark, monkeypatch):
     monkeypatch.setattr(mtree, "pages_of", lambda *a: opened.update([a]) or real(*a))
     scores = rows @ rows[7]
     order = np.lexsort((np.arange(len(rows)), -scores))
-    assert tree.search(rows[7].astype(float), 7, 5) == [(float(scores[j]), int(j)) for j in order if j != 7][:5]
+    assert tree.search(rows[7:8].astype(float), np.array([7]), 5) == [[(float(scores[j]), int(j)) for j in order if j != 7][:5]]
     assert len(opened) < 0.5 * sum(tree.groups)
 
 
