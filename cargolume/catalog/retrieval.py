@@ -66,14 +66,18 @@ def _(spark, sf):
     return chunks(spark, sf)
 
 
-# Queries: per label, the vector of its lowest vec_id and the benchmark text of that number.
-_Q = """
-q as (select cast(label as varchar) query_id, arg_min(embedding, vec_id)::double[] v from embeddings
-  group by label),
+# Queries: per label, the vector of its lowest vec_id; in fusion every benchmark text, with the vector
+# of the same number.
+_BY_LABEL = """q as (select cast(label as varchar) query_id, arg_min(embedding, vec_id)::double[] v
+  from embeddings group by label),"""
+_BY_ITEM = """q as (select cast(item_id as varchar) query_id, embedding::double[] v
+  from benchmark join embeddings on vec_id = item_id),"""
+_NEAREST = """
 vd as (select query_id, cast(vec_id as varchar) id,
   round(list_cosine_distance(embedding::double[], v), 9) distance from embeddings, q),
 vt as (select *, row_number() over (partition by query_id order by distance, id) "rank" from vd
   qualify "rank" <= 12)"""
+_Q = _BY_LABEL + _NEAREST
 
 
 def query_vectors(spark, sf):
@@ -126,10 +130,10 @@ def _(spark, sf):
     return found.select("query_id", "id", "hits", "rank")
 
 
-_FUSE = f"""{_Q.strip()},
+_FUSE = f"""{_BY_ITEM}{_NEAREST},
 corpus as (select cast(doc_id as varchar) id, text from documents),{_LEX},
 rf as (select query_id, id, sum(1.0::double / ("rank" + 60)) score from (select query_id, id, "rank"
-  from vt union all select query_id, id, "rank" from lt where query_id in (select query_id from q))
+  from vt union all select query_id, id, "rank" from lt)
   group by 1, 2),
 rt as (select query_id, id, round(score, 9) score, row_number() over (partition by query_id
   order by round(score, 12) desc, id) "rank" from rf qualify "rank" <= 4)"""
@@ -137,10 +141,13 @@ rt as (select query_id, id, round(score, 9) score, row_number() over (partition
 
 def fused(spark, sf):
     corpus = table(spark, sf, "documents").selectExpr("cast(doc_id as string) id", "text")
-    vectors = query_vectors(spark, sf)
-    texts = lexical_queries(spark, sf).filter(F.col("query_id").isin([name for name, _ in vectors]))
+    items = table(spark, sf, "benchmark").select("item_id")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    pairs = items.join(vectors, F.col("item_id") == F.col("id")).select("item_id", "embedding")
+    asked = [(str(item), vector) for item, vector in pairs.collect()]  # one per benchmark text
     return retrieval.rank_fusion(
-        vector_rows(spark, sf), retrieval.lexical_topk(corpus, texts)
+        retrieval.vector_topk(vectors, asked),
+        retrieval.lexical_topk(corpus, lexical_queries(spark, sf)),
     )
 
 
