@@ -353,21 +353,27 @@ def _(spark, sf):
 @query(
     "metric_range_read",
     marts_sql(
-        """select payment_hour_utc, payment_attempt_count, failed_payment_count, failure_rate
+        """select payment_hour_utc, payment_attempt_count, failed_payment_count, failure_rate, false more
         from payments where region_code = 'us-east' and payment_hour_utc >=
         timestamp '2026-09-02 00:00:00' and payment_hour_utc < timestamp '2026-09-04 00:00:00'"""
     ),
 )
 def _(spark, sf):
-    snapshot = HOURLY["payments"](spark, sf).withColumn("build_id", F.lit("b1"))
+    # Two published builds; the read prunes one and pushes the hours and the region to the files.
+    path = scratch_dir(spark, "snapshot")
+    mart = HOURLY["payments"](spark, sf)
+    for build in ("b0", "b1"):
+        mart.write.parquet(f"{path}/build_id={build}")
     return publication.metric_range_read(
-        snapshot,
+        spark.read.parquet(path),
         "payment_hour_utc",
         "b1",
         datetime(2026, 9, 2, tzinfo=UTC),
         datetime(2026, 9, 4, tzinfo=UTC),
         "us-east",
-    ).select("payment_hour_utc", "payment_attempt_count", "failed_payment_count", "failure_rate")
+    ).select(
+        "payment_hour_utc", "payment_attempt_count", "failed_payment_count", "failure_rate", "more"
+    )
 
 
 @query(

@@ -152,7 +152,10 @@ def metric_range_read(
     region: str | None = None,
     limit: int = MAX_READ_ROWS,
 ) -> DataFrame:
-    """Rows of one build in [start, end). `build_id` prunes partitions, the rest is pushed."""
+    """Rows of one build in [start, end), and whether there were more than `limit` of them.
+
+    `build_id` prunes partitions, the rest is pushed to the scan.
+    """
     if not 1 <= limit <= MAX_READ_ROWS:
         raise ValueError(f"limit must be within 1..{MAX_READ_ROWS}")
     rows = snapshot.filter(F.col("build_id") == build_id).filter(
@@ -160,7 +163,10 @@ def metric_range_read(
     )
     if region:
         rows = rows.filter(F.col("region_code") == region)
-    return rows.orderBy(hour, "region_code").limit(limit)
+    first = rows.orderBy(hour, "region_code").limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(hour, "region_code"))  # of at most limit + 1 rows
+    more = F.count("*").over(Window.partitionBy()) > limit
+    return first.withColumns({"_place": place, "more": more}).filter(F.col("_place") <= limit).drop("_place")
 
 
 def incident_page(
