@@ -13,7 +13,7 @@ Bands of coordinates are bucket keys. Exact copies are one node. A bucket's pivo
 every node is compared with the smallest of its pivots, those left in another class with the next. Then
 buckets that still hold several classes are gone through, as far as classes differ: each member against
 both ends and, in buckets of up to eight, against the others; larger ones are narrowed to those that
-share another large one, and these are compared with their smallest and along a keyed order (the seven
+share another large one, and these are compared with their smallest and along a keyed order (the three
 before it). This is repeated in other orders until no link is found. Candidates are verified on the exact weighted shingles, links
 are joined into classes. At 0.8, two documents share no band with probability 6e-5.
 
@@ -183,12 +183,13 @@ def _linked(pairs: DataFrame, held: DataFrame, least: float, links: DataFrame |
     return links, pairs if tested is None else tested.unionByName(pairs), components(links)
 
 
-def _along(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket with the seven before it in a keyed order, classes differing."""
+def _along(members: DataFrame, turn: int, back: int) -> DataFrame:
+    """(a, b): each member of a bucket with those of other classes among the `back` before it in a keyed order."""
     order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "node"), "node")
-    before = F.collect_list(F.struct("node", "label")).over(order.rowsBetween(-7, -1))
-    pairs = members.withColumn("before", before).select("node", "label", F.explode("before").alias("other"))
-    return pairs.filter("label <> other.label").select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
+    before = F.collect_list(F.struct("node", "label")).over(order.rowsBetween(-back, -1))
+    others = F.filter("before", lambda x: x["label"] != F.col("label"))
+    pairs = members.withColumn("before", before).select("node", F.explode(others["node"]).alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
@@ -220,7 +221,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         twice = own.select("node", "label", F.posexplode("keys").alias("place", "key"), "keys")
         twice = twice.select("node", "label", "key", F.explode(F.slice("keys", F.col("place") + 2, F.lit(TWICE))).alias("other"))
         twice = twice.select("node", "label", F.xxhash64("key", "other").alias("key"))
-        more = _along(members.filter("n <= 8").select("node", "label", "key"), turn).unionByName(_along(twice, turn))
+        more = _along(members.filter("n <= 8").select("node", "label", "key"), turn, 7).unionByName(_along(twice, turn, 3))
         if not turn:
             ends = members.select(F.explode(F.array("pivot", "far")).alias("end"), "node").filter("end <> node")
             first = F.min(F.struct("node", "label")).over(Window.partitionBy("key"))
