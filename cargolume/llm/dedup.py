@@ -11,11 +11,10 @@ their weighted Jaccard similarity.
 
 Bands of coordinates are bucket keys. Exact copies are one node. A bucket's pivot is its smallest node;
 every node is compared with the smallest of its pivots, those left in another class with the next. Then
-buckets that still hold several classes are gone through, as far as classes differ: each member against
-both ends and, in buckets of up to eight, against the others; larger ones are narrowed to those that
-share another large one, and these are compared with their smallest and along a keyed order (the three
-before it). This is repeated in other orders until no link is found. Candidates are verified on the exact weighted shingles, links
-are joined into classes. At 0.8, two documents share no band with probability 6e-5.
+all pairs of different classes are gone through in buckets that still hold several: in small ones pair by
+pair; the members of large ones by a prefix join, which leaves out none that can be similar enough.
+Candidates are verified on the exact weighted shingles, links are joined into classes. So two similar
+documents are parted only if they share no band; at 0.8 that has probability 6e-5.
 
 Cases: null texts are empty; texts without words are alone in their class; texts of fewer than five
 words have one shingle; texts of any length are read whole; rows with equal id and text have one class;
@@ -24,7 +23,6 @@ rows with a null id keep a null class; empty tables give empty results; other co
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +37,8 @@ from cargolume.llm.graph import components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
-#: A large bucket is paired with so many of the node's next ones.
-TWICE = 8
+#: Buckets of up to so many nodes are paired at once. Rounding that bounds on sizes allow for.
+SMALL, SLACK = 8, 1e-6
 #: Darts in a unit square follow the Poisson law of mean one: its distribution function, as 64-bit numbers.
 _LAW = np.exp(-1) * np.cumsum(1 / np.cumprod([1.0, *range(1, 16)]))
 POISSON = (_LAW[:12] * 2.0**64).astype(np.uint64)
@@ -183,13 +181,31 @@ def _linked(pairs: DataFrame, held: DataFrame, least: float, links: DataFrame |
     return links, pairs if tested is None else tested.unionByName(pairs), components(links)
 
 
-def _along(members: DataFrame, turn: int, back: int) -> DataFrame:
-    """(a, b): each member of a bucket with those of other classes among the `back` before it in a keyed order."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "node"), "node")
-    before = F.collect_list(F.struct("node", "label")).over(order.rowsBetween(-back, -1))
-    others = F.filter("before", lambda x: x["label"] != F.col("label"))
-    pairs = members.withColumn("before", before).select("node", F.explode(others["node"]).alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+def _within(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of other classes of buckets of up to SMALL nodes."""
+    one, two = (members.select("key", F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    return one.join(two, "key").filter("a < b and of_a <> of_b").select("a", "b")
+
+
+def _reaching(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of other classes among these nodes that can be similar enough, and some more.
+
+    Shingles are ordered by the number of members that have them. What two sets share lies at and after
+    the first shingle they share, so that must leave enough on both sides: only the rarest `1 - least` of
+    a set are joined. Of each shingle, members outside its commonest class are held against all members.
+    """
+    sets = members.join(held, "node").withColumn("size", F.array_size("codes"))
+    each, _ = written(sets.select("node", "label", "size", F.explode("codes").alias("code")), "dedup-each")
+    by_class = each.groupBy("code", "label").agg(F.count(F.lit(1)).alias("n"))
+    common = by_class.groupBy("code").agg(F.sum("n").alias("on"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("on", "code"))
+    ranked = each.join(common, "code").withColumn("left", F.col("size") - rank + 1)  # it and the later ones
+    early, _ = written(ranked.filter(F.col("left") >= least * F.col("size") - SLACK).filter("classes > 1").select("code", "node", "label", "size", "left", "main"), "dedup-early")
+    other = early.filter("label <> main").select("code", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "left")))
+    needed = least / (1 + least) * (F.col("size") + F.col("size_b")) - SLACK
+    reach = (F.least("left", "left_b") >= needed) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - SLACK)
+    pairs = early.join(other, "code").filter("label <> label_b and (label = main or node < node_b)").filter(reach)
+    return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
@@ -212,26 +228,18 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         pairs = _parted(buckets.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), labels)
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         links, tested, labels = _linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), held, least, links, tested)
-    # then buckets that still hold several classes, in another order each time, until nothing is found
-    for turn in itertools.count():
+    # then every pair of other classes in buckets that still hold several: small ones first, as they join classes
+    for most in (SMALL, None):
         members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
         members, _ = written(members.join(several.select("key", "n"), "key"), "dedup-members")
-        own = members.filter("n > 8").groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a key per band at most
-        twice = own.select("node", "label", F.posexplode("keys").alias("place", "key"), "keys")
-        twice = twice.select("node", "label", "key", F.explode(F.slice("keys", F.col("place") + 2, F.lit(TWICE))).alias("other"))
-        twice = twice.select("node", "label", F.xxhash64("key", "other").alias("key"))
-        more = _along(members.filter("n <= 8").select("node", "label", "key"), turn, 7).unionByName(_along(twice, turn, 3))
-        if not turn:
+        if most:
             ends = members.select(F.explode(F.array("pivot", "far")).alias("end"), "node").filter("end <> node")
-            first = F.min(F.struct("node", "label")).over(Window.partitionBy("key"))
-            star = twice.withColumn("first", first).filter("label <> first.label").select(F.col("first.node").alias("end"), "node")
-            ends = ends.unionByName(star).select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b"))
-            more = more.unionByName(_parted(ends.distinct(), labels))
-        had = links.count()
+            ends = ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b"))
+            more = _within(members.filter(F.col("n") <= most)).unionByName(_parted(ends.distinct(), labels))
+        else:
+            more = _reaching(members.filter(F.col("n") > SMALL).select("node", "label").distinct(), held, least)
         links, tested, labels = _linked(more.distinct().join(tested, ["a", "b"], "left_anti"), held, least, links, tested)
-        if links.count() == had:
-            break
     to = groups.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
     out = signed.join(to, "digest", "left")
     alone = F.when((F.size("keys") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id"))
