@@ -6,9 +6,10 @@ neighbours and the nodes that have it as neighbour are compared with one another
 nearest, until a round brings hardly any edge above the threshold. Threshold edges join nodes into
 components.
 
-A node all of whose listed neighbours are above the threshold is saturated: its list may hide more. The
-lists of all nodes of a component are therefore enlarged to the whole component, block against block,
-and only counts leave a block pair. An audit compares a bounded sample of nodes (at most AUDITED,
+A node all of whose listed neighbours are above the threshold is saturated: its list may hide more. Links
+that lead out of its component are searched with lists of nodes of other components only, which its own
+cannot fill; components joined by them are searched from again, until no list holds a link. Inside a
+component all nodes are compared, block against block, and only counts leave a block pair. An audit compares a bounded sample of nodes (at most AUDITED,
 smallest hash first) with all nodes; while less than RECALL of their links lie inside components, the
 graph is refined again with twice the codes.
 
@@ -46,39 +47,50 @@ def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 
 def coded(nodes: DataFrame, codes: int, bits: int, first: int = 0) -> DataFrame:
-    """(code, bucket, along, node, vector): each node once per code, with its sign bits and a place in the bucket."""
+    """(code, bucket, along, node, vector, label): each node once per code, with its sign bits and a place in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = unit(rows_matrix(batch.column(1)))
+            rows = unit(rows_matrix(batch.column(1)))  # node, vector, label
             for c in range(first, first + codes):
                 planes = np.random.default_rng([c, rows.shape[1]]).normal(size=(rows.shape[1], bits + 1))
                 sides = rows @ planes
                 bucket = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, dtype=np.int32)), pa.array(bucket), pa.array(sides[:, bits]), *batch.columns], ["code", "bucket", "along", "node", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, dtype=np.int32)), pa.array(bucket), pa.array(sides[:, bits]), *batch.columns], ["code", "bucket", "along", "node", "vector", "label"])
 
     kind = nodes.schema["vector"].dataType.simpleString()
-    return nodes.mapInArrow(run, f"code int, bucket bigint, along double, node bigint, vector {kind}")
+    return nodes.select("node", "vector", "label").mapInArrow(run, f"code int, bucket bigint, along double, node bigint, vector {kind}, label bigint")
 
 
 def first_edges(nodes: DataFrame, codes: int, bits: int, first: int = 0) -> DataFrame:
-    """Each node with the nodes just before it in its buckets. Ranges split buckets of any size."""
+    """Each node with the nodes of other labels just before it in its buckets. Ranges split buckets of any size.
+
+    Those before the run of its own label: a group does not hide what lies next to it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             place = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            ids, rows = batch.column(2).to_numpy(), unit(rows_matrix(batch.column(3)))
+            ids, rows, labels = batch.column(2).to_numpy(), unit(rows_matrix(batch.column(3))), batch.column(4).to_numpy()
             if before is not None and before[2].shape[1] == rows.shape[1]:
-                place, ids, rows = (np.concatenate(x) for x in zip(before, (place, ids, rows)))
-            for step in range(1, min(NEAR, len(ids) - 1) + 1):
-                same = (place[step:] == place[:-step]).all(axis=1)
-                one, two = np.flatnonzero(same) + step, np.flatnonzero(same)
+                place, ids, rows, labels = (np.concatenate(x) for x in zip(before, (place, ids, rows, labels)))
+            new = np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1) | (labels[1:] != labels[:-1])])
+            heads = np.flatnonzero(new)[np.cumsum(new) - 1]
+            for step in range(1, NEAR + 1):
+                one = np.flatnonzero(heads >= step)
+                two = heads[one] - step
+                fit = (place[one] == place[two]).all(axis=1) & (labels[one] != labels[two])
+                one, two = one[fit], two[fit]
                 yield _edges(ids[one], ids[two], (rows[one] * rows[two]).sum(axis=1))
-            before = place[-NEAR:], ids[-NEAR:], rows[-NEAR:]
+            last = heads[-1]
+            held = np.r_[max(0, last - NEAR) : last, max(last, len(ids) - NEAR) : len(ids)]
+            before = place[held], ids[held], rows[held], labels[held]
 
     ordered = coded(nodes, codes, bits, first).repartitionByRange("code", "bucket", "along").sortWithinPartitions("code", "bucket", "along")
-    return ordered.select("code", "bucket", "node", "vector").mapInArrow(run, EDGES)
+    return ordered.select("code", "bucket", "node", "vector", "label").mapInArrow(run, EDGES)
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -90,7 +102,7 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 
 
 def around(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Edges among the neighbours, and the nodes whose neighbour it is, of every node.
+    """Edges between labels among the neighbours, and the nodes whose neighbour it is, of every node.
 
     Of the latter a node looks at no more than k, by hash: they look at it in turn.
     """
@@ -98,14 +110,14 @@ def around(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
     back = back.withColumn("rank", rank).filter(F.col("rank") <= k).select("a", "b")
     members = graph.select("a", "b").unionByName(back).distinct()
-    held = members.join(nodes.select(F.col("node").alias("b"), "vector"), "b")
-    held = held.repartition("a").sortWithinPartitions("a").select("a", "b", "vector")
+    held = members.join(nodes.select(F.col("node").alias("b"), "vector", "label"), "b")
+    held = held.repartition("a").sortWithinPartitions("a").select("a", "b", "vector", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def compared(table: pa.Table) -> pa.RecordBatch:
-            centre, ids = table["a"].to_numpy(), table["b"].to_numpy()
+            centre, ids, labels = (table[c].to_numpy() for c in ("a", "b", "label"))
             rows = unit(rows_matrix(table["vector"].combine_chunks()))
             heads = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]])).tolist()
             out: tuple[list, ...] = ([], [], [])
@@ -113,11 +125,12 @@ def around(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 if j - i < 2:
                     continue
                 s = rows[i:j] @ rows[i:j].T
-                np.fill_diagonal(s, -2)
+                s[labels[i:j, None] == labels[i:j]] = -2
                 best = np.argpartition(-s, min(k, j - i - 1) - 1, axis=1)[:, : min(k, j - i - 1)]
                 for column, values in zip(out, (np.repeat(ids[i:j], best.shape[1]), ids[i:j][best.ravel()], np.take_along_axis(s, best, 1).ravel())):
                     column.append(values)
             a, b, s = (np.concatenate(c) if c else np.zeros(0) for c in out)
+            a, b, s = (x[s > -2] for x in (a, b, s))
             low, high = np.minimum(a, b), np.maximum(a, b)
             _, kept = np.unique(np.column_stack([low, high]), axis=0, return_index=True) if len(a) else (0, np.zeros(0, dtype=int))
             return _edges(low[kept].astype(np.int64), high[kept].astype(np.int64), s[kept])
@@ -193,6 +206,25 @@ def audited_links(nodes: DataFrame, least: float, audited: int = AUDITED) -> Dat
     return nodes.select("node", "vector").mapInArrow(run, "a bigint, b bigint")
 
 
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links; what was joined stays joined."""
+    links = links.select("a", "b")
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return written(components(links), "nn-labels")[0]
+
+
+def outward(nodes: DataFrame, found: DataFrame, least: float, k: int, codes: int, bits: int) -> DataFrame:
+    """Labels after neighbour lists of other components only were searched, until they hold no link."""
+    while True:
+        own, _ = written(nodes.join(found, "node", "left").select("node", "vector", F.coalesce("label", "node").alias("label")), "nn-own")
+        graph = descend(own, first_edges(own, codes, bits), least, k)
+        links = graph.filter(F.col("similarity") >= least)
+        if links.isEmpty():
+            return found
+        found = joined(found, links)
+
+
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, k: int = NEIGHBOURS, codes: int = CODES) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     own = rows.select(F.col(vec_id).alias("id"), F.col(vector).alias("vector"))
@@ -203,18 +235,18 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     for width, n in sorted(tuple(r) for r in alike.groupBy(F.size("vector")).count().collect()):  # a row per length
         nodes = alike.filter(F.size("vector") == width)
         bits = min(24, max(1, (n // 8).bit_length()))
-        start = first_edges(nodes.select("node", "vector"), codes, bits)
+        start, found = first_edges(nodes.withColumn("label", F.col("node")), codes, bits), None
         for more in (codes, 2 * codes, 4 * codes):
-            graph = descend(nodes, start, least, k)
-            found = components(graph.filter(F.col("similarity") >= least))
-            found, _ = written(found, "nn-labels")
+            graph = descend(nodes.withColumn("label", F.col("node")), start, least, k)
+            found = joined(found, graph.filter(F.col("similarity") >= least))
+            found = outward(nodes, found, least, k, codes, bits)
             truth = audited_links(nodes, least)
             for c in "ab":
                 truth = truth.join(found.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
             missed, total = truth.agg(F.count(F.when(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull(), 1)), F.count(F.lit(1))).first()
             if missed <= (1 - RECALL) * total:
                 break
-            start = graph.unionByName(first_edges(nodes.select("node", "vector"), more, bits, more))
+            start = graph.unionByName(first_edges(nodes.withColumn("label", F.col("node")), more, bits, more))
         counts = block_counts(found.join(nodes, "node"), least)
         labels = found if labels is None else labels.unionByName(found)
         links = counts if links is None else links.unionByName(counts)

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cargolume.llm import dedup
+from cargolume.llm import dedup, vectors
 from tests.llm.helpers import DOCUMENTS, classes, corpus, prose, shingle_sets
 
 
@@ -56,3 +57,19 @@ def test_reaching_pairs_hold_every_similar_pair(spark, counted):
     want = {(a, b) for a in codes for b in codes if a < b and a % 7 != b % 7 and len(codes[a] & codes[b]) >= 0.8 * len(codes[a] | codes[b])}
     got = {tuple(r) for r in dedup._reaching(members, held, 0.8).collect()}
     assert want and want <= got
+
+
+def test_links_out_of_saturated_groups(spark):
+    # groups of more vectors than a list holds: near inside, still linked across, and one group apart
+    rng = np.random.default_rng(4)
+    axis = np.eye(32)
+    centres = [axis[0], 0.961 * axis[0] + np.sqrt(1 - 0.961**2) * axis[1], axis[2]]
+    points = np.concatenate([c + rng.normal(size=(60, 32)) * 0.004 for c in centres])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    unit = vectors.unit(points)
+    near = unit @ unit.T >= 0.95
+    assert near[:60, 60:120].any() and near.sum(axis=1).min() > vectors.NEIGHBOURS
+    want = classes(range(180), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == want
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(near[i].sum()) - 1 for i in range(180)}
