@@ -17,8 +17,8 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 MIX = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, cuts): text i of the block is bytes[cuts[i]:cuts[i + 1]]; nulls are empty."""
+def blocks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, cuts): text i of the block is bytes[cuts[i]:cuts[i + 1]]; nulls are empty. size: bytes of a block, BLOCK unless given."""
     for begin in range(0, len(texts), ROWS):
         part = pc.fill_null(texts[begin : begin + ROWS], "").cast(pa.large_string())
         buffers = part.buffers()
@@ -26,7 +26,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] else np.zeros(0, dtype=np.uint8)
         at = 0
         while at < len(part):
-            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + (size or BLOCK), "right")) - 1)
             end = min(end, len(part))
             yield data[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at]
             at = end

@@ -6,10 +6,11 @@ trie outgrows ENTRIES, whole subtrees, largest first, leave it as sorted runs an
 the runs of all tasks per partition; the prefix that decides the partition is the whole phrase, as the
 subtree of one frequent first word may hold a good part of all rows.
 
-Three passes over the texts, words, pairs, triples, each counting only what can still become a phrase of
-LEAST occurrences: a pair needs two words that occur so often, a triple two such pairs. What survived
-goes to the tasks as a bit map of fixed size (2 ** BITS bits, set by hash): a bit too many costs a
-useless count, never a wrong one, so the result is exact and the broadcast does not grow.
+Two passes over the texts. The first counts words, and pairs by a 64-bit code alone: codes that do not
+reach LEAST rule their pairs out, and the rest goes to the tasks as a bit map of fixed size (2 ** BITS
+bits). The second counts pairs the map lets through, and triples made of two such pairs, in the trie, as
+words. A code or bit shared by chance costs a useless count, never a wrong one, so the result is exact,
+and the broadcast does not grow with the corpus.
 
 Everything is per language. For phrases a = f(phrase) >= LEAST of two and three words and each cut into
 parts of l and r occurrences, floor(1000000 a a / (l r)) is taken in 38-digit decimals.
@@ -30,17 +31,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolume.llm.blocks import BLOCK, blocks
-from cargolume.llm.common import written
+from cargolume.llm.blocks import BLOCK, MIX, blocks, mixed
+from cargolume.llm.common import forget, written
 
 #: Fixed values of the contract.
 LEAST, LONGEST, SHARE, SHOWN = 10, 3, 50, 2000
 #: A container of more entries is burst; a trie of more spills down to half of it.
-BURST, ENTRIES = 4096, 600_000
-#: Different words a task remembers before it starts afresh.
-WORDS = 400_000
-#: Bits of the map of what survived a pass, and the seed of its hash, which Spark and the tasks share.
-BITS, SEED = 24, 42
+BURST, ENTRIES = 4096, 300_000
+#: Different words a task remembers, and pairs it counts together, before it sends them.
+WORDS, TOGETHER = 300_000, 1_500_000
+#: Bits of the map of pair codes that reach LEAST.
+BITS = 26
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK, BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -48,51 +49,42 @@ BLANK[[9, 32]] = True
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 SOLID = ~(BLANK | BREAK)
 UNKNOWN = "und"
+#: In place of a third word.
+NOTHING = (1 << 31) - 1
 
 
 class Trie:
-    """Counts of word-id tuples of one length: nodes for the first words, hash containers for the rest.
+    """Counts of phrases of two and three word ids: nodes for first words, hash containers for the rest.
 
     `root[w]` is a container {rest: count}, rest being the packed ids behind w, or, burst, a node
-    {next word: container}. Single words need no containers: their counts are one array.
+    {next word: container}.
     """
 
-    def __init__(self, length: int, burst: int = BURST):
-        self.length, self.burst = length, burst
+    def __init__(self, burst: int = BURST):
+        self.burst = burst
         self.root: dict[int, dict] = {}
         self.nodes: set[int] = set()
         self.sizes: dict[int, int] = {}
         self.entries = 0
-        self.single = np.zeros(0, dtype=np.int64)
-
-    def add(self, words: np.ndarray, counts: np.ndarray) -> None:
-        """Rows of ids, sorted and different, with their counts."""
-        if not len(words):
-            return
-        if self.length == 1:
-            grown = np.bincount(words[:, 0], counts, len(self.single)).astype(np.int64)
-            grown[: len(self.single)] += self.single
-            self.single, self.entries = grown, len(grown)
-            return
-        heads = np.flatnonzero(np.diff(words[:, 0], prepend=-1))
-        rest = np.zeros(len(words), dtype=np.int64)
-        for k in range(1, self.length):
-            rest = (rest << 31) | words[:, k]
-        rests, counts = rest.tolist(), counts.tolist()
-        for first, lo, hi in zip(words[heads, 0].tolist(), heads.tolist(), [*heads[1:].tolist(), len(words)]):
+
+    def add(self, firsts: np.ndarray, rests: np.ndarray, counts: np.ndarray) -> None:
+        """Different phrases, those of one first word together, with their counts."""
+        heads = np.flatnonzero(np.diff(firsts, prepend=-1))
+        keys, counts = rests.tolist(), counts.tolist()
+        for first, lo, hi in zip(firsts[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)]):
             own = self.root.setdefault(first, {})
             before = self.sizes.get(first, 0)
-            new = 0
             if first in self.nodes:
-                for key, n in zip(rests[lo:hi], counts[lo:hi]):
+                new = 0
+                for key, n in zip(keys[lo:hi], counts[lo:hi]):
                     leaf = own.setdefault(key >> 31, {})
                     new += key not in leaf
                     leaf[key] = leaf.get(key, 0) + n
             else:
-                for key, n in zip(rests[lo:hi], counts[lo:hi]):
+                for key, n in zip(keys[lo:hi], counts[lo:hi]):
                     own[key] = own.get(key, 0) + n
                 new = len(own) - before
-                if self.length > 2 and len(own) > self.burst:
+                if len(own) > self.burst:
                     self._burst(first)
             self.sizes[first] = before + new
             self.entries += new
@@ -104,27 +96,19 @@ class Trie:
         self.root[first] = node
         self.nodes.add(first)
 
-    def spill(self, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Sorted runs of whole subtrees, largest first, until at most `room` entries are left."""
-        if self.length == 1 and self.entries > room:
-            found = np.flatnonzero(self.single)
-            yield found[:, None], self.single[found]
-            self.single, self.entries = np.zeros(0, dtype=np.int64), 0
+    def spill(self, room: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first word, rests, counts): sorted runs of whole subtrees, largest first, until at most `room` entries are left."""
         for first in sorted(self.sizes, key=lambda w: (-self.sizes[w], w)):
             if self.entries <= room:
                 return
             own = self.root.pop(first)
-            leaves = [own[k] for k in sorted(own)] if first in self.nodes else [own]
-            keys = np.fromiter((k for leaf in leaves for k in sorted(leaf)), dtype=np.int64)
-            counts = np.fromiter((leaf[k] for leaf in leaves for k in sorted(leaf)), dtype=np.int64)
+            leaves = own.values() if first in self.nodes else [own]
+            keys = np.fromiter((k for leaf in leaves for k in leaf), dtype=np.int64)
+            counts = np.fromiter((n for leaf in leaves for n in leaf.values()), dtype=np.int64)
             self.nodes.discard(first)
             self.entries -= self.sizes.pop(first)
-            rows = np.empty((len(keys), self.length), dtype=np.int64)
-            rows[:, 0] = first
-            for k in range(self.length - 1, 0, -1):
-                rows[:, k] = keys & ((1 << 31) - 1)
-                keys = keys >> 31
-            yield rows, counts
+            by = np.argsort(keys)
+            yield first, keys[by], counts[by]
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
@@ -170,58 +154,122 @@ def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[pa.DictionaryArray, np
     return words, owner, piece
 
 
-def hashed(word: bytes) -> int:
-    """The same as Spark's xxhash64 of the string, as an index into a bit map."""
-    return xxhash.xxh64_intdigest(word, seed=SEED) & ((1 << BITS) - 1)
-
-
 class Vocabulary:
-    """Ids of the words a task has met, -1 for those the bit map rules out."""
+    """Ids of the words a task has met, and a 64-bit code of each."""
 
-    def __init__(self, survivors: np.ndarray | None):
-        self.survivors, self.ids, self.words = survivors, {}, []
+    def __init__(self):
+        self.ids: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.codes = np.zeros(0, dtype=np.uint64)
 
     def of(self, words: pa.DictionaryArray) -> np.ndarray:
-        ids, out = self.ids, []
-        for word in words.dictionary.to_pylist():
-            known = ids.get(word)
-            if known is None:
-                at = hashed(word) if self.survivors is not None else 0
-                if self.survivors is not None and not self.survivors[at >> 3] >> (at & 7) & 1:
-                    known = -1
-                else:
-                    known = len(self.words)
-                    self.words.append(word)
-                    ids[word] = known
-            out.append(known)
-        return np.array(out, dtype=np.int64)[words.indices.to_numpy()] if out else np.zeros(0, dtype=np.int64)
-
-
-def different(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different rows in order, and how often each occurs."""
-    if not len(rows):
-        return rows, np.zeros(0, dtype=np.int64)
-    by = np.lexsort(rows.T[::-1])
-    rows = rows[by]
-    heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return rows[heads], np.diff(np.concatenate([heads, [len(rows)]]))
-
-
-def runs(documents: DataFrame, length: int, survivors: np.ndarray | None = None, pairs: np.ndarray | None = None, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """(lang, w1 .. w_length, n): sorted runs of phrase counts, one subtree after another.
-
-    documents has lang and text; `survivors` and `pairs` are bit maps of words and pairs that may occur
-    in a phrase, `pairs` by `pair_place` of the words' places.
+        ids, told = self.ids, words.dictionary.to_pylist()
+        new = [w for w in told if w not in ids]
+        if new:
+            ids.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            codes = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
+            self.codes = np.concatenate([self.codes, codes])
+        return np.fromiter(map(ids.__getitem__, told), dtype=np.int64, count=len(told))[words.indices.to_numpy()]
+
+    def pair_codes(self, one: np.ndarray, two: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        return mixed(self.codes[one] * MIX[0] + self.codes[two] * MIX[1] + langs)
+
+
+def lang_codes(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(n) for n in names), dtype=np.uint64, count=len(names))
+
+
+def tokens(batch: pa.RecordBatch, vocabulary: Vocabulary, context: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(ids, piece, text, fresh) of every slice of a batch of (lang, text); the first `fresh` ids are the
+    last words, at most `context`, of the slice before, if the same piece goes on."""
+    carry = np.zeros(0, dtype=np.int64)
+    for first, data, cuts, goes_on, more in slices(batch.column(1)):
+        words, owner, piece = words_of(data, cuts)
+        ids, fresh = vocabulary.of(words), 0
+        if goes_on and len(carry):
+            lead = data[: int(np.argmax(SOLID[data]))] if len(ids) else data
+            before = carry[:0] if BREAK[lead].any() else carry
+            fresh = len(before)
+            owner = np.concatenate([np.zeros(fresh, dtype=np.int64), owner])
+            piece = np.concatenate([np.full(fresh, piece[0] if len(piece) else 0), piece])
+            ids = np.concatenate([before, ids])
+        carry = ids[:0]
+        if more and len(ids) and not BREAK[data[np.max(np.flatnonzero(SOLID[data]), initial=0) :]].any():
+            carry = ids[max(len(ids) - context, int(np.searchsorted(piece, piece[-1]))) :]
+        yield ids, piece, first + owner, fresh
+
+
+def summed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[heads], np.diff(np.concatenate([heads, [len(codes)]]))
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+
+
+def word_and_pair_runs(documents: DataFrame) -> DataFrame:
+    """(lang, w1, code, n): counts of words, code null, and of pair codes, lang and w1 null; parts of sums."""
+    schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, held, size, counted = Vocabulary(), [], 0, {}
+
+        def send_words() -> Iterator[pa.RecordBatch]:
+            texts = pa.array(vocabulary.words, pa.binary())
+            for lang, sums in sorted(counted.items()):
+                found = np.flatnonzero(sums)
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), texts.take(pa.array(part)), pa.nulls(len(part), pa.int64()), pa.array(sums[part])]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        def send_pairs() -> Iterator[pa.RecordBatch]:
+            codes, n = summed(np.concatenate(held))
+            for at in range(0, len(codes), 100_000):
+                part = codes[at : at + 100_000].view(np.int64)
+                columns = [pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + 100_000])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            names, of_text, marks = langs.dictionary.to_pylist(), langs.indices.to_numpy(), lang_codes(langs.dictionary.to_pylist())
+            for ids, piece, text, fresh in tokens(batch, vocabulary, 1):
+                of = of_text[text]
+                for j in np.unique(of[fresh:]).tolist():
+                    sums = np.bincount(ids[fresh:][of[fresh:] == j], minlength=len(vocabulary.words))
+                    before = counted.get(names[j], sums[:0])
+                    sums[: len(before)] += before
+                    counted[names[j]] = sums
+                at = np.flatnonzero(piece[1:] == piece[:-1])
+                held.append(vocabulary.pair_codes(ids[at], ids[at + 1], marks[of[at]]))
+                size += len(at)
+                if size >= TOGETHER:
+                    yield from send_pairs()
+                    held, size = [], 0
+            if len(vocabulary.words) > WORDS:
+                yield from send_words()
+                vocabulary, counted = Vocabulary(), {}
+        yield from send_words()
+        if held:
+            yield from send_pairs()
+
+    return _named(documents).mapInArrow(run, "lang string, w1 binary, code bigint, n bigint")
+
+
+def phrase_runs(documents: DataFrame, pairs: np.ndarray, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+    """(lang, w1, w2, w3, n): sorted runs of phrase counts, one subtree after another; w3 is null in pairs.
+
+    `pairs` is the bit map of the pair codes that may reach the least count.
     """
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast((survivors, pairs))
-    names = [f"w{k + 1}" for k in range(length)]
-    schema = pa.schema([("lang", pa.string()), *[(w, pa.binary()) for w in names], ("n", pa.int64())])
+    shared = documents.sparkSession.sparkContext.broadcast(pairs)
+    schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("w2", pa.binary()), ("w3", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        survivors, pairs = shared.value
-        tries: dict[str, Trie] = {}
-        vocabulary, places = Vocabulary(survivors), np.zeros(0, dtype=np.int64)
+        pairs, mask = shared.value, np.uint64(8 * len(shared.value) - 1)
+        vocabulary, tries = Vocabulary(), {}
 
         def spilled(room: int) -> Iterator[pa.RecordBatch]:
             texts = pa.array(vocabulary.words, pa.binary())
@@ -229,7 +277,7 @@ def runs(documents: DataFrame, length: int, survivors: np.ndarray | None = None,
                 held, size = [], 0
                 for part in tries[lang].spill(room):
                     held.append(part)
-                    size += len(part[0])
+                    size += len(part[1])
                     if size > 50_000:
                         yield batch_of(lang, held, texts)
                         held, size = [], 0
@@ -237,94 +285,64 @@ def runs(documents: DataFrame, length: int, survivors: np.ndarray | None = None,
                     yield batch_of(lang, held, texts)
 
         def batch_of(lang: str, held: list, texts: pa.Array) -> pa.RecordBatch:
-            rows = np.concatenate([h[0] for h in held])
-            counts = np.concatenate([h[1] for h in held])
-            columns = [texts.take(pa.array(rows[:, k])) for k in range(length)]
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(rows), dtype=np.int64))), *columns, pa.array(counts)], schema=schema)
+            first = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+            rest, n = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            third = rest & NOTHING
+            columns = [texts.take(pa.array(first)), texts.take(pa.array(rest >> 31)), texts.take(pa.array(third, mask=third == NOTHING))]
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), *columns, pa.array(n)], schema=schema)
 
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
-            names_in, of_text = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-            carry = np.zeros(0, dtype=np.int64)
-            for first, data, cuts, goes_on, more in slices(batch.column(1)):
-                words, owner, piece = words_of(data, cuts)
-                ids, fresh = vocabulary.of(words), 0
-                if goes_on and len(carry):  # the last words of the slice before, if no break lies between
-                    lead = data[: int(np.argmax(SOLID[data]))] if len(ids) else data
-                    before = carry[:0] if BREAK[lead].any() else carry
-                    fresh = len(before)
-                    owner = np.concatenate([np.zeros(fresh, dtype=np.int64), owner])
-                    piece = np.concatenate([np.full(fresh, piece[0] if len(piece) else 0), piece])
-                    ids = np.concatenate([before, ids])
-                carry = ids[:0]
-                if more and len(ids) and not BREAK[data[np.max(np.flatnonzero(SOLID[data]), initial=0) :]].any():
-                    carry = ids[max(len(ids) - length + 1, int(np.searchsorted(piece, piece[-1]))) :]
-                if len(vocabulary.words) > len(places):
-                    new = vocabulary.words[len(places) :]
-                    places = np.concatenate([places, np.fromiter(map(hashed, new), dtype=np.int64, count=len(new))])
-                m = len(ids) - length + 1
-                if m <= 0:
-                    continue
-                whole = (piece[:m] == piece[length - 1 :]) & (np.arange(m) + length - 1 >= fresh)
-                for k in range(length):
-                    whole &= ids[k : k + m] >= 0
+            names, of_text, marks = langs.dictionary.to_pylist(), langs.indices.to_numpy(), lang_codes(langs.dictionary.to_pylist())
+            for ids, piece, text, fresh in tokens(batch, vocabulary, 2):
+                of = of_text[text]
+                whole = piece[1:] == piece[:-1]
                 at = np.flatnonzero(whole)
-                if pairs is not None:
-                    for k in range(length - 1):
-                        spot = pair_place(places[ids[at + k]], places[ids[at + k + 1]])
-                        at = at[(pairs[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0]
-                of = of_text[first + owner[at]]
+                code = vocabulary.pair_codes(ids[at], ids[at + 1], marks[of[at]]) & mask
+                whole[at] = (pairs[code >> np.uint64(3)] >> (code & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                two = np.flatnonzero(whole[max(fresh - 1, 0) :]) + max(fresh - 1, 0)
+                three = np.flatnonzero(whole[:-1] & whole[1:])
+                three = three[three + 2 >= fresh]
+                firsts = np.concatenate([ids[two], ids[three]])
+                rests = np.concatenate([(ids[two + 1] << 31) | NOTHING, (ids[three + 1] << 31) | ids[three + 2]])
+                of = np.concatenate([of[two], of[three]])
                 for j in np.unique(of).tolist():
-                    own = at[of == j]
-                    rows = np.stack([ids[own + k] for k in range(length)], axis=1)
-                    tries.setdefault(names_in[j], Trie(length, burst)).add(*different(rows))
+                    own = of == j
+                    f, r = firsts[own], rests[own]
+                    by = np.lexsort((r, f))
+                    f, r = f[by], r[by]
+                    heads = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (r[1:] != r[:-1])]))
+                    tries.setdefault(names[j], Trie(burst)).add(f[heads], r[heads], np.diff(np.concatenate([heads, [len(f)]])))
                 if sum(t.entries for t in tries.values()) > entries:
                     yield from spilled(entries // (2 * len(tries)))
             if len(vocabulary.words) > WORDS:
                 yield from spilled(0)
-                vocabulary, places, tries = Vocabulary(survivors), np.zeros(0, dtype=np.int64), {}
+                vocabulary, tries = Vocabulary(), {}
         yield from spilled(0)
 
-    ddl = ", ".join(["lang string", *[f"{w} binary" for w in names], "n bigint"])
-    return documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").mapInArrow(run, ddl)
-
-
-def pair_place(one, two):
-    """The bit of a pair from the places of its words; numpy arrays or Spark columns."""
-    if isinstance(one, Column):
-        return (one * F.lit(3) + two * F.lit(5) + F.shiftright(one * two, 7)).bitwiseAND(F.lit((1 << BITS) - 1))
-    return (one * 3 + two * 5 + ((one * two) >> 7)) & ((1 << BITS) - 1)
+    return _named(documents).mapInArrow(run, "lang string, w1 binary, w2 binary, w3 binary, n bigint")
 
 
-def word_place(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << BITS) - 1))
-
-
-def bit_map(places: DataFrame) -> np.ndarray:
-    """The bits of a one-column table of places: at most 2 ** BITS / 64 rows reach the driver."""
-    place = places.columns[0]
-    packed = places.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
+def bit_map(codes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Bits set where a code of the one-column table, cut to `bits`, points: at most 2 ** bits / 64 rows reach the driver."""
+    at = F.col(codes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+    packed = codes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({codes.columns[0]} & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[packed["at"].to_numpy()] = packed["bits"].to_numpy()
     return out.astype("<i8").view(np.uint8)
 
 
-def merged(counted: DataFrame, least: int) -> DataFrame:
-    """Runs of all tasks merged per phrase, those of at least `least` occurrences."""
-    keys = [c for c in counted.columns if c != "n"]
-    return counted.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-
-
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(totals per language, words, pairs, triples): the latter three with at least `least` occurrences."""
-    words, _ = written(runs(documents, 1).groupBy("lang", "w1").agg(F.sum("n").alias("n")), "phrase-words")
+    counted, path = written(word_and_pair_runs(documents), "phrase-runs")
+    words, _ = written(counted.filter("code is null").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "phrase-words")
+    codes = counted.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    pairs = bit_map(codes.select("code"))
+    forget(documents.sparkSession, path)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = words.filter(F.col("n") >= least)
-    survivors = bit_map(words.select(word_place(F.col("w1")).alias("place")))
-    pairs, _ = written(merged(runs(documents, 2, survivors), least), "phrase-pairs")
-    both = bit_map(pairs.select(pair_place(word_place(F.col("w1")), word_place(F.col("w2"))).alias("place")))
-    triples, _ = written(merged(runs(documents, 3, survivors, both), least), "phrase-triples")
-    return totals, words, pairs, triples
+    phrases = phrase_runs(documents, pairs).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    phrases, _ = written(phrases, "phrases")
+    return totals, words.filter(F.col("n") >= least), phrases.filter("w3 is null").drop("w3"), phrases.filter("w3 is not null")
 
 
 def strength(a: str, left: str, right: str) -> Column:

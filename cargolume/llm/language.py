@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolume.llm.blocks import BLOCK, MIX, blocks, mixed
+from cargolume.llm.blocks import MIX, blocks, mixed
 from cargolume.llm.common import written
 
 ORDER = 5
@@ -43,6 +43,8 @@ ORDER = 5
 SAMPLE, GRAMS = 2000, 400_000
 #: One sampled text of so many calibrates instead of being counted.
 CALIBRATING = 8
+#: Bytes of text looked at together.
+BLOCK = 1 << 18
 UNKNOWN = "und"
 SPACE = 32
 TEMPERATURES = 2.0 ** np.arange(0, 9)
@@ -73,7 +75,7 @@ def symbol_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     another run, what stood before. `letters` counts each text's letters in the run.
     """
     first = 0
-    for data, cuts in blocks(pc.utf8_lower(texts)):
+    for data, cuts in blocks(pc.utf8_lower(texts), BLOCK):
         if len(cuts) == 2 and len(data) > BLOCK:
             context, at = None, 0
             while at < len(data):
