@@ -6,11 +6,11 @@ trie outgrows ENTRIES, whole subtrees, largest first, leave it as sorted runs an
 the runs of all tasks per partition; the prefix that decides the partition is the whole phrase, as the
 subtree of one frequent first word may hold a good part of all rows.
 
-Two passes over the texts. The first counts words, and pairs by a 64-bit code alone: codes that do not
-reach LEAST rule their pairs out, and the rest goes to the tasks as a bit map of fixed size (2 ** BITS
-bits). The second counts pairs the map lets through, and triples made of two such pairs, in the trie, as
-words. A code or bit shared by chance costs a useless count, never a wrong one, so the result is exact,
-and the broadcast does not grow with the corpus.
+Three passes over the texts. The first counts words, and pairs by a code of CODE bits alone: codes that
+do not reach LEAST rule their pairs out, and the rest goes to the tasks as a bit map of fixed size
+(2 ** BITS bits). The second does so with triples made of two such pairs. The third counts what both maps
+let through, in the trie, as words. A code or bit shared by chance costs a useless count, never a wrong
+one, so the result is exact, and no broadcast grows with the corpus.
 
 Everything is per language. For phrases a = f(phrase) >= LEAST of two and three words and each cut into
 parts of l and r occurrences, floor(1000000 a a / (l r)) is taken in 38-digit decimals.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolume.llm.blocks import BLOCK, MIX, blocks, mixed
-from cargolume.llm.common import forget, written
+from cargolume.llm.common import written
 
 #: Fixed values of the contract.
 LEAST, LONGEST, SHARE, SHOWN = 10, 3, 50, 2000
@@ -40,8 +40,8 @@ LEAST, LONGEST, SHARE, SHOWN = 10, 3, 50, 2000
 BURST, ENTRIES = 4096, 300_000
 #: Different words a task remembers, and pairs it counts together, before it sends them.
 WORDS, TOGETHER = 300_000, 1_500_000
-#: Bits of the map of pair codes that reach LEAST.
-BITS = 26
+#: Bits of a phrase's code, and of the maps of codes that reach LEAST, which could not tell more apart.
+CODE, BITS = 40, 26
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK, BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -172,8 +172,29 @@ class Vocabulary:
             self.codes = np.concatenate([self.codes, codes])
         return np.fromiter(map(ids.__getitem__, told), dtype=np.int64, count=len(told))[words.indices.to_numpy()]
 
-    def pair_codes(self, one: np.ndarray, two: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        return mixed(self.codes[one] * MIX[0] + self.codes[two] * MIX[1] + langs)
+    def phrase_codes(self, ids: np.ndarray, at: np.ndarray, length: int, langs: np.ndarray) -> np.ndarray:
+        """Codes of the phrases of so many words that begin at these places."""
+        sums = langs.copy()
+        for k in range(length):
+            sums += self.codes[ids[at + k]] * MIX[k]
+        return mixed(sums) >> np.uint64(64 - CODE)
+
+
+def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def phrases_in(vocabulary: Vocabulary, ids: np.ndarray, piece: np.ndarray, langs: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs and where triples begin that lie in one piece and that the bit maps let through."""
+    whole = piece[1:] == piece[:-1]
+    if pairs is not None:
+        at = np.flatnonzero(whole)
+        whole[at] = in_map(pairs, vocabulary.phrase_codes(ids, at, 2, langs[at]))
+    three = np.flatnonzero(whole[:-1] & whole[1:])
+    if triples is not None:
+        three = three[in_map(triples, vocabulary.phrase_codes(ids, three, 3, langs[three]))]
+    return np.flatnonzero(whole), three
 
 
 def lang_codes(names: list[str]) -> np.ndarray:
@@ -210,11 +231,14 @@ def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
 
 
-def word_and_pair_runs(documents: DataFrame) -> DataFrame:
-    """(lang, w1, code, n): counts of words, code null, and of pair codes, lang and w1 null; parts of sums."""
+def code_runs(documents: DataFrame, pairs: np.ndarray | None = None) -> DataFrame:
+    """(lang, w1, code, n): parts of sums. Without `pairs`, counts of words (code null) and of the codes of
+    pairs (lang, w1 null); with the bit map of pairs that may count, of the codes of triples."""
+    shared = documents.sparkSession.sparkContext.broadcast(pairs)
     schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
         vocabulary, held, size, counted = Vocabulary(), [], 0, {}
 
         def send_words() -> Iterator[pa.RecordBatch]:
@@ -226,7 +250,7 @@ def word_and_pair_runs(documents: DataFrame) -> DataFrame:
                     columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), texts.take(pa.array(part)), pa.nulls(len(part), pa.int64()), pa.array(sums[part])]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        def send_pairs() -> Iterator[pa.RecordBatch]:
+        def send_codes() -> Iterator[pa.RecordBatch]:
             codes, n = summed(np.concatenate(held))
             for at in range(0, len(codes), 100_000):
                 part = codes[at : at + 100_000].view(np.int64)
@@ -235,40 +259,45 @@ def word_and_pair_runs(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
-            names, of_text, marks = langs.dictionary.to_pylist(), langs.indices.to_numpy(), lang_codes(langs.dictionary.to_pylist())
-            for ids, piece, text, fresh in tokens(batch, vocabulary, 1):
+            names, of_text = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+            marks = lang_codes(names)
+            for ids, piece, text, fresh in tokens(batch, vocabulary, 1 if pairs is None else 2):
                 of = of_text[text]
-                for j in np.unique(of[fresh:]).tolist():
-                    sums = np.bincount(ids[fresh:][of[fresh:] == j], minlength=len(vocabulary.words))
-                    before = counted.get(names[j], sums[:0])
-                    sums[: len(before)] += before
-                    counted[names[j]] = sums
-                at = np.flatnonzero(piece[1:] == piece[:-1])
-                held.append(vocabulary.pair_codes(ids[at], ids[at + 1], marks[of[at]]))
+                two, three = phrases_in(vocabulary, ids, piece, marks[of], pairs, None)
+                if pairs is None:
+                    for j in np.unique(of[fresh:]).tolist():
+                        sums = np.bincount(ids[fresh:][of[fresh:] == j], minlength=len(vocabulary.words))
+                        before = counted.get(names[j], sums[:0])
+                        sums[: len(before)] += before
+                        counted[names[j]] = sums
+                    at, length = two[two + 1 >= fresh], 2
+                else:
+                    at, length = three[three + 2 >= fresh], 3
+                held.append(vocabulary.phrase_codes(ids, at, length, marks[of[at]]))
                 size += len(at)
                 if size >= TOGETHER:
-                    yield from send_pairs()
+                    yield from send_codes()
                     held, size = [], 0
             if len(vocabulary.words) > WORDS:
                 yield from send_words()
                 vocabulary, counted = Vocabulary(), {}
         yield from send_words()
         if held:
-            yield from send_pairs()
+            yield from send_codes()
 
     return _named(documents).mapInArrow(run, "lang string, w1 binary, code bigint, n bigint")
 
 
-def phrase_runs(documents: DataFrame, pairs: np.ndarray, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+def phrase_runs(documents: DataFrame, pairs: np.ndarray, triples: np.ndarray, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
     """(lang, w1, w2, w3, n): sorted runs of phrase counts, one subtree after another; w3 is null in pairs.
 
-    `pairs` is the bit map of the pair codes that may reach the least count.
+    `pairs` and `triples` are bit maps of the codes of phrases that may reach the least count.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(pairs)
+    shared = documents.sparkSession.sparkContext.broadcast((pairs, triples))
     schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("w2", pa.binary()), ("w3", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, mask = shared.value, np.uint64(8 * len(shared.value) - 1)
+        pairs, triples = shared.value
         vocabulary, tries = Vocabulary(), {}
 
         def spilled(room: int) -> Iterator[pa.RecordBatch]:
@@ -293,16 +322,12 @@ def phrase_runs(documents: DataFrame, pairs: np.ndarray, entries: int = ENTRIES,
 
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
-            names, of_text, marks = langs.dictionary.to_pylist(), langs.indices.to_numpy(), lang_codes(langs.dictionary.to_pylist())
+            names, of_text = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+            marks = lang_codes(names)
             for ids, piece, text, fresh in tokens(batch, vocabulary, 2):
                 of = of_text[text]
-                whole = piece[1:] == piece[:-1]
-                at = np.flatnonzero(whole)
-                code = vocabulary.pair_codes(ids[at], ids[at + 1], marks[of[at]]) & mask
-                whole[at] = (pairs[code >> np.uint64(3)] >> (code & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                two = np.flatnonzero(whole[max(fresh - 1, 0) :]) + max(fresh - 1, 0)
-                three = np.flatnonzero(whole[:-1] & whole[1:])
-                three = three[three + 2 >= fresh]
+                two, three = phrases_in(vocabulary, ids, piece, marks[of], pairs, triples)
+                two, three = two[two + 1 >= fresh], three[three + 2 >= fresh]
                 firsts = np.concatenate([ids[two], ids[three]])
                 rests = np.concatenate([(ids[two + 1] << 31) | NOTHING, (ids[three + 1] << 31) | ids[three + 2]])
                 of = np.concatenate([of[two], of[three]])
@@ -334,13 +359,14 @@ def bit_map(codes: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(totals per language, words, pairs, triples): the latter three with at least `least` occurrences."""
-    counted, path = written(word_and_pair_runs(documents), "phrase-runs")
-    words, _ = written(counted.filter("code is null").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "phrase-words")
-    codes = counted.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pairs = bit_map(codes.select("code"))
-    forget(documents.sparkSession, path)
+    counted = code_runs(documents).groupBy("lang", "w1", "code").agg(F.sum("n").alias("n"))
+    counted, _ = written(counted.filter(F.col("code").isNull() | (F.col("n") >= least)), "phrase-words")
+    words = counted.filter("code is null").drop("code")
+    pairs = bit_map(counted.filter("code is not null").select("code"))
+    codes = code_runs(documents, pairs).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    triples = bit_map(codes.filter("code is not null").select("code"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    phrases = phrase_runs(documents, pairs).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    phrases = phrase_runs(documents, pairs, triples).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     phrases, _ = written(phrases, "phrases")
     return totals, words.filter(F.col("n") >= least), phrases.filter("w3 is null").drop("w3"), phrases.filter("w3 is not null")
 

@@ -88,7 +88,7 @@ def counted(runs):
 def test_tight_limits_change_nothing(spark):
     some = [*rows(3, 20), LONG]
     every = np.full(8, 255, dtype=np.uint8)
-    assert counted(co.phrase_runs(frame(spark, some), every, entries=500, burst=8)) == pairs_and_triples(some)
+    assert counted(co.phrase_runs(frame(spark, some), every, every, entries=500, burst=8)) == pairs_and_triples(some)
 
 
 @pytest.mark.parametrize("block", [64, 997])
