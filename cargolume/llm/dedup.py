@@ -9,7 +9,8 @@ smallest rank. Only ranks up to about k ln k / weight can matter, so a signature
 shingles plus k ln k, not their product. Two documents agree in a coordinate with the probability of
 their weighted Jaccard similarity.
 
-Bands of coordinates are bucket keys. Exact copies are one node. A bucket's pivot is its smallest node;
+Bands of coordinates are bucket keys. Exact copies are one node, whatever their ids: nodes are numbered in
+the order of (smallest id, digest), so two texts never share one. A bucket's pivot is its smallest node;
 every node is compared with the smallest of its pivots, those left in another class with the next. Then
 all pairs of different classes are gone through in buckets that still hold several: in small ones pair by
 pair; the members of large ones by a prefix join, which leaves out none that can be similar enough.
@@ -17,8 +18,9 @@ Candidates are verified on the exact weighted shingles, links are joined into cl
 documents are parted only if they share no band; at 0.8 that has probability 6e-5.
 
 Cases: null texts are empty; texts without words are alone in their class; texts of fewer than five
-words have one shingle; texts of any length are read whole; rows with equal id and text have one class;
-rows with a null id keep a null class; empty tables give empty results; other columns are not needed.
+words have one shingle; texts of any length are read whole; rows with equal id and text have one class, rows with
+equal id and different texts are compared like any others; rows with a null id keep a null class; empty
+tables give empty results; other columns are not needed.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +45,10 @@ SMALL, SLACK = 8, 1e-6
 _LAW = np.exp(-1) * np.cumsum(1 / np.cumprod([1.0, *range(1, 16)]))
 POISSON = (_LAW[:12] * 2.0**64).astype(np.uint64)
 UNIT = 2.0**-53
+#: Bytes of text looked at together: worker memory follows it.
+TOGETHER = 1 << 18
 #: Squares whose darts are thrown together.
-SQUARES = 1 << 18
+SQUARES = 1 << 17
 
 
 def _throw(owner: np.ndarray, codes: np.ndarray, weights: np.ndarray, limit: np.ndarray, best: np.ndarray) -> None:
@@ -110,7 +114,7 @@ def signature_udf(width: int, bands: int, rows: int, counted: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             keys, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for data, cuts in blocks(texts):
+            for data, cuts in blocks(texts, TOGETHER):
                 owner, codes, counts = shingles(data, cuts, width)
                 n = len(cuts) - 1
                 weights = counts.astype(float) if counted else np.ones(len(codes))
@@ -130,7 +134,7 @@ def shingle_udf(width: int, counted: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             values, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for data, cuts in blocks(texts):
+            for data, cuts in blocks(texts, TOGETHER):
                 owner, codes, counts = shingles(data, cuts, width)
                 counts = counts if counted else np.ones_like(counts)
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -208,20 +212,22 @@ def _reaching(members: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """(doc_id, class_id) per row; the class is the smallest id joined by links, or the row's own."""
-    rows_of = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    signed, _ = written(rows_of.select("id", digest.alias("digest"), signature_udf(width, bands, rows, counted)("text").alias("keys")), "dedup-signatures")
+def duplicate_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """(id, digest, class_id, kept) per row: the digest of its text, the smallest id its class holds, and
+    whether this text under this id is the one of its class that comes first by (id, digest)."""
+    rows_of = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    signed, _ = written(rows_of.select("id", digest_of("text").alias("digest"), signature_udf(width, bands, rows, counted)("text").alias("keys")), "dedup-signatures")
     with_words = signed.filter("size(keys) > 0 and id is not null")
-    groups, _ = written(with_words.groupBy("digest").agg(F.min("id").alias("node")), "dedup-groups")
-    nodes = with_words.join(groups, "digest").filter("id = node")
+    groups = with_words.groupBy("digest").agg(F.min("id").alias("first"))
+    groups = groups.repartitionByRange("first", "digest").sortWithinPartitions("first", "digest")
+    groups, _ = written(groups.withColumn("node", F.monotonically_increasing_id()), "dedup-groups")
+    nodes = with_words.withColumnRenamed("id", "first").join(groups, ["digest", "first"]).dropDuplicates(["node"])
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("far")).filter("pivot < far")
     buckets, _ = written(keyed.join(ends, "key"), "dedup-buckets")
-    met = buckets.select("node").distinct()
-    texts = rows_of.join(met, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"])
-    held, _ = written(texts.select(F.col("id").alias("node"), shingle_udf(width, counted)("text").alias("codes")), "dedup-shingles")
+    met = groups.join(buckets.select("node").distinct(), "node").select("digest", "first", "node")
+    texts = rows_of.withColumn("digest", digest_of("text")).withColumnRenamed("id", "first").join(met, ["digest", "first"])
+    held, _ = written(texts.dropDuplicates(["node"]).select("node", shingle_udf(width, counted)("text").alias("codes")), "dedup-shingles")
     # one pivot per node at first, twice: most of a group of copies is one class then
     links, tested, labels = None, None, None
     for _ in range(2):
@@ -240,7 +246,38 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         else:
             more = _reaching(members.filter(F.col("n") > SMALL).select("node", "label").distinct(), held, least)
         links, tested, labels = _linked(more.distinct().join(tested, ["a", "b"], "left_anti"), held, least, links, tested)
-    to = groups.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
-    out = signed.join(to, "digest", "left")
-    alone = F.when((F.size("keys") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), alone.alias("class_id"))
+    heads = groups.select(F.col("node").alias("label"), F.col("first").alias("class"))
+    to = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(heads, "label")
+    out = signed.join(to.select("digest", "first", "class", (F.col("node") == F.col("label")).alias("head")), "digest", "left")
+    words = (F.size("keys") > 0) & F.col("id").isNotNull()
+    kept = F.when(words, F.col("head") & (F.col("id") == F.col("first"))).otherwise(True)
+    return out.select("id", "digest", F.when(words, F.col("class")).otherwise(F.col("id")).alias("class_id"), kept.alias("kept"))
+
+
+def digest_of(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id) per row; the class is the smallest id joined by links, or the row's own."""
+    classes = duplicate_classes(documents, doc_id, text, **options)
+    return classes.select(F.col("id").alias(doc_id), "class_id")
+
+
+def without_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `documents`, one of each class of near copies: the one that comes first by (id, digest).
+
+    Rows equal in id and text are one; rows with a null id all stay.
+    """
+    classes, _ = written(duplicate_classes(documents, doc_id, text, **options), "dedup-classes")
+    others = classes.filter("id is not null").groupBy("id", "digest").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    others = others.filter("not kept or n > 1")
+    names = [f"__{k}" for k in ("id", "digest", "kept", "n", "salt")]
+    while any(name in documents.columns for name in names):
+        names = [f"_{name}" for name in names]
+    own, digest, kept, n, salt = names
+    marked = documents.withColumns({own: F.col(f"`{doc_id}`"), digest: digest_of(text)})
+    marked = marked.join(others.toDF(own, digest, kept, n), [own, digest], "left").filter(F.coalesce(kept, F.lit(True)))
+    # only rows that repeat need to meet; all others get a number of their own
+    marked = marked.withColumn(salt, F.when(F.col(n).isNull(), F.monotonically_increasing_id()))
+    return marked.dropDuplicates([own, digest, salt]).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -4,7 +4,7 @@ Boosting goes round the features in turn. Each step fits a shallow tree of one f
 loss gradient and adds it to that feature's lookup table; the strongest pairs then get tables of two
 features the same way. A score is the sum of a row's table entries, looked up by bin, through a logistic.
 
-The model is fitted on at most `SAMPLE` labelled rows, those of smallest xxhash64 of the id, brought to
+The model is fitted on about `SAMPLE` labelled rows at most, drawn by a hash of id and text and brought to
 the driver as numbers; scoring covers every row.
 
 Cases: a null text is empty, an empty text scores by the bins of zero counts; texts of any length are
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cargolume.llm.common import written
 from cargolume.llm.blocks import MIX, blocks, word_codes, word_starts
 
 #: Largest number of labelled rows the model is fitted on.
 SAMPLE = 20_000
+#: Bytes of text looked at together: worker memory follows it.
+TOGETHER = 1 << 18
 FEATURES = (
     "log_chars log_words upper_share letter_share digit_share bangs_per_word bars_per_word "
     "symbols_per_word stops_per_word repeated_share distinct_share mean_word longest_word lines_per_word"
@@ -91,7 +94,7 @@ def _block(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def features_of(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES per text; whole texts, a bounded number of bytes at a time."""
-    return np.concatenate([np.zeros((0, len(FEATURES))), *(_block(*b) for b in blocks(texts))])
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(_block(*b) for b in blocks(texts, TOGETHER))])
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -106,6 +109,7 @@ class Gam:
     """Lookup tables: `edges[f]` cuts feature f into bins, `single[f]` and `pairs` hold what bins add."""
 
     base: float
+    learnt: int = 0
     edges: list[np.ndarray] = field(default_factory=list)
     single: list[np.ndarray] = field(default_factory=list)
     coarse: list[np.ndarray] = field(default_factory=list)
@@ -172,7 +176,7 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[np.ndarray,
 
 def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = 120, pair_rounds: int = 40, rate: float = 0.15, bins: int = 48, coarse: int = 8, pairs: int = 6, ridge: float = 4.0) -> Gam:
     share = (labels.sum() + 1) / (len(labels) + 2)
-    model = Gam(float(np.log(share / (1 - share))))
+    model = Gam(float(np.log(share / (1 - share))), len(labels))
     if len(np.unique(labels)) < 2:
         return model
     model.edges = [_cuts(v, bins) for v in rows.T]
@@ -212,27 +216,34 @@ def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = 120, pair_rounds: in
     return model
 
 
-def train(featured: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> Gam:
-    """A model from rows with `doc_id` and `features`, and labels with `doc_id` and `quality`.
+def train(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> Gam:
+    """A model from rows with `doc_id` and `text`, and labels with `doc_id` and `quality`.
 
-    `held_out` is a column expression over doc_id: rows where it is true are never learnt from.
+    `held_out` is a column expression over doc_id: rows where it is true are never learnt from. Learnt
+    from are about `sample` labelled rows, those whose hash of id and text lies below a share taken from
+    their count, so features are computed for them alone and no more of them reach the driver. Rows
+    equal in id and text count once.
     """
     marks = labels.filter("quality is not null and doc_id is not null").filter(~held_out)
-    marks = marks.groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    joined = featured.select("doc_id", "features").join(marks, "doc_id")
-    kept = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).toPandas()
+    marks, _ = written(marks.groupBy("doc_id").agg(F.avg("quality").alias("quality")), "quality-labels")
+    labelled = documents.select("doc_id").join(marks, "doc_id").count()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    drawn = documents.select("doc_id", "text").filter(place < int(min(1.0, sample / max(labelled, 1)) * (1 << 40)))
+    drawn = drawn.join(marks, "doc_id").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = drawn.dropDuplicates(["doc_id", "digest"]).select("quality", text_features("text").alias("features")).toPandas()
     if kept.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return fit(np.stack(kept["features"]), (kept["quality"] >= 0.5).to_numpy(dtype=float))
+    rows, good = np.stack(kept["features"]), (kept["quality"] >= 0.5).to_numpy(dtype=float)
+    by = np.lexsort((*rows.T, good))  # sums do not depend on the order rows arrive in
+    return fit(rows[by], good[by])
 
 
 def scorer(model: Gam):
-    """features array -> score."""
+    """text -> score; features and look-ups in one pass over a batch."""
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for rows in batches:
-            flat = rows.flatten().to_numpy(zero_copy_only=False)
-            yield pa.array(model.score(flat.reshape(-1, len(FEATURES))))
+        for texts in batches:
+            yield pa.array(model.score(features_of(texts)))
 
     return run

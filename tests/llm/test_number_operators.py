@@ -144,14 +144,13 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_edges(spark, documents):
-    featured = documents.select("doc_id", quality.text_features("text").alias("features"))
     nothing = spark.createDataFrame([], "doc_id bigint, quality int")
     from pyspark.sql import functions as F
 
-    model = quality.train(featured, nothing, F.lit(False))
-    assert {r[0] for r in featured.select(quality.scorer(model)("features")).collect()} == {0.5}
+    model = quality.train(documents, nothing, F.lit(False))
+    assert {r[0] for r in documents.select(quality.scorer(model)("text")).collect()} == {0.5}
     some = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 1), (2, None), (None, 1)], "doc_id bigint, quality int")
-    scores = [r[0] for r in featured.select(quality.scorer(quality.train(featured, some, F.lit(False)))("features")).collect()]
+    scores = [r[0] for r in documents.select(quality.scorer(quality.train(documents, some, F.lit(False)))("text")).collect()]
     assert len(scores) == len(corpus()) and all(0 <= s <= 1 for s in scores)
 
 
