@@ -8,33 +8,27 @@ id stay, unless their text is rejected; empty tables pass through as empty table
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cargolume.llm.bpe import encode_documents
 from cargolume.llm.common import fold_of, table, written
-from cargolume.llm.dedup import near_duplicates
+from cargolume.llm.dedup import without_near_duplicates
 from cargolume.llm.mixing import mix_documents
-from cargolume.llm.quality import scorer, text_features, train
+from cargolume.llm.quality import scorer, train
 from cargolume.llm.queries.op3 import TOKENIZER
 from cargolume.llm.queries.op9 import FOLDS, HELD_OUT, LEAST
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; all of them if there is no label to learn from."""
-    featured = docs.select("doc_id", text_features("text").alias("features"))
-    model = train(featured, table(spark, sf_dir, "labels"), fold_of("doc_id", FOLDS) == HELD_OUT)
-    if not model.edges:
+    model = train(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", FOLDS) == HELD_OUT)
+    if model.learnt == 0:
         return docs
-    return docs.filter(scorer(model)(text_features("text")) >= LEAST)
+    return docs.filter(scorer(model)("text") >= LEAST)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one of smallest id."""
-    classes = near_duplicates(docs)
-    others = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are no copies
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("__salt", salt)
-    return kept.dropDuplicates(["doc_id", "__salt"]).select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
