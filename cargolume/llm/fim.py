@@ -293,8 +293,8 @@ def restored_text(form: Column, output: Column) -> Column:
     p, s, m = (F.lit(x.decode()) for x in (PREFIX, SUFFIX, MIDDLE))
 
     def between(head: Column, tail: Column | None) -> Column:
-        rest = F.substring(output, F.locate(head, output) + 3, F.length(output))
-        return rest if tail is None else F.substring(rest, F.lit(1), F.locate(tail, rest) - 1)
+        rest = F.substring(output, F.position(head, output) + 3, F.length(output))
+        return rest if tail is None else F.substring(rest, F.lit(1), F.position(tail, rest) - 1)
 
     psm = F.concat(between(p, s), between(m, None), between(s, m))
     spm = F.concat(between(p, m), between(m, None), between(s, p))
