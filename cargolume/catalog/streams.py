@@ -193,6 +193,49 @@ def _(spark, sf):
     ).withColumn("retried", F.lit(retried).cast("bigint"))
 
 
+@query(
+    "interleaved_writers",
+    vd_sql(
+        "select count(*) stored_rows, count(distinct event_id) stored_ids, count(*) inserted_by_both, 2::bigint batches from vd"
+    ),
+)
+def _(spark, sf):
+    # Between merge and commit of one writer another commits half of the same rows.
+    layout, _ = raw_layer(spark, sf)
+    rows = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+    first, inserted = sinks.EventStore(spark, layout.root), []
+
+    class Slow(sinks.EventStore):
+        def publish_manifest(self, *args):
+            if not inserted:
+                half = rows.filter(F.xxhash64("event_id") % 2 == 0)
+                inserted.append(first.write_batch(half, 0, "first-query"))
+            return super().publish_manifest(*args)
+
+    inserted.append(Slow(spark, layout.root).write_batch(rows, 0, "second-query"))
+    batches = first.manifests().count()
+    return first.read_committed("cleaned").agg(
+        F.count("*").alias("stored_rows"), F.count_distinct("event_id").alias("stored_ids")
+    ).withColumns({"inserted_by_both": F.lit(sum(inserted)).cast("bigint"), "batches": F.lit(batches).cast("bigint")})
+
+
+@query(
+    "indexed_keys",
+    vd_sql("select event_id, count(*) over () known_keys, 0::bigint accepted_again from vd"),
+)
+def _(spark, sf):
+    # Eight batches with a compaction every two: keys come from merged runs, and all are known.
+    layout, _ = raw_layer(spark, sf)
+    rows = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+    kept = sinks.EventStore(spark, layout.root, every=2)
+    for part in range(8):
+        kept.write_batch(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(8)) == part), part, "parts")
+    again = kept.write_batch(rows, 0, "all-again")
+    keys = kept.read_committed("keys")
+    known = keys.count()
+    return keys.select("event_id", F.lit(known).cast("bigint").alias("known_keys"), F.lit(again).cast("bigint").alias("accepted_again"))
+
+
 @query(
     "replay_in_small_triggers",
     vd_sql("select event_id, event_type, event_ts from vd"),
@@ -316,6 +359,87 @@ def _(spark, sf):
     return jobs.tumbling_minutes(spark.read.parquet(out), "ts", "event_type")
 
 
+_SLICES = 6
+
+
+def _click_slices(spark, sf):
+    """The events table in files of rising time, written one after the other, and a stream over them."""
+    path = scratch_dir(spark, "clicks")
+    events = table(spark, sf, "events").selectExpr(
+        "event_id", "convert_timezone('UTC', current_timezone(), ts)::timestamp ts", "event_type"
+    )
+    edges = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    step = (edges["high"] - edges["low"]) / _SLICES
+    for n in range(_SLICES):
+        low, high = edges["low"] + n * step, edges["low"] + (n + 1) * step
+        own = (F.col("ts") >= low) & ((F.col("ts") < high) if n < _SLICES - 1 else F.lit(True))
+        part = events.filter(own)
+        part.unionByName(part).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(
+    "streamed_minutes",
+    """with m as (select date_trunc('minute', ts) minute_start, event_type, count(*) n from events group by 1, 2),
+    c as (select epoch_ms(max(ts)) - 600000 closed from events)
+    select minute_start, event_type, n one_file, n three_files from m, c
+    where epoch_ms(minute_start) + 60000 <= closed""",
+)
+def _(spark, sf):
+    # One query: dedup state, then window state, closed minutes appended. Every record comes twice.
+    path, closed = _click_slices(spark, sf), {}
+    for files in (1, 3):
+        out = scratch_dir(spark, "minutes")
+        stream = (
+            spark.readStream.schema("event_id bigint, ts timestamp, event_type string")
+            .option("maxFilesPerTrigger", files)
+            .parquet(path)
+        )
+        jobs.start_minutes(stream, out, "ts", "event_id", ("event_type",), NOW_TRIGGER).awaitTermination()
+        closed[files] = spark.read.schema("minute_start timestamp, event_type string, event_count bigint").parquet(out)
+    keys = ["minute_start", "event_type"]
+    one, three = (closed[n].withColumnRenamed("event_count", name) for n, name in ((1, "one_file"), (3, "three_files")))
+    return one.join(three, keys, "full")
+
+
+@query(
+    "stream_restart",
+    """with e as (select event_id, ts, epoch_us(ts) us from events),
+    h as (select us, us < (select min(us) + (max(us) - min(us)) // 2 from e) early from e),
+    w as (select (max(us) // 1000 - 600000) * 1000 mark from h where early)
+    select (select count(*) from e) stored_rows, (select count(distinct event_id) from e) stored_ids,
+    count(*) filter (where us <= mark) late_dropped from h, w where early""",
+)
+def _(spark, sf):
+    # The earlier half runs, the query ends; it restarts on its checkpoint with the later half and the
+    # earlier one again: what lies behind the watermark is dropped and counted, the rest is known by its id.
+    path, out = scratch_dir(spark, "clicks"), scratch_dir(spark, "restart")
+    events = table(spark, sf, "events").selectExpr(
+        "event_id", "convert_timezone('UTC', current_timezone(), ts)::timestamp ts", "event_type", "unix_micros(convert_timezone('UTC', current_timezone(), ts)::timestamp) us"
+    )
+    edges = events.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    early = F.col("us") < edges["low"] + (edges["high"] - edges["low"]) // 2
+    listener = ProgressTable()
+    spark.streams.addListener(listener)
+    try:
+        with jobs.rocksdb_state(spark):
+            for rows in (events.filter(early), events):
+                rows.drop("us").coalesce(1).write.mode("append").parquet(path)
+                stream = spark.readStream.schema("event_id bigint, ts timestamp, event_type string").parquet(path)
+                once = jobs.deduplicated(stream, "ts", "event_id")
+                writer = once.writeStream.format("parquet").option("path", out).queryName("restart")
+                writer.option("checkpointLocation", f"{out}-checkpoint").trigger(**NOW_TRIGGER).start().awaitTermination()
+                listener.wait_terminated("restart")
+                listener.states.pop("restart")
+    finally:
+        spark.streams.removeListener(listener)
+    dropped = listener.table(spark).filter("query = 'restart'").agg(F.sum("watermark_dropped")).first()[0]
+    stored = spark.read.schema("event_id bigint").parquet(out)
+    return stored.agg(F.count("*").alias("stored_rows"), F.count_distinct("event_id").alias("stored_ids")).withColumn(
+        "late_dropped", F.lit(dropped).cast("bigint")
+    )
+
+
 @query(
     "retention_candidates",
     env_sql(

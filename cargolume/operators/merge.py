@@ -56,17 +56,23 @@ def anti_existing_source(batch: DataFrame, existing: DataFrame, small: bool = Fa
 
 
 def merge_new_events(
-    batch: DataFrame, existing: DataFrame, batch_rows: int | None = None
+    batch: DataFrame,
+    existing: DataFrame,
+    batch_rows: int | None = None,
+    existing_sources: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the batch to insert: first version of an id wins, as does a source position.
 
     `batch_rows` is the counted size of the batch; only a batch below the bound is
-    broadcast, any other is joined by shuffle.
+    broadcast, any other is joined by shuffle. `existing_sources` has the stored source
+    positions where `existing` has only the ids that matter.
     """
     small = batch_rows is not None and batch_rows <= BROADCAST_ROWS
     candidates = dedup_candidates(batch)
     fresh = anti_existing_source(
-        anti_existing_event_ids(candidates, existing, small), existing, small
+        anti_existing_event_ids(candidates, existing, small),
+        existing if existing_sources is None else existing_sources,
+        small,
     )
     return first_per(fresh, list(SOURCE_KEY), ["event_id"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -195,3 +196,32 @@ def tumbling_minutes(stream: DataFrame, time: str, *keys: str) -> DataFrame:
         .agg(F.count("*").alias("event_count"))
         .select(F.col("w.start").alias("minute_start"), *keys, "event_count")
     )
+
+
+def start_minutes(
+    stream: DataFrame, path: str, time: str, key: str, keys: tuple[str, ...], trigger: dict, delay: str = "10 minutes"
+) -> StreamingQuery:
+    """Minutes of a stream as one query: ids unique within the watermark, then windows, each appended
+    once the watermark has passed its end. Both states live in the one checkpoint."""
+    minutes = tumbling_minutes(deduplicated(stream, time, key, delay), time, *keys)
+    writer = minutes.writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("checkpointLocation", f"{path}-checkpoint").queryName("minutes").trigger(**trigger).start()
+
+
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, off the heap, and upload changes only."""
+    before = {key: spark.conf.get(key, None) for key in ROCKSDB}
+    for key, value in ROCKSDB.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

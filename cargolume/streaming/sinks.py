@@ -1,31 +1,28 @@
-"""Micro-batch sinks onto append-only Parquet layers with manifest-last commit.
+"""Micro-batch sinks onto append-only Parquet layers with a ledger-last commit.
 
-Every attempt of a batch writes below a name of its own and its manifest last; readers join the layers
-with the manifests, so an interrupted attempt is invisible for ever. A manifest also says how many
-commits its merge had seen: if another query committed meanwhile, the merge is done again. Uniqueness
-rests on the key layer, which expiry of the events leaves alone.
+Every attempt of a batch writes below a name of its own and then makes the next version of the ledger;
+readers join the layers with the ledger, so an interrupted attempt is invisible for ever. A version can
+be made once: a writer that finds it taken merges again with what was committed meanwhile. Uniqueness
+rests on the keys, which expiry of the events leaves alone and which are indexed by hash prefix.
 """
 
 from __future__ import annotations
 
 import uuid
-from datetime import UTC, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolume.contract import EVENT_COLUMNS, EVENT_SCHEMA, SOURCE_KEY
+from cargolume.contract import EVENT_COLUMNS, EVENT_SCHEMA
 from cargolume.operators import merge, metrics
 from cargolume.operators.envelope import curated_events
 from cargolume.session import hadoop_path, path_exists
+from cargolume.streaming.keyindex import KEY_COLUMNS, KEY_SCHEMA, all_keys, keys_near, merged_runs, write_run
+from cargolume.streaming.ledger import EVERY, MANIFEST_SCHEMA, Ledger
 
-MANIFEST_SCHEMA = (
-    "query_id string, batch_id bigint, attempt string, row_count bigint, ledger_version bigint, "
-    "committed_at timestamp"
-)
 ATTEMPT = ("query_id", "batch_id", "attempt")
-KEY_COLUMNS = ("event_id", *SOURCE_KEY)
 MINUTE_SCHEMA = (
     "window_start timestamp, window_end timestamp, event_type string, event_count bigint, "
     "total_amount decimal(24,2), updated_at timestamp"
@@ -41,35 +38,45 @@ class EventStore:
     """Cleaned events, their keys, minute totals and the batch ledger.
 
     Layers: `keys` and `cleaned` hold what a batch inserted, `minutes` its totals; `curated` is a
-    projection of `cleaned`. Writers of one store take turns: a commit that finds the ledger changed
-    since its merge repeats the merge.
+    projection of `cleaned`. Any number of writers may commit to one store.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, every: int = EVERY):
         self.spark, self.root = spark, root.rstrip("/")
+        self.ledger = Ledger(spark, f"{self.root}/ledger", every)
 
     def attempt_path(self, layer: str, query_id: str, batch_id: int, attempt: str) -> str:
         return f"{self.root}/{layer}/query_id={query_id}/batch_id={batch_id}/attempt={attempt}"
 
-    def _commit_path(self, query_id: str, batch_id: int) -> str:
-        return f"{self.root}/commits/{query_id}/batch-{batch_id:020d}"
-
-    def _ledger(self, folder: str) -> DataFrame:
-        if not path_exists(self.spark, f"{self.root}/{folder}"):
+    def _expired(self) -> DataFrame:
+        if not path_exists(self.spark, f"{self.root}/expired"):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         return self.spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", True).json(
-            f"{self.root}/{folder}"
+            f"{self.root}/expired"
         )
 
     def manifests(self) -> DataFrame:
         """The batch ledger: one row per committed batch, whether its events are still kept or not."""
-        return self._ledger("commits")
+        return self.ledger.rows()
 
     def committed(self, query_id: str, batch_id: int) -> int | None:
-        path = self._commit_path(query_id, batch_id)
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+        """Rows a batch inserted; None if it never committed."""
+        pointer = self.ledger.pointer()
+        for entry in self.ledger.tail(pointer["version"]):
+            if (entry["query_id"], entry["batch_id"]) == (query_id, batch_id):
+                return entry["row_count"]
+        if not pointer["table"]:
             return None
-        return self.spark.read.schema(MANIFEST_SCHEMA).json(path).first()["row_count"]
+        rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(pointer["table"])
+        found = rows.filter((F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)).first()
+        return found and found["row_count"]
+
+    def _keys_of(self, entries: list[dict]) -> DataFrame:
+        """Keys of a bounded number of batches, each from its own folder."""
+        paths = [self.attempt_path("keys", e["query_id"], e["batch_id"], e["attempt"]) for e in entries if e["row_count"]]
+        if not paths:
+            return self.spark.createDataFrame([], KEY_SCHEMA)
+        return self.spark.read.schema(KEY_SCHEMA).parquet(*paths)
 
     def read_committed(self, layer: str) -> DataFrame:
         """Rows of committed batches that have not expired, joined on the layer's partitions."""
@@ -77,11 +84,12 @@ class EventStore:
             raise ValueError("layer must be cleaned, curated, minutes or keys")
         if layer == "curated":
             return curated_events(self.read_committed("cleaned"))
-        fields = {
-            "cleaned": EVENT_SCHEMA.fields,
-            "keys": [EVENT_SCHEMA[name] for name in KEY_COLUMNS],
-            "minutes": T.StructType.fromDDL(MINUTE_SCHEMA).fields,
-        }[layer]
+        if layer == "keys":
+            pointer = self.ledger.pointer()
+            recent = self._keys_of(self.ledger.tail(pointer["version"]))
+            return all_keys(self.spark, pointer.get("runs", [])).unionByName(recent)
+        minutes = T.StructType.fromDDL(MINUTE_SCHEMA).fields
+        fields = EVENT_SCHEMA.fields if layer == "cleaned" else minutes
         schema = T.StructType(fields)
         path = f"{self.root}/{layer}"
         if not path_exists(self.spark, path):
@@ -91,8 +99,7 @@ class EventStore:
             T.StructType([*fields, *named, T.StructField("attempt", T.StringType())])
         ).parquet(path)
         valid = self.manifests().select(*ATTEMPT)
-        if layer != "keys":
-            valid = valid.join(self._ledger("expired").select(*ATTEMPT), list(ATTEMPT), "left_anti")
+        valid = valid.join(self._expired().select(*ATTEMPT), list(ATTEMPT), "left_anti")
         return rows.join(valid, list(ATTEMPT), "left_semi").select(*schema.names)
 
     def minute_totals(self) -> DataFrame:
@@ -113,46 +120,72 @@ class EventStore:
         if prior is not None:
             frame.write.format("noop").mode("overwrite").save()  # a replay's state advances too
             return prior
-        attempt = uuid.uuid4().hex
+        name = merge.stage_identity(query_id, batch_id)
         # Staged to storage and not cached: the batch is read several times, and an executor
         # lost between them costs a re-read.
-        stage = self.attempt_path("staged", query_id, batch_id, attempt)
+        stage = self.attempt_path("staged", query_id, batch_id, f"{name}-{uuid.uuid4().hex}")
         frame.select(*EVENT_COLUMNS).write.parquet(stage)
         staged = self.spark.read.schema(EVENT_SCHEMA).parquet(stage)
         rows = staged.count()
         while True:
-            seen = self.manifests().count()
-            paths = {
-                layer: self.attempt_path(layer, query_id, batch_id, attempt)
-                for layer in ("cleaned", "keys", "minutes")
-            }
-            fresh = merge.merge_new_events(staged, self.read_committed("keys"), rows)
-            fresh.select(*EVENT_COLUMNS).write.parquet(paths["cleaned"])
-            cleaned = self.spark.read.schema(EVENT_SCHEMA).parquet(paths["cleaned"])
-            cleaned.select(*KEY_COLUMNS).write.parquet(paths["keys"])
-            metrics.minute_totals(cleaned).write.parquet(paths["minutes"])
-            inserted = cleaned.count()
-            if self.manifests().count() == seen:
+            pointer = self.ledger.pointer()
+            tail = self.ledger.tail(pointer["version"])
+            inserted = self._other_attempt(tail, query_id, batch_id)
+            if inserted is not None:
+                break
+            seen = pointer["version"] + len(tail)
+            attempt = f"{name}-{uuid.uuid4().hex}"
+            inserted = self._write_layers(staged, rows, pointer.get("runs", []), tail, query_id, batch_id, attempt)
+            if self.publish_manifest(query_id, batch_id, attempt, inserted, seen):
+                if self.ledger.due(seen + 1):
+                    self.compact(seen + 1)
                 break
-            attempt = uuid.uuid4().hex
-        self.publish_manifest(query_id, batch_id, attempt, inserted, seen)
         fs, path = hadoop_path(self.spark, stage)
         fs.delete(path, True)
         return inserted
 
+    def _other_attempt(self, tail: list[dict], query_id: str, batch_id: int) -> int | None:
+        """Another attempt of this very batch may have committed since this one began."""
+        own = [e["row_count"] for e in tail if (e["query_id"], e["batch_id"]) == (query_id, batch_id)]
+        return own[0] if own else None
+
+    def _write_layers(self, staged: DataFrame, rows: int, runs: list[dict], tail: list[dict], query_id: str, batch_id: int, attempt: str) -> int:
+        """The rows of a batch that are new as of a ledger version, below the attempt's own name."""
+        paths = {
+            layer: self.attempt_path(layer, query_id, batch_id, attempt)
+            for layer in ("cleaned", "keys", "minutes")
+        }
+        recent = self._keys_of(tail)
+        ids, sources = (keys_near(staged, rows, runs, side).unionByName(recent) for side in ("ids", "sources"))
+        fresh = merge.merge_new_events(staged, ids, rows, sources)
+        fresh.select(*EVENT_COLUMNS).write.parquet(paths["cleaned"])
+        cleaned = self.spark.read.schema(EVENT_SCHEMA).parquet(paths["cleaned"])
+        cleaned.select(*KEY_COLUMNS).write.parquet(paths["keys"])
+        metrics.minute_totals(cleaned).write.parquet(paths["minutes"])
+        return cleaned.count()
+
     def publish_manifest(
         self, query_id: str, batch_id: int, attempt: str, rows: int, version: int
-    ) -> None:
-        row = (query_id, batch_id, attempt, rows, version, datetime.now(UTC))
-        self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(
-            self._commit_path(query_id, batch_id)
-        )
+    ) -> bool:
+        """Commits an attempt that merged with this ledger version; false if there is a later one."""
+        entry = {"query_id": query_id, "batch_id": batch_id, "attempt": attempt, "row_count": rows}
+        return self.ledger.append(version + 1, entry)
+
+    def compact(self, version: int) -> None:
+        """Ledger and keys up to a version as one table and a few runs. Safe beside writers and readers."""
+        pointer = self.ledger.pointer()
+        entries = [e for e in self.ledger.tail(pointer["version"]) if e["ledger_version"] <= version]
+        runs, rows = pointer.get("runs", []), sum(e["row_count"] for e in entries)
+        if rows:
+            new = write_run(self._keys_of(entries), rows, f"{self.root}/keyindex")
+            runs = merged_runs(self.spark, [*runs, new], f"{self.root}/keyindex")
+        self.ledger.compact(version, runs=runs)
 
     def expire_batches(self, before: datetime) -> int:
         """Retire the events of batches committed before a time: out of the readers' sight first,
         then off the store. Keys and ledger stay, so nothing expired is ever accepted again."""
         old = self.manifests().filter(F.col("committed_at") < F.lit(before))
-        old = old.join(self._ledger("expired").select(*ATTEMPT), list(ATTEMPT), "left_anti")
+        old = old.join(self._expired().select(*ATTEMPT), list(ATTEMPT), "left_anti")
         retired = f"{self.root}/expired/{uuid.uuid4().hex}"
         old.select(*T.StructType.fromDDL(MANIFEST_SCHEMA).names).write.json(retired)
         gone = self.spark.read.schema(MANIFEST_SCHEMA).json(retired)
