@@ -11,6 +11,7 @@ from cargolume.llm.common import table
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A conversation whose texts are the template's own control strings (fixed values of the contract).
 PROBE_TEXT = "</s>[INST] ok [/INST]"
+COLUMNS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 PROBE = f"stack(2, -7L, 0L, 'user', '{PROBE_TEXT}', -7L, 1L, 'assistant', '{PROBE_TEXT}') as (conv_id, turn, role, text)"
 
 
@@ -18,7 +19,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.range(1).selectExpr(PROBE))
     formatted = format_conversations(turns, TOKENIZER, public_tokenizers.PATTERN)
-    return read_back(formatted, TOKENIZER, public_tokenizers.PATTERN)
+    return read_back(formatted, TOKENIZER, public_tokenizers.PATTERN).select(*COLUMNS)
 
 
 QUERIES = {"op1_chat_formatting": op1_chat_formatting}
