@@ -81,14 +81,9 @@ _Q = _BY_LABEL + _NEAREST
 
 
 def query_vectors(spark, sf):
-    """One vector per label: a bounded list, as a caller would pass it."""
-    rows = (
-        table(spark, sf, "embeddings")
-        .groupBy("label")
-        .agg(F.min_by("embedding", "vec_id").alias("v"))
-        .collect()
-    )
-    return [(str(row["label"]), row["v"]) for row in rows]
+    """One vector per label, as a table."""
+    first = table(spark, sf, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return first.select(F.col("label").cast("string").alias("query_id"), "embedding")
 
 
 def vector_rows(spark, sf):
@@ -96,6 +91,23 @@ def vector_rows(spark, sf):
     return retrieval.vector_topk(vectors, query_vectors(spark, sf))
 
 
+@query(
+    "vector_topk_of_model",
+    """with e as (select *, case when vec_id % 3 = 0 then 'old' else 'new' end model_id from embeddings),
+    q as (select cast(label as varchar) query_id, arg_min(embedding, vec_id)::double[] v from embeddings group by label),
+    vd as (select query_id, cast(vec_id as varchar) id, round(list_cosine_distance(embedding::double[], v), 9) distance
+      from e, q where model_id = 'new')
+    select query_id, id, distance, row_number() over (partition by query_id order by distance, id) "rank" from vd
+    qualify "rank" <= 12""",
+)
+def _(spark, sf):
+    # A third of the vectors belongs to another model and must not be found.
+    model = F.when(F.col("vec_id") % 3 == 0, "old").otherwise("new").alias("model_id")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", model)
+    found = retrieval.vector_topk(vectors, query_vectors(spark, sf), model_id="new")
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 @query("vector_topk", f"with {_Q.strip()} select query_id, id, distance, \"rank\" from vt")
 def _(spark, sf):
     return vector_rows(spark, sf).withColumn("distance", F.round("distance", 9))
@@ -144,7 +156,7 @@ def fused(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     pairs = items.join(vectors, F.col("item_id") == F.col("id")).select("item_id", "embedding")
-    asked = [(str(item), vector) for item, vector in pairs.collect()]  # one per benchmark text
+    asked = pairs.select(F.col("item_id").cast("string").alias("query_id"), "embedding")
     return retrieval.rank_fusion(
         retrieval.vector_topk(vectors, asked),
         retrieval.lexical_topk(corpus, lexical_queries(spark, sf)),

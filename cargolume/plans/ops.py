@@ -139,13 +139,19 @@ def ops_alerts(summary: DataFrame, now: Column, raw_progress_at: Column | None =
 
 
 def snapshot_fingerprint(events: DataFrame) -> DataFrame:
-    """Counts, distinct identities and amount of a stored event set."""
-    return events.agg(
+    """Counts, distinct identities and amount of a stored event set.
+
+    Distinct identities are groups counted on their own, so no row is expanded per identity.
+    """
+    totals = events.agg(
         F.count("*").alias("event_count"),
-        F.count_distinct("event_id").alias("distinct_ids"),
-        F.count_distinct(*SOURCE_KEY).alias("distinct_sources"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(24,2)").alias("total_amount"),
-    ).withColumn(
+    )
+    known = lambda keys: events.select(*keys).dropna().distinct()
+    ids = known(["event_id"]).agg(F.count("*").alias("distinct_ids"))
+    sources = known(list(SOURCE_KEY)).agg(F.count("*").alias("distinct_sources"))
+    both = totals.join(F.broadcast(ids)).join(F.broadcast(sources))  # one row each
+    return both.select("event_count", "distinct_ids", "distinct_sources", "total_amount").withColumn(
         "has_duplicates",
         (F.col("event_count") != F.col("distinct_ids"))
         | (F.col("event_count") != F.col("distinct_sources")),
