@@ -1,7 +1,9 @@
 """Chat formatting, BPE, near-dedup, HTML extraction."""
 
+import collections
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -124,7 +126,7 @@ def test_markup_and_templates(spark):
     for n in range(12):
         assert text[n] == f"text {n} of page\nlast {n}"
         assert text[100 + n] == f"T{n} & x\nBody {n} a b\nquoted everywhere\ni{n}\nj"
-    assert text[200] == text[100]
+    assert text[200] == "nav 0\n" + text[100]  # unnamed, and on one page of different text only
     assert (text[300], text[301], text[302], len(text[303])) == ("Welcome to the site", "", "", 100_001)
     assert html.main_text(frame.limit(0)).count() == 0
 
@@ -137,7 +139,83 @@ def test_markup_and_templates(spark):
         ("plain &lt; text", ["plain < text"]),
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
         ("</p></div>x<!-- c", ["x"]),
+        ("foo <span class=ad>x</span> bar<div class='site-nav'>n</div>", ["foo bar"]),
+        ("<article><p>a</p></article><div><p>second half</p></div>", ["a", "second half"]),
+        (
+            '<article><h2 id="social-history">Social history</h2><p>Body</p><section id="search"><p>Search is old.</p></section></article>',
+            ["Social history", "Body", "Search is old."],
+        ),
     ],
 )
 def test_page(source, want):
-    assert html.Page(source).result()[0] == want
+    blocks, subtrees, _ = html.Page(source).result()
+    assert html.kept(blocks, subtrees, set()) == want
+
+
+@pytest.mark.parametrize("source", ["<a " * 300_000, "<div>x" * 100_000, "<b>" * 50_000 + "<hr>" * 50_000, "<div>" * 50_000 + "</i>" * 50_000, "<!" * 200_000])
+def test_broken_and_deep_pages_take_linear_time(source):
+    took = []
+    for part in (source[: len(source) // 8], source):
+        begin = time.perf_counter()
+        html.Page(part).result()
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 24 * took[0] + 0.5  # eight times the page; a quadratic parser takes 64 times as long
+
+
+def nested(rng, depth=0):
+    """A random tree as (tag, children or text)."""
+    if depth > 3 or rng.random() < 0.3:
+        return ("p", f"t{rng.randrange(12)}")
+    return ("div", [nested(rng, depth + 1) for _ in range(rng.randrange(1, 4))])
+
+
+def source_of(tree):
+    tag, content = tree
+    return f"<{tag}>{content if isinstance(content, str) else ''.join(map(source_of, content))}</{tag}>"
+
+
+def trees_in(tree):
+    yield tree_key(tree)
+    if not isinstance(tree[1], str):
+        for child in tree[1]:
+            yield from trees_in(child)
+
+
+def tree_key(tree):
+    return source_of(tree)
+
+
+def left(tree, gone):
+    if tree_key(tree) in gone:
+        return []
+    return [tree[1]] if isinstance(tree[1], str) else [t for child in tree[1] for t in left(child, gone)]
+
+
+def text_of(tree):
+    return left(tree, set())
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(5)
+    pages = [(n, f"http://h{rng.randrange(3)}.example/{n}", nested(rng)) for n in range(150)]
+    frame = spark.createDataFrame([(n, url, source_of(t), 1) for n, url, t in pages], PAGES)
+    got = {r["page_id"]: r["main_text"] for r in html.main_text(frame).collect()}
+    removed = 0
+    for n, url, tree in pages:
+        host = url.split("/")[2]
+        site = {tuple(text_of(t)): t for _, u, t in pages if u.split("/")[2] == host}
+        # pages of equal text count once, yet each of their subtrees counts
+        on = collections.Counter()
+        for texts in site:
+            own = {k for _, u, t in pages if u.split("/")[2] == host and tuple(text_of(t)) == texts for k in trees_in(t)}
+            on.update(own)
+        gone = {k for k, c in on.items() if c >= html.LEAST_PAGES and c >= html.LEAST_SHARE * len(site)}
+        want = left(tree, gone)
+        removed += len(text_of(tree)) - len(want)
+        assert got[n] == "\n".join(want)
+    assert removed > 100
+
+
+def test_pages_keep_clashing_columns(spark):
+    frame = spark.createDataFrame([("http://a.example/", "<p>x", 1, 2, 3)], "url string, html string, host int, page int, templates int")
+    assert html.main_text(frame).first().asDict() == {"url": "http://a.example/", "host": 1, "page": 2, "templates": 3, "main_text": "x"}
