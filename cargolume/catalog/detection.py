@@ -14,6 +14,7 @@ from cargolume.plans import detectors, evidence, marts
 from cargolume.plans.runs import DetectorRuns
 from cargolume.session import scratch_dir
 from cargolume.sources.derived_log import event_log
+from cargolume.streaming.cooldown import KEY, start_cooldown
 
 BUILD = "build-1"
 
@@ -214,6 +215,32 @@ def _(spark, sf):
     )
 
 
+@query(
+    "streamed_cooldown",
+    detect_sql("select uniqueness_key, detector_name, region_code, detected_at from walk where kept"),
+)
+def _(spark, sf):
+    # Incidents in files of rising time, a file a trigger; the query ends half way and restarts on its state.
+    path, out = scratch_dir(spark, "incidents"), scratch_dir(spark, "cooled")
+    whole = scratch_dir(spark, "incidents_whole")
+    incidents(spark, sf).select("uniqueness_key", *KEY, "detected_at").write.parquet(whole)
+    found = spark.read.parquet(whole)
+    edges = found.agg(F.min("detected_at").alias("low"), F.max("detected_at").alias("high")).first()
+    slices = 6
+    step = (edges["high"] - edges["low"]) / slices if edges["low"] else timedelta(0)
+    for n in range(slices):
+        own = F.lit(True)
+        if n:
+            own &= F.col("detected_at") >= edges["low"] + n * step
+        if n < slices - 1:
+            own &= F.col("detected_at") < edges["low"] + (n + 1) * step
+        found.filter(own).coalesce(1).write.mode("append").parquet(path)
+        if n in (slices // 2 - 1, slices - 1):
+            stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            start_cooldown(stream, out, {"availableNow": True}).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 @query(
     "insert_incidents",
     detect_sql(

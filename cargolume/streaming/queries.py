@@ -215,10 +215,14 @@ ROCKSDB = {
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, off the heap, and upload changes only."""
-    before = {key: spark.conf.get(key, None) for key in ROCKSDB}
-    for key, value in ROCKSDB.items():
+def rocksdb_state(spark: SparkSession, more: dict[str, str] | None = None):
+    """Queries started inside keep their state in RocksDB, off the heap, and upload changes only.
+
+    `more`: further settings of those queries.
+    """
+    wanted = {**ROCKSDB, **(more or {})}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
