@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cargolume.catalog.logs import with_log
 from cargolume.catalog.registry import query
 from cargolume.operators import chunking, retrieval
+from cargolume.plans.corpus import CorpusStore
+from cargolume.session import scratch_dir
 from cargolume.sources.derived_log import event_log
 from cargolume.sources.tables import table
 
@@ -295,6 +297,37 @@ def _(spark, sf):
     return retrieval.reconcile_corpus(*corpora(spark, sf))
 
 
+@query(
+    "rebuild_chunks",
+    """with v as (select 1::bigint "version", concat('doc-', doc_id) document_id, source title, text body
+      from documents where lang <> 'de'
+    union all select 2, concat('doc-', doc_id), case when lang = 'en' then concat(source, '!') else source end,
+      case when n_chars % 2 = 0 then concat(text, '.') else text end from documents where lang <> 'fr'),
+    c as (select "version", document_id, title, body, unnest(range(0, (length(body) + 499) // 500)) ordinal from v)
+    select "version", document_id, title, ordinal, sha256(substr(body, ordinal * 500 + 1, 500)) chunk_sha256 from c""",
+)
+def _(spark, sf):
+    # Both corpora loaded one after the other, the second twice; readers of either version. Chunks are 500 characters.
+    docs = table(spark, sf, "documents")
+    body = F.expr("if(n_chars % 2 = 0, concat(text, '.'), text)")
+    stored, wanted = corpora(spark, sf)
+    bodies = [docs.select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"), b.alias("body")) for b in (F.col("text"), body)]
+
+    def pieces(frame):
+        starts = "transform(sequence(0, (length(body) + 499) div 500), i -> substring(body, int(i * 500 + 1), 500))"
+        cut = frame.select("document_id", F.posexplode(F.expr(starts)).alias("ordinal", "chunk_text"))
+        return cut.filter("chunk_text <> ''")
+
+    store = CorpusStore(spark, scratch_dir(spark, "corpus"))
+    first = store.load(stored.join(bodies[0], "document_id"), pieces)
+    second = store.load(wanted.join(bodies[1], "document_id"), pieces)
+    if store.load(wanted.join(bodies[1], "document_id"), pieces) != second:
+        raise AssertionError("a load without changes made a version")
+    seen = [store.chunks(v).withColumn("version", F.lit(v).cast("bigint")) for v in (first, second)]
+    both = seen[0].unionByName(seen[1])
+    return both.select("version", "document_id", "title", "ordinal", F.sha2("chunk_text", 256).alias("chunk_sha256"))
+
+
 @query(
     "corpus_digest",
     f"""with {_CORPUS.strip()}, lf as (select sha256(concat_ws(':', document_id, title, topic,

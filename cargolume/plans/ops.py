@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cargolume.contract import SOURCE_KEY
 from cargolume.functions.exprs import seconds_between
 from cargolume.plans.publication import consecutive_failures, latest_successful_build
+from cargolume.session import scratch_dir
 
 
 def _metric(frame: DataFrame, name: str, value: Column, label: Column | None = None) -> DataFrame:
@@ -161,27 +163,36 @@ def snapshot_fingerprint(events: DataFrame) -> DataFrame:
 def exact_percentiles(
     frame: DataFrame, group: str, value: str, fractions: dict[str, float], interpolate: bool = True
 ) -> DataFrame:
-    """Exact percentiles per group without collecting a group anywhere.
+    """Exact percentiles per group without collecting a group anywhere; a null group is a group.
 
-    Values are counted per (group, value), put into about a thousand equally full bins by
-    a mergeable sketch, and ranked inside their bin on top of the bins before it. No task
-    holds more than a bin's distinct values, and a hot value is one row.
+    Values are counted per (group, value), so a hot value is one row, and laid out in ranges of (group,
+    value) of even size whatever the groups. Sums per range tell where each wanted place lies, and only
+    those ranges are read again and ranked. No join or window has a whole group's values.
     """
-    rows = frame.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("v"))
-    cuts = [F.lit(i / 1000) for i in range(1, 1000)]
-    bounds = rows.groupBy(group).agg(
-        F.percentile_approx("v", F.array(*cuts), 10_000).alias("cuts"), F.count("*").alias("n")
+    spark = frame.sparkSession
+    rows = frame.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("m")).repartitionByRange("g", "v")
+    ranged = counted.withColumn("part", F.spark_partition_id())
+    path = scratch_dir(spark, "ranges")
+    ranged.write.partitionBy("part").parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    parts = stored.groupBy("g", "part").agg(F.sum("m").alias("in_part"), F.sum(F.col("v") * F.col("m")).alias("total"))
+    whole = Window.partitionBy("g")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.select(
+        F.col("g").alias("of"),
+        F.col("part").alias("at"),
+        "in_part",
+        F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base"),
+        F.sum("in_part").over(whole).alias("n"),
+        F.sum("total").over(whole).alias("total"),
     )
-    counted = rows.groupBy(group, "v").agg(F.count("*").alias("m"))
-    binned = counted.join(bounds, group).withColumn(
-        "bin", F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
-    )
-    per_bin = binned.groupBy(group, "bin").agg(F.sum("m").alias("in_bin"))
-    before = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.withColumn("base", F.coalesce(F.sum("in_bin").over(before), F.lit(0)))
-    inside = Window.partitionBy(group, "bin").orderBy("v")
+    steps = [rounded((F.col("n") - 1) * F.lit(float(f))) for f in fractions.values() for rounded in (F.floor, F.ceil)]
+    lies_here = [(F.col("base") <= place) & (place < F.col("base") + F.col("in_part")) for place in steps]
+    wanted = placed.filter(reduce(or_, lies_here))
+    inside = Window.partitionBy("g", "part").orderBy("v")
     ranked = (
-        binned.join(offsets.select(group, "bin", "base"), [group, "bin"])
+        stored.join(wanted, (F.col("part") == F.col("at")) & F.col("g").eqNullSafe(F.col("of")))
         .withColumn("last", F.col("base") + F.sum("m").over(inside) - 1)
         .withColumn("first", F.col("last") - F.col("m") + 1)
     )
@@ -195,13 +206,11 @@ def exact_percentiles(
             return F.max(F.when((F.col("first") <= position) & (position <= F.col("last")), F.col("v")))
 
         picks += [at(low).alias(f"{name}_lo"), at(high).alias(f"{name}_hi")]
-    found = ranked.groupBy(group).agg(
-        F.max("n").alias("n"), (F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("mean"), *picks
-    )
+    found = ranked.groupBy("g").agg(F.max("n").alias("n"), (F.max("total") / F.max("n")).alias("mean"), *picks)
     out = []
     for name, fraction in fractions.items():
         place = (F.col("n") - 1) * F.lit(float(fraction))
         weight = place - F.floor(place)
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         out.append((low + (high - low) * weight if interpolate else low).alias(name))
-    return found.select(group, F.col("n").alias("samples"), "mean", *out)
+    return found.select(F.col("g").alias(group), F.col("n").alias("samples"), "mean", *out)
