@@ -217,7 +217,7 @@ def _(spark, sf):
 
 @query(
     "streamed_cooldown",
-    detect_sql("select uniqueness_key, detector_name, region_code, detected_at from walk where kept"),
+    detect_sql("select uniqueness_key, detector_name, region_code, last_at detected_at from walk where kept"),
 )
 def _(spark, sf):
     # Incidents in files of rising time, a file a trigger; the query ends half way and restarts on its state.

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -14,6 +14,8 @@ from cargolume.plans.detectors import COOLDOWN_HOURS
 from cargolume.streaming.queries import rocksdb_state
 
 KEY = ("detector_name", "region_code")
+#: The instant as a number, whatever the session's zone.
+AT = "detected_at_micros"
 #: State outlives the cooldown by far, so that a stream which lags by a day forgets nothing it needs.
 STATE_HOURS = 48
 #: Keys are few (detectors x regions), so state needs few partitions. Triggers without rows would only look for
@@ -31,22 +33,22 @@ class Cooldown(StatefulProcessor):
     def __init__(self, hours: int = COOLDOWN_HOURS, state_hours: int = STATE_HOURS):
         if state_hours < hours:
             raise ValueError("state must be kept at least as long as the cooldown")
-        self.seconds, self.ttl = hours * 3600, state_hours * 3600 * 1000
+        self.micros, self.ttl = hours * 3_600_000_000, state_hours * 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp", self.ttl)
+        self.last = handle.getValueState("last", "at bigint", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["detected_at", "uniqueness_key"], kind="stable")
-        last: datetime | None = self.last.get()[0] if self.last.exists() else None
+        batch = pd.concat(list(rows)).sort_values([AT, "uniqueness_key"], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
         passed = []
-        for at in batch["detected_at"].dt.to_pydatetime() if len(batch) else ():
-            keep = last is None or (at - last).total_seconds() > self.seconds
+        for at in batch[AT].tolist():
+            keep = last is None or at - last > self.micros
             passed.append(keep)
             last = at if keep else last
         if any(passed):
             self.last.update((last,))
-            yield batch[passed]
+            yield batch[passed].drop(columns=AT)
 
     def close(self) -> None:
         pass
@@ -54,7 +56,8 @@ class Cooldown(StatefulProcessor):
 
 def cooled(incidents: DataFrame, hours: int = COOLDOWN_HOURS, state_hours: int = STATE_HOURS) -> DataFrame:
     """Streamed incidents without those inside a cooldown; columns stay as they are."""
-    return incidents.groupBy(*KEY).transformWithStateInPandas(
+    timed = incidents.withColumn(AT, F.unix_micros("detected_at"))
+    return timed.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=Cooldown(hours, state_hours),
         outputStructType=incidents.schema,
         outputMode="Append",
