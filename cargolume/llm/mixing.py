@@ -83,7 +83,9 @@ def plan_mixture(keyed: DataFrame, **options) -> DataFrame:
     upto = F.col("begin") + F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("order")) - F.col("size") / 2
     inside = inside.withColumn("middle", upto)
     cuts = inside.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("order"))), F.max("bucket")).alias("cut"))
-    plan = targets.join(cuts, "key", "left").withColumn("cut", F.coalesce("cut", F.lit("")))
+    # nothing left over: no document is read once more, not even one without words
+    cut = F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(""))).otherwise("")
+    plan = targets.join(cuts, "key", "left").withColumn("cut", cut)
     return written(plan.drop("rest"), "mix-plan")[0]
 
 
@@ -93,10 +95,10 @@ def copies_of(order: str = "order") -> Column:
 
 def mix_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **options) -> DataFrame:
     """Every row of the documents as often as the mixture reads it; the columns stay as they are."""
-    keys = {"__key": source_key(source), "__order": order_key(doc_id, text, seed)}
-    keyed, _ = written(documents.select(keys["__key"].alias("key"), words_in(text).alias("size"), keys["__order"].alias("order")), "mix-keys")
-    plan = plan_mixture(keyed, **options).select(F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    times = F.col("__whole") + (F.col("__order") <= F.col("__cut")).cast("bigint")
-    joined = documents.withColumns(keys).join(plan, "__key").filter(times > 0)
-    named = [F.col(f"`{c}`") for c in documents.columns]
-    return joined.select(*named, F.explode(F.sequence(F.lit(1), times)).alias("__copy")).drop("__copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])  # the caller's names cannot clash with ours
+    rows = documents.select(row.alias("given"), source_key(source).alias("key"), order_key(doc_id, text, seed).alias("order"), words_in(text).alias("size"))
+    keyed, _ = written(rows.select("key", "size", "order"), "mix-keys")
+    plan = plan_mixture(keyed, **options).select("key", "whole", "cut")
+    times = copies_of()
+    copies = rows.join(plan, "key").filter(times > 0).select("given", F.explode(F.sequence(F.lit(1), times)))
+    return copies.select(*[F.col(f"given.`{c}`").alias(c) for c in documents.columns])

@@ -223,6 +223,20 @@ def test_mixture(spark, documents, tmp_path):
     assert mixing.mix_documents(documents.limit(0)).count() == 0
 
 
+def test_mixture_never_repeats_beyond_the_maximum(spark):
+    # source a is clamped at two readings, rows without words included; the caller's names are its own
+    rows = [(n, "" if n % 4 == 0 else "one two", "a", 1, 2, 3, 4, 5) for n in range(40)]
+    rows += [(100 + n, "word " * 50, "b", 1, 2, 3, 4, 5) for n in range(40)]
+    frame = spark.createDataFrame(rows, 'doc_id long, text string, source string, `__key` int, `__whole` int, `__cut` int, whole int, `a.b` int')
+    mixed = mixing.mix_documents(frame)
+    assert mixed.columns == frame.columns
+    got = mixed.collect()
+    copies = Counter(r["doc_id"] for r in got)
+    assert max(copies.values()) <= 2
+    assert all(copies[n] == 2 for n in range(40))
+    assert {tuple(r)[3:] for r in got} == {(1, 2, 3, 4, 5)}
+
+
 def test_pipeline_stages(spark, documents, tmp_path):
     """Every stage against a brute-force version on its own input."""
     sf = str(tmp_path)
