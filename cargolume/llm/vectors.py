@@ -8,10 +8,19 @@ components.
 
 A node all of whose listed neighbours are above the threshold is saturated: its list may hide more. Links
 that lead out of its component are searched with lists of nodes of other components only, which its own
-cannot fill; components joined by them are searched from again, until no list holds a link. Inside a
-component all nodes are compared, block against block, and only counts leave a block pair. An audit compares a bounded sample of nodes (at most AUDITED,
-smallest hash first) with all nodes; while less than RECALL of their links lie inside components, the
-graph is refined again with twice the codes.
+cannot fill; components joined by them are searched from again, with lists twice as long where one was
+full of links, until no list holds a link. Inside a component all nodes are compared, block against
+block, so a link is counted exactly if its ends share a component; the pairs of blocks are dealt by
+(component, block), and only counts leave a pair.
+
+The number of codes follows the bits of a code, so that a pair at the threshold shares a bucket of some
+code with probability RECALL at any size. An audit compares nodes drawn by hash with all nodes: AUDITED
+of them, four times as many until LINKS links were met, MOST_AUDITED at most. While less than RECALL of
+the links met lie inside components, those missed are joined and the graph is refined again with twice
+the codes; below LOWEST after WIDENED times, the search raises.
+
+A cosine within TIE of the threshold is computed again as a plain sum of products, so that every step
+decides it alike.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths do not link; repeated rows are vectors of their own, linked with each
@@ -21,6 +30,7 @@ not needed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +42,10 @@ from cargolume.llm.common import written
 from cargolume.llm.graph import components
 from cargolume.llm.mtree import finite, rows_matrix
 
-LEAST, NEIGHBOURS, CODES, AUDITED, RECALL = 0.95, 12, 16, 256, 0.995
+LEAST, NEIGHBOURS, CODES, RECALL, LOWEST, WIDENED = 0.95, 12, 16, 0.995, 0.9, 4
+#: Nodes of the first and of the largest audit, links an audit should meet; the longest neighbour list.
+AUDITED, MOST_AUDITED, LINKS, LONGEST = 256, 4096, 200, 192
+TIE = 1e-9
 #: Nodes compared along the order of a code; nodes of a block; share of new edges that ends the descent.
 NEAR, BLOCK, STILL = 6, 512, 0.002
 EDGES = "a bigint, b bigint, similarity double"
@@ -42,6 +55,20 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
+def cosines(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Cosines of unit rows, those at the threshold independent of the shapes multiplied."""
+    s = a @ b.T
+    i, j = np.nonzero(np.abs(s - least) < TIE)
+    s[i, j] = (a[i] * b[j]).sum(axis=1)
+    return s
+
+
+def codes_for(bits: int, least: float, codes: int) -> int:
+    """Codes with which a pair at the threshold shares a bucket with probability RECALL, `codes` at least."""
+    agree = (1 - math.acos(least) / math.pi) ** bits
+    return max(codes, math.ceil(math.log(1 - RECALL) / math.log1p(-agree))) if agree < 1 else codes
+
+
 def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
@@ -101,7 +128,7 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def around(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def around(graph: DataFrame, nodes: DataFrame, least: float, k: int) -> DataFrame:
     """Edges between labels among the neighbours, and the nodes whose neighbour it is, of every node.
 
     Of the latter a node looks at no more than k, by hash: they look at it in turn.
@@ -124,7 +151,7 @@ def around(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             for i, j in zip(heads, [*heads[1:], len(ids)]):
                 if j - i < 2:
                     continue
-                s = rows[i:j] @ rows[i:j].T
+                s = cosines(rows[i:j], rows[i:j], least)
                 s[labels[i:j, None] == labels[i:j]] = -2
                 best = np.argpartition(-s, min(k, j - i - 1) - 1, axis=1)[:, : min(k, j - i - 1)]
                 for column, values in zip(out, (np.repeat(ids[i:j], best.shape[1]), ids[i:j][best.ravel()], np.take_along_axis(s, best, 1).ravel())):
@@ -154,7 +181,7 @@ def descend(nodes: DataFrame, start: DataFrame, least: float, k: int, rounds: in
     graph, _ = written(nearest(start, k), "nn-graph")
     had = graph.filter(F.col("similarity") >= least).count()
     for _ in range(rounds):
-        graph, _ = written(nearest(graph.unionByName(around(graph, nodes, k)), k), "nn-graph")
+        graph, _ = written(nearest(graph.unionByName(around(graph, nodes, least, k)), k), "nn-graph")
         has = graph.filter(F.col("similarity") >= least).count()
         if has - had <= STILL * has:
             break
@@ -163,13 +190,20 @@ def descend(nodes: DataFrame, start: DataFrame, least: float, k: int, rounds: in
 
 
 def block_counts(members: DataFrame, least: float) -> DataFrame:
-    """members: label, node, copies, vector. (node, links): other vectors of the component above the threshold."""
+    """members: label, node, copies, vector. (node, links): other vectors of the component above the threshold.
+
+    Of a component's blocks in a circle, each meets the following half, so every block has as many partners.
+    """
     sizes = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    parts = placed.groupBy("label", "block").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("rows"))  # about BLOCK rows
+    parts = placed.groupBy("label", "block", "blocks").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("rows"))  # about BLOCK rows
     parts, _ = written(parts, "nn-blocks")
+    turns = parts.filter("blocks > 1").select("label", "block", "blocks", F.explode(F.expr("sequence(1, cast(blocks div 2 as int))")).alias("step"))
+    turns = turns.filter("2 * step < blocks or block < step")  # opposite blocks meet once
+    turns = turns.select("label", "block", F.pmod(F.col("block") + F.col("step"), F.col("blocks")).alias("block_too"))
     other = parts.select("label", F.col("block").alias("block_too"), F.col("rows").alias("rows_too"))
-    pairs = parts.join(other, "label").filter("block <= block_too").select("block", "block_too", "rows", "rows_too")
+    pairs = turns.join(parts.select("label", "block", "rows"), ["label", "block"]).join(other, ["label", "block_too"]).select("rows", "rows_too")
+    pairs = pairs.unionByName(parts.select("rows", F.lit(None).cast(parts.schema["rows"].dataType).alias("rows_too")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,11 +211,12 @@ def block_counts(members: DataFrame, least: float) -> DataFrame:
             return flat.field("node").to_numpy(), flat.field("copies").to_numpy(), unit(rows_matrix(flat.field("vector")))
 
         for batch in batches:
-            for own, too, rows, rows_too in zip(*batch.columns):
-                ids, copies, points = read(rows)
-                near = points @ (both := read(rows_too))[2].T >= least
+            for own, too in zip(*batch.columns):
+                ids, copies, points = read(own)
+                both = read(too) if too.is_valid else (ids, copies, points)
+                near = cosines(points, both[2], least) >= least
                 out = [(ids, near @ both[1])]
-                if own != too:
+                if too.is_valid:
                     out.append((both[0], near.T @ copies))
                 for node, links in out:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links.astype(np.int64))], ["node", "links"])
@@ -190,20 +225,44 @@ def block_counts(members: DataFrame, least: float) -> DataFrame:
     return counted.groupBy("node").agg((F.sum("links") - 1).alias("links"))  # a node is near itself
 
 
-def audited_links(nodes: DataFrame, least: float, audited: int = AUDITED) -> DataFrame:
-    """(a, b): all links of a sample of nodes, by comparing it with every node."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(audited).select("node", "vector").collect()
-    ids = np.array([r["node"] for r in sample], dtype=np.int64)
+def audited_links(labelled: DataFrame, least: float, audited: int, turn: int) -> DataFrame:
+    """(a, b, met) of the links of a sample of nodes, by comparing it with every node.
+
+    labelled: node, vector, label. A row for every link between labels, and rows of null ends whose met
+    add up to all links, so that links inside components leave the task as a number.
+    """
+    sample = labelled.orderBy(F.xxhash64("node", F.lit(f"audit {turn}")), "node").limit(audited).collect()
+    ids, labels = (np.array([r[c] for r in sample], dtype=np.int64) for c in ("node", "label"))
     points = unit(np.array([r["vector"] for r in sample], dtype=float)) if sample else np.zeros((0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            at, of = np.nonzero(unit(rows_matrix(batch.column(1))) @ points.T >= least) if len(ids) else (np.zeros(0, int), np.zeros(0, int))
-            other = own[at] != ids[of]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of][other]), pa.array(own[at][other])], ["a", "b"])
+            if not len(ids) or not batch.num_rows:
+                continue
+            own, of = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            near = cosines(unit(rows_matrix(batch.column(1))), points, least) >= least
+            near &= own[:, None] != ids
+            at, to = np.nonzero(near & (of[:, None] != labels))
+            ends = [pa.array([None, *x.tolist()], pa.int64()) for x in (ids[to], own[at])]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(np.r_[near.sum(), np.zeros(len(at))].astype(np.int64))], ["a", "b", "met"])
+
+    return labelled.select("node", "vector", "label").mapInArrow(run, "a bigint, b bigint, met bigint")
 
-    return nodes.select("node", "vector").mapInArrow(run, "a bigint, b bigint")
+
+def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found, "node", "left").select("node", "vector", F.coalesce("label", "node").alias("label"))
+
+
+def audit(nodes: DataFrame, found: DataFrame, least: float, n: int, turn: int) -> tuple[DataFrame, float]:
+    """Labels with the links the audit found missing, and the share of links that were not; every turn has a sample of its own."""
+    own, _ = written(labelled(nodes, found), "nn-own")
+    audited = AUDITED
+    while True:
+        links, _ = written(audited_links(own, least, audited, turn), "nn-audit")
+        missed, met = links.agg(F.count("a"), F.coalesce(F.sum("met"), F.lit(0))).first()
+        if met >= LINKS or audited >= min(n, MOST_AUDITED):
+            return (joined(found, links.filter("a is not null")) if missed else found), 1 - missed / max(1, met)
+        audited *= 4
 
 
 def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -215,13 +274,19 @@ def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def outward(nodes: DataFrame, found: DataFrame, least: float, k: int, codes: int, bits: int) -> DataFrame:
-    """Labels after neighbour lists of other components only were searched, until they hold no link."""
+    """Labels after neighbour lists of other components only were searched, until they hold no link.
+
+    Where a list is full of links, the lists of the next turn are twice as long, LONGEST at most.
+    """
     while True:
-        own, _ = written(nodes.join(found, "node", "left").select("node", "vector", F.coalesce("label", "node").alias("label")), "nn-own")
+        own, _ = written(labelled(nodes, found), "nn-own")
         graph = descend(own, first_edges(own, codes, bits), least, k)
         links = graph.filter(F.col("similarity") >= least)
-        if links.isEmpty():
+        longest = links.groupBy("a").count().agg(F.max("count")).first()[0]
+        if longest is None:
             return found
+        if longest >= k:
+            k = min(2 * k, LONGEST)
         found = joined(found, links)
 
 
@@ -234,19 +299,21 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     labels, links = None, None
     for width, n in sorted(tuple(r) for r in alike.groupBy(F.size("vector")).count().collect()):  # a row per length
         nodes = alike.filter(F.size("vector") == width)
-        bits = min(24, max(1, (n // 8).bit_length()))
-        start, found = first_edges(nodes.withColumn("label", F.col("node")), codes, bits), None
-        for more in (codes, 2 * codes, 4 * codes):
-            graph = descend(nodes.withColumn("label", F.col("node")), start, least, k)
+        bits = max(1, (n // 8).bit_length())
+        used = few = codes_for(bits, least, codes)
+        own = nodes.withColumn("label", F.col("node"))
+        start, found = first_edges(own, few, bits), None
+        for widened in range(WIDENED + 1):
+            graph = descend(own, start, least, k)
             found = joined(found, graph.filter(F.col("similarity") >= least))
-            found = outward(nodes, found, least, k, codes, bits)
-            truth = audited_links(nodes, least)
-            for c in "ab":
-                truth = truth.join(found.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
-            missed, total = truth.agg(F.count(F.when(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull(), 1)), F.count(F.lit(1))).first()
-            if missed <= (1 - RECALL) * total:
+            found = outward(nodes, found, least, k, few, bits)
+            found, recall = audit(nodes, found, least, n, widened)
+            if recall >= RECALL:
                 break
-            start = graph.unionByName(first_edges(nodes.withColumn("label", F.col("node")), more, bits, more))
+            if widened == WIDENED and recall < LOWEST:
+                raise RuntimeError(f"{recall:.3f} of the audited links were found with {used} codes")
+            start = graph.unionByName(first_edges(own, used, bits, used))
+            used *= 2
         counts = block_counts(found.join(nodes, "node"), least)
         labels = found if labels is None else labels.unionByName(found)
         links = counts if links is None else links.unionByName(counts)
