@@ -32,8 +32,8 @@ from cargolume.llm.common import written
 from cargolume.session import scratch_dir
 
 PIVOTS, GROUP, PAGE = 256, 4096, 96
-#: Queries that go through the tree together.
-TOGETHER = 128
+#: Queries that go through the tree together, and queries of a task.
+TOGETHER, QUERIES = 128, 256
 #: Slack of bounds, in units of the largest norm, for rounding.
 SLACK = 1e-9
 
@@ -252,5 +252,6 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query_id", "rank", "id", "score"])
 
-    spread = queries.select("id", "vector").repartition("id")
+    tasks = max(1, -(-queries.count() // QUERIES))  # a number, or adaptive execution makes them one task
+    spread = queries.select("id", "vector").repartition(tasks, "id")
     return spread.mapInArrow(run, "query_id bigint, rank int, id bigint, score double")
