@@ -4,7 +4,8 @@ Counting: each Arrow batch's word pairs are counted at once and sent, sorted and
 segment of their first word's code. A segment's task merges them; its words, in code order, get the ids
 from the segment's offset on, so ids need no second sort. Then each segment's trie is built: a word's
 pointer and, made monotone by what came before, its successors' ids are Elias-Fano sequences; the
-interpolated, absolutely discounted probabilities and the back-off weights are quantised to a byte.
+interpolated, absolutely discounted probabilities and the back-off weights are quantised to a byte, over
+the range each level holds, so no value is clipped.
 Levels are files in the shared folder that tasks memory-map; scoring looks a successor up in its
 context's range by successor search.
 
@@ -36,8 +37,6 @@ from cargolume.session import scratch_dir
 END = int(mixed(MIX[50:51])[0])
 #: Word pairs counted together before they are sent.
 TOGETHER = 2_000_000
-#: Quantisation: bytes 0 to 255 for log10 from -WIDE to 0.
-WIDE = 8.0
 
 
 def tokens(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +154,16 @@ class Words:
         return ids, counts
 
 
-def quantised(logs: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-logs * (255 / WIDE)), 0, 255).astype(np.uint8)
+def quantised(logs: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Bytes from the smallest (0) to the largest (255) of the values, and that range."""
+    low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
+    step = (high - low) / 255
+    return {name: np.rint((logs - low) / (step or 1.0)).astype(np.uint8), f"{name}_range": np.array([low, step])}
 
 
-def restored(levels: np.ndarray) -> np.ndarray:
-    return levels * (-WIDE / 255)
+def restored(trie: dict, name: str, at: np.ndarray) -> np.ndarray:
+    low, step = trie[f"{name}_range"]
+    return low + trie[name][at] * step
 
 
 def build_tries(spark: SparkSession, folder: str, bits: int, offsets: dict[int, int], n: int, v: int, discount: float) -> None:
@@ -190,8 +193,8 @@ def build_tries(spark: SparkSession, folder: str, bits: int, offsets: dict[int,
                     **ef_arrays(np.concatenate([[0], ends]), "pointer"),
                     **ef_arrays(base, "base"),
                     **ef_arrays(ids + base[owner], "next"),
-                    "probability": quantised(np.log10(p)),
-                    "weight": quantised(np.log10(discount * sizes / total)),
+                    **quantised(np.log10(p), "probability"),
+                    **quantised(np.log10(discount * sizes / total), "weight"),
                 })
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["segment"])
 
@@ -234,7 +237,7 @@ class Model:
             place = ids[some] - offset
             start, weight = np.full(len(unique), -1, dtype=np.int64), np.zeros(len(unique))
             start[some] = trie["base"].get(place)
-            weight[some] = restored(trie["weight"][place].astype(float))
+            weight[some] = restored(trie, "weight", place)
             at = by[edges[s] : edges[s + 1]]
             at = at[start[before[at]] >= 0]
             logs[at] += weight[before[at]]
@@ -243,7 +246,7 @@ class Model:
             inside = found >= 0
             low, high = trie["pointer"].get(ids[before[both[inside]]] - offset), trie["pointer"].get(ids[before[both[inside]]] - offset + 1)
             inside[inside] = (found[inside] >= low) & (found[inside] < high)  # of this context, not of a later one
-            logs[both[inside]] = restored(trie["probability"][found[inside]].astype(float))
+            logs[both[inside]] = restored(trie, "probability", found[inside])
         sums = [np.bincount(owner, w, texts) for w in (known, lower, logs)]
         return [np.bincount(owner, minlength=texts), sums[0].astype(np.int64), sums[1], sums[2]]
 
@@ -253,7 +256,7 @@ def segment_trie(folder: str, segment: int) -> dict:
     from cargolume.llm.levels import EliasFano, map_arrays
 
     arrays = map_arrays(folder, f"trie-{segment}")
-    return {k: EliasFano(arrays, k) for k in ("pointer", "base", "next")} | {k: arrays[k] for k in ("probability", "weight")}
+    return {k: EliasFano(arrays, k) for k in ("pointer", "base", "next")} | {k: arrays[k] for k in ("probability", "weight", "probability_range", "weight_range")}
 
 
 def train_model(documents: DataFrame, text: str = "text") -> Model:
