@@ -196,6 +196,7 @@ def block_counts(members: DataFrame, least: float) -> DataFrame:
     """
     sizes = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.repartition("label", "block")  # the join's own partitioning would keep a component in one task
     parts = placed.groupBy("label", "block", "blocks").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("rows"))  # about BLOCK rows
     parts, _ = written(parts, "nn-blocks")
     turns = parts.filter("blocks > 1").select("label", "block", "blocks", F.explode(F.expr("sequence(1, cast(blocks div 2 as int))")).alias("step"))
