@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolume.contract import EVENT_SCHEMA
+from cargolume.operators import merge
 from cargolume.operators.merge import stage_identity
 from cargolume.streaming import keyindex, ledger, sinks
 
@@ -128,3 +129,46 @@ def test_compacted_store_answers_like_a_young_one(spark, tmp_path):
     assert store.read_committed("cleaned").count() == 0 and store.read_committed("keys").count() == 22
     with pytest.raises(ValueError):
         stage_identity("", 0)
+
+
+def odd_batch(spark):
+    """Rows that meet by id in either case, by source position, by both, or not at all."""
+    rows = [
+        ("A", 0), ("a", 7), ("a", 0), ("b", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("stored", 3), ("f", 90),
+        (None, 4), (None, 5), ("g", None), ("h", None), *[(f"n{i}", 100 + i) for i in range(40)],
+    ]
+    frame = spark.createDataFrame(rows, "event_id string, source_offset bigint").coalesce(1)
+    return frame.selectExpr("event_id", "'t' source_topic", "0 source_partition", "source_offset", "repeat('x', 9) body")
+
+
+@pytest.mark.parametrize("bound", [0, 3, 200_000])
+def test_stored_batch_merges_like_rows(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(merge, "BROADCAST_ROWS", bound)
+    existing = spark.createDataFrame([("stored", "t", 0, 50), ("other", "t", 0, 90)], "event_id string, source_topic string, source_partition int, source_offset bigint")
+    batch = sinks.numbered(odd_batch(spark), str(tmp_path / "rows"))
+    for known in (existing, existing.limit(0), batch.drop("_row", "body")):
+        want = merge.merge_new_events(batch.drop("_row"), known, 54)
+        got = merge.merge_stored_batch(batch, known, known, 54, str(tmp_path / str(id(known))))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_of_a_stored_batch_are_not_shuffled(spark, tmp_path):
+    batch = sinks.numbered(odd_batch(spark), str(tmp_path / "rows"))
+    fresh = merge.merge_stored_batch(batch, batch.limit(0), batch.limit(0), 54, str(tmp_path / "merging"))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_committed_rows_are_read_without_a_shuffle(spark, tmp_path):
+    store = sinks.EventStore(spark, str(tmp_path))
+    store.write_batch(events(spark, range(10)), 0, "q")
+    plan = store.read_committed("cleaned")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "BroadcastHashJoin" in joins[0] and "LeftSemi" in joins[0]
+    assert store.read_committed("cleaned").count() == 10
+
+
+def test_a_batch_leaves_no_stage(spark, tmp_path):
+    sinks.write_event_batch_a(odd_batch(spark), 0, str(tmp_path / "a"))
+    sinks.write_event_batch_a(odd_batch(spark), 1, str(tmp_path / "a"))
+    assert not list((tmp_path / "a_stage").glob("*/*.parquet")) and not list((tmp_path / "a_stage").glob("*/rows"))
