@@ -226,7 +226,9 @@ def _(spark, sf):
 def _(spark, sf):
     # Eight batches with a compaction every two: keys come from merged runs, and all are known.
     layout, _ = raw_layer(spark, sf)
-    rows = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+    # Validated once: nine batches read the accepted rows.
+    accepted = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+    rows = sinks.numbered(accepted, scratch_dir(spark, "accepted")).drop("_row")
     kept = sinks.EventStore(spark, layout.root, every=2)
     for part in range(8):
         kept.write_batch(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(8)) == part), part, "parts")

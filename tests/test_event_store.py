@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from cargolume.catalog import QUERIES
 from cargolume.contract import EVENT_SCHEMA
 from cargolume.operators import merge
 from cargolume.operators.merge import stage_identity
@@ -172,3 +173,11 @@ def test_a_batch_leaves_no_stage(spark, tmp_path):
     sinks.write_event_batch_a(odd_batch(spark), 0, str(tmp_path / "a"))
     sinks.write_event_batch_a(odd_batch(spark), 1, str(tmp_path / "a"))
     assert not list((tmp_path / "a_stage").glob("*/*.parquet")) and not list((tmp_path / "a_stage").glob("*/rows"))
+
+
+def test_nine_batches_validate_once(spark, monkeypatch):
+    seen, plain = [], sinks.EventStore.write_batch
+    monkeypatch.setattr(sinks.EventStore, "write_batch", lambda self, frame, *more: seen.append(frame) or plain(self, frame, *more))
+    QUERIES["indexed_keys"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 9
+    assert not any("parse_json" in frame._jdf.queryExecution().toString().lower() for frame in seen)
