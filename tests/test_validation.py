@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolume.contract import ENVELOPE_SCHEMA, RAW_SCHEMA
+from cargolume.operators import validate
 from cargolume.operators.classify import classify_events, valid_events
 from cargolume.operators.envelope import accepted_events, dead_letters_a, dead_letters_b
 from cargolume.operators.validate import validate_events
@@ -103,6 +104,33 @@ def test_accepted_is_normalised(verdicts):
     assert event["metadata"] == '{"a":{"c":2,"z":1},"b":1}'
 
 
+TWICE = change()[:-1] + b', "region": "us-east"}'
+PLAIN = [
+    (change(metadata={"b": 1, "a": "x"}), True),
+    (change(STOCK), True),
+    (change(amount=10, metadata={}), True),
+    (TWICE, False),
+    (change(), False),  # nested metadata
+    (change(metadata={}).replace(b"{}", b'{"a": 1, "a": 1}'), False),
+    (change(customer_id="\u00e9", metadata={}), False),  # written as an escape
+    (change(metadata={}, status="paid"), False),
+    (change(metadata={}, timestamp="2026-02-30T00:00:00Z"), False),
+    (change(STOCK, metadata={"quantity": "3"}), False),
+]
+
+
+def test_plain_records_are_not_parsed_as_variants(spark, monkeypatch):
+    rows = [("t", 0, n, NOW, b"k", p, NOW, NOW.date()) for n, p in enumerate([p for p, _ in PLAIN] + [p for p, _ in CASES])]
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    plain = validate._plain_events(raw.withColumn("_text", F.col("raw_payload").cast("string")))
+    told = {r[0]: r[1] for r in plain.select("source_offset", F.col("plain").isNotNull()).collect()}
+    assert [told[n] for n in range(len(PLAIN))] == [is_plain for _, is_plain in PLAIN]
+    fast = validate_events(raw).select("source_offset", "validation").collect()
+    monkeypatch.setattr(validate, "PLAIN_BYTES", 0)  # every record takes the general way
+    general = validate_events(raw).select("source_offset", "validation").collect()
+    assert dict(map(tuple, fast)) == dict(map(tuple, general))
+
+
 def test_dead_letters_keep_bytes(verdicts):
     letters = {r["key"]: json.loads(r["value"]) for r in dead_letters_b(verdicts).collect()}
     assert letters["t:0:1"]["payload_base64"] == "/w=="
