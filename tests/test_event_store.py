@@ -3,6 +3,7 @@
 import threading
 from datetime import UTC, datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,24 @@ def test_rows_of_a_stored_batch_are_not_shuffled(spark, tmp_path):
     assert "hashpartitioning" not in plan
 
 
+def test_stored_keys_are_probed_and_not_shuffled(spark, monkeypatch):
+    batch, stored = spark.range(50).selectExpr("id % 45 k"), spark.range(40, 4000).selectExpr("id k")
+    plans = []
+    for bound in (0, 50):
+        monkeypatch.setattr(merge, "BROADCAST_CODES", bound)
+        met = merge._met_twice(batch, stored, F.col("k"), 50)
+        assert sorted(r[0] for r in met.filter("_code < 45").collect()) == [0, 1, 2, 3, 4, 40, 41, 42, 43, 44]
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+    assert "LeftSemi" not in plans[0] and "BroadcastHashJoin" in plans[1] and "LeftSemi" in plans[1]
+
+
+def test_event_files_have_many_row_groups(spark, tmp_path):
+    rows = spark.range(0, 1_500_000, 1, 1).selectExpr("sha2(string(id), 256) text")
+    rows.write.options(**sinks.STORED).parquet(str(tmp_path / "rows"))
+    (file,) = (tmp_path / "rows").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
+
+
 def test_committed_rows_are_read_without_a_shuffle(spark, tmp_path):
     store = sinks.EventStore(spark, str(tmp_path))
     store.write_batch(events(spark, range(10)), 0, "q")
