@@ -69,7 +69,7 @@ def shingles(data: np.ndarray, cuts: np.ndarray, width: int) -> tuple[np.ndarray
     codes = word_codes(data, solid, starts)
     n = len(codes)
     out = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         out[: n - j] += np.where(owner[j:] == owner[: n - j], mixed(codes[j:] + MIX[j]), np.uint64(0))
     words = np.bincount(owner, minlength=len(cuts) - 1)
     firsts = np.cumsum(words) - words

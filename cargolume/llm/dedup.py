@@ -147,15 +147,11 @@ def shingle_udf(width: int, counted: bool):
     return run
 
 
-@F.arrow_udf(T.DoubleType())
-def similarity(ones: pa.Array, twos: pa.Array) -> pa.Array:
-    """Weighted Jaccard of two documents' shingles as `shingle_udf` gives them."""
-    out = []
-    for one, two in zip(ones, twos):
-        a, b = one.values.to_numpy(), two.values.to_numpy()
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(both / max(len(a) + len(b) - both, 1))
-    return pa.array(out, type=pa.float64())
+def similarity(one: str, two: str) -> Column:
+    """Weighted Jaccard of two documents' shingles as `shingle_udf` gives them: distinct codes, so nothing but
+    the number in common is needed, and no batch of pairs with both lists leaves the row."""
+    both = F.size(F.array_intersect(one, two))
+    return both / F.greatest(F.size(one) + F.size(two) - both, F.lit(1))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
