@@ -140,7 +140,13 @@ def lexical_queries(spark, sf):
 )
 def _(spark, sf):
     corpus = chunks(spark, sf).selectExpr("chunk_id id", "concat(chunk_text, ' ', section_title) text")
-    found = retrieval.lexical_topk(corpus, lexical_queries(spark, sf))
+    # a chunk id names its document, so only documents of one id can repeat it; no need to chunk all twice
+    docs = markdown(spark, sf)
+    repeated = docs.groupBy("document_id").count().filter("count > 1").select(F.col("document_id").alias("id"))
+    if not repeated.isEmpty():
+        again = docs.join(repeated, F.col("document_id").eqNullSafe(F.col("id")), "left_semi")
+        repeated = chunking.chunk_documents(again).select(F.col("chunk_id").alias("id"))
+    found = retrieval.lexical_topk(corpus, lexical_queries(spark, sf), repeated=repeated)
     return found.select("query_id", "id", "hits", "rank")
 
 
