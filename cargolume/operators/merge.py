@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolume.contract import SOURCE_KEY
+from cargolume.functions.exprs import packed_id, unpacked_id
 
 # A micro-batch below this many rows may be broadcast as keys (16 bytes hash each and some).
 BROADCAST_ROWS = 200_000
@@ -31,8 +32,20 @@ def first_per(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def dedup_candidates(batch: DataFrame) -> DataFrame:
     """One row per event id: the lowest source position."""
-    lowered = batch.withColumn("event_id", F.lower("event_id"))
-    return first_per(lowered, ["event_id"], list(SOURCE_KEY))
+    return _unpacked(_candidates(batch))
+
+
+def _candidates(batch: DataFrame) -> DataFrame:
+    """`dedup_candidates` with ids as bytes, as rows are shuffled by them."""
+    return first_per(_packed(batch.withColumn("event_id", F.lower("event_id"))), ["event_id"], list(SOURCE_KEY))
+
+
+def _packed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("event_id", packed_id("event_id"))
+
+
+def _unpacked(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("event_id", unpacked_id("event_id"))
 
 
 def _absent(batch: DataFrame, existing: DataFrame, keys: list[str], small: bool) -> DataFrame:
@@ -70,13 +83,12 @@ def merge_new_events(
     positions where `existing` has only the ids that matter.
     """
     small = batch_rows is not None and batch_rows <= BROADCAST_ROWS
-    candidates = dedup_candidates(batch)
     fresh = anti_existing_source(
-        anti_existing_event_ids(candidates, existing, small),
+        anti_existing_event_ids(_candidates(batch), _packed(existing), small),
         existing if existing_sources is None else existing_sources,
         small,
     )
-    return first_per(fresh, list(SOURCE_KEY), ["event_id"])
+    return first_per(_unpacked(fresh), list(SOURCE_KEY), ["event_id"])
 
 
 def _met_twice(batch: DataFrame, existing: DataFrame, code, rows: int) -> DataFrame:
