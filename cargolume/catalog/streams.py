@@ -324,10 +324,13 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    # A first batch of failed payments only is replaced by the complete second batch.
-    path = scratch_dir(spark, "metrics_a")
+    # A first batch of failed payments only is replaced by the complete second batch. Both read the
+    # accepted events from storage, so that records are classified once and not once a batch.
+    path, accepted = scratch_dir(spark, "metrics_a"), scratch_dir(spark, "metrics_a_events")
     valid = classify_events(envelope_log(spark, sf), clock()).filter("is_valid")
-    once = valid.dropDuplicates(["event_id"])
+    once = valid.dropDuplicates(["event_id"]).select(*metrics.MINUTE_COLUMNS_A)
+    once.write.parquet(accepted)
+    once = spark.read.schema(once.schema).parquet(accepted)
     sinks.write_metric_batch_a(
         metrics.minute_metrics_a(once.filter("event_type = 'payment_failed'")), 0, path
     )

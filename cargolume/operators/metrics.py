@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cargolume.contract import PAYMENT_TYPES
 from cargolume.functions.exprs import count_where, sum_where, utc_minute
 
+#: What `minute_metrics_a` reads of an event.
+MINUTE_COLUMNS_A = ("event_timestamp", "region", "event_type", "amount", "processing_latency_ms", "processed_at")
+
 
 def minute_metrics_a(events: DataFrame) -> DataFrame:
     """One-minute tumbling window x region. Rate is 0.0 when nothing was attempted."""
