@@ -6,11 +6,14 @@ trie outgrows ENTRIES, whole subtrees, largest first, leave it as sorted runs an
 the runs of all tasks per partition; the prefix that decides the partition is the whole phrase, as the
 subtree of one frequent first word may hold a good part of all rows.
 
-Three passes over the texts. The first counts words, and pairs by a code of CODE bits alone: codes that
-do not reach LEAST rule their pairs out, and the rest goes to the tasks as a bit map of fixed size
-(2 ** BITS bits). The second does so with triples made of two such pairs. The third counts what both maps
-let through, in the trie, as words. A code or bit shared by chance costs a useless count, never a wrong
-one, so the result is exact, and no broadcast grows with the corpus.
+Three passes over the texts. The first counts words, and pairs by the 32-bit codes of their two words:
+codes that do not reach LEAST rule their pairs out, and the rest goes to the tasks as a bit map of fixed
+size (2 ** BITS bits). The second does so with triples made of two such pairs. Where no two words share a
+code, these counts are exact, and tell which phrases lie behind the SHOWN strongest of their language
+whatever the others are; those are ruled out too. The third pass counts, in the trie and as words, what
+may be shown, its parts, what may hold a pair of it, and every phrase with a word whose code is shared. A
+bit shared by chance costs a useless count, never a wrong one, so the result is exact, and no broadcast
+grows with the corpus.
 
 Everything is per language. For phrases a = f(phrase) >= LEAST of two and three words and each cut into
 parts of l and r occurrences, floor(1000000 a a / (l r)) is taken in 38-digit decimals.
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolume.llm.blocks import BLOCK, MIX, blocks, mixed
+from cargolume.llm.blocks import BLOCK, blocks, mixed
 from cargolume.llm.common import written
 
 #: Fixed values of the contract.
@@ -40,8 +43,8 @@ LEAST, LONGEST, SHARE, SHOWN = 10, 3, 50, 2000
 BURST, ENTRIES = 4096, 300_000
 #: Different words a task remembers, and pairs it counts together, before it sends them.
 WORDS, TOGETHER = 300_000, 1_500_000
-#: Bits of a phrase's code, and of the maps of codes that reach LEAST, which could not tell more apart.
-CODE, BITS = 40, 26
+#: Bits of a word's code, 32 at most, and of the maps of phrases.
+CODE, BITS = 32, 26
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK, BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -172,12 +175,34 @@ class Vocabulary:
             self.codes = np.concatenate([self.codes, codes])
         return np.fromiter(map(ids.__getitem__, told), dtype=np.int64, count=len(told))[words.indices.to_numpy()]
 
-    def phrase_codes(self, ids: np.ndarray, at: np.ndarray, length: int, langs: np.ndarray) -> np.ndarray:
-        """Codes of the phrases of so many words that begin at these places."""
-        sums = langs.copy()
-        for k in range(length):
-            sums += self.codes[ids[at + k]] * MIX[k]
-        return mixed(sums) >> np.uint64(64 - CODE)
+    def word_codes(self, ids: np.ndarray, langs: np.ndarray, size: int = CODE) -> np.ndarray:
+        """A code of so many bits of each word in its language."""
+        return mixed(self.codes[ids] + langs) >> np.uint64(64 - size)
+
+
+def place(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Place in a bit map of the phrases of so many words that begin at `at`; `place_of` in Spark."""
+    out = codes[at].copy()
+    for k in range(1, length):
+        out ^= codes[at + k] >> np.uint64(3 * k)
+    return out
+
+
+def place_of(code: str, third: str | None = None) -> Column:
+    out = first_word(code).bitwiseXOR(F.shiftrightunsigned(second_word(code), 3))
+    return out.bitwiseXOR(F.shiftrightunsigned(third, 6)) if third else out
+
+
+def first_word(code: str) -> Column:
+    return F.shiftrightunsigned(code, 32)
+
+
+def second_word(code: str) -> Column:
+    return F.col(code).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def pair_codes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (codes[at] << np.uint64(32)) | codes[at + 1]
 
 
 def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -185,15 +210,15 @@ def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def phrases_in(vocabulary: Vocabulary, ids: np.ndarray, piece: np.ndarray, langs: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def phrases_in(codes: np.ndarray, piece: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Where pairs and where triples begin that lie in one piece and that the bit maps let through."""
     whole = piece[1:] == piece[:-1]
     if pairs is not None:
         at = np.flatnonzero(whole)
-        whole[at] = in_map(pairs, vocabulary.phrase_codes(ids, at, 2, langs[at]))
+        whole[at] = in_map(pairs, place(codes, at, 2))
     three = np.flatnonzero(whole[:-1] & whole[1:])
     if triples is not None:
-        three = three[in_map(triples, vocabulary.phrase_codes(ids, three, 3, langs[three]))]
+        three = three[in_map(triples, place(codes, three, 3))]
     return np.flatnonzero(whole), three
 
 
@@ -221,25 +246,36 @@ def tokens(batch: pa.RecordBatch, vocabulary: Vocabulary, context: int) -> Itera
         yield ids, piece, first + owner, fresh
 
 
-def summed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(codes)
-    heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
-    return codes[heads], np.diff(np.concatenate([heads, [len(codes)]]))
+def summed(*codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different codes, in order, and how often each occurs."""
+    if not len(codes[0]):
+        return *codes, np.zeros(0, dtype=np.int64)
+    if len(codes) > 1:
+        by = np.lexsort(codes[::-1])
+        codes = tuple(c[by] for c in codes)
+    else:
+        codes = (np.sort(codes[0]),)
+    heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+    return *(c[heads] for c in codes), np.diff(np.concatenate([heads, [len(codes[0])]]))
 
 
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
 
 
-def code_runs(documents: DataFrame, pairs: np.ndarray | None = None) -> DataFrame:
-    """(lang, w1, code, n): parts of sums. Without `pairs`, counts of words (code null) and of the codes of
-    pairs (lang, w1 null); with the bit map of pairs that may count, of the codes of triples."""
+def code_runs(documents: DataFrame, pairs: np.ndarray | None = None, size: int = CODE) -> DataFrame:
+    """Parts of sums. Without `pairs`, (lang, w1, code, n): counts of words with their codes, and of pairs by
+    the codes of both words alone (lang, w1 null); with the bit map of pairs that may count, (code, third, n):
+    counts of triples by the codes of the first two words and of the third."""
     shared = documents.sparkSession.sparkContext.broadcast(pairs)
-    schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
+    if pairs is None:
+        schema, ddl = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("code", pa.int64()), ("n", pa.int64())]), "lang string, w1 binary, code bigint, n bigint"
+    else:
+        schema, ddl = pa.schema([("code", pa.int64()), ("third", pa.int64()), ("n", pa.int64())]), "code bigint, third bigint, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = shared.value
-        vocabulary, held, size, counted = Vocabulary(), [], 0, {}
+        vocabulary, held, waiting, counted = Vocabulary(), [], 0, {}
 
         def send_words() -> Iterator[pa.RecordBatch]:
             texts = pa.array(vocabulary.words, pa.binary())
@@ -247,14 +283,16 @@ def code_runs(documents: DataFrame, pairs: np.ndarray | None = None) -> DataFram
                 found = np.flatnonzero(sums)
                 for at in range(0, len(found), 50_000):
                     part = found[at : at + 50_000]
-                    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), texts.take(pa.array(part)), pa.nulls(len(part), pa.int64()), pa.array(sums[part])]
+                    codes = vocabulary.word_codes(part, lang_codes([lang]), size).view(np.int64)
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), texts.take(pa.array(part)), pa.array(codes), pa.array(sums[part])]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         def send_codes() -> Iterator[pa.RecordBatch]:
-            codes, n = summed(np.concatenate(held))
-            for at in range(0, len(codes), 100_000):
-                part = codes[at : at + 100_000].view(np.int64)
-                columns = [pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + 100_000])]
+            *codes, n = summed(*(np.concatenate(h) for h in zip(*held)))
+            for at in range(0, len(n), 100_000):
+                columns = [pa.array(c[at : at + 100_000].view(np.int64)) for c in codes] + [pa.array(n[at : at + 100_000])]
+                if len(codes) == 1:
+                    columns = [pa.nulls(len(columns[0]), pa.string()), pa.nulls(len(columns[0]), pa.binary()), *columns]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
@@ -263,21 +301,23 @@ def code_runs(documents: DataFrame, pairs: np.ndarray | None = None) -> DataFram
             marks = lang_codes(names)
             for ids, piece, text, fresh in tokens(batch, vocabulary, 1 if pairs is None else 2):
                 of = of_text[text]
-                two, three = phrases_in(vocabulary, ids, piece, marks[of], pairs, None)
+                codes = vocabulary.word_codes(ids, marks[of], size)
+                two, three = phrases_in(codes, piece, pairs, None)
                 if pairs is None:
                     for j in np.unique(of[fresh:]).tolist():
                         sums = np.bincount(ids[fresh:][of[fresh:] == j], minlength=len(vocabulary.words))
                         before = counted.get(names[j], sums[:0])
                         sums[: len(before)] += before
                         counted[names[j]] = sums
-                    at, length = two[two + 1 >= fresh], 2
+                    at = two[two + 1 >= fresh]
+                    held.append((pair_codes(codes, at),))
                 else:
-                    at, length = three[three + 2 >= fresh], 3
-                held.append(vocabulary.phrase_codes(ids, at, length, marks[of[at]]))
-                size += len(at)
-                if size >= TOGETHER:
+                    at = three[three + 2 >= fresh]
+                    held.append((pair_codes(codes, at), codes[at + 2]))
+                waiting += len(at)
+                if waiting >= TOGETHER:
                     yield from send_codes()
-                    held, size = [], 0
+                    held, waiting = [], 0
             if len(vocabulary.words) > WORDS:
                 yield from send_words()
                 vocabulary, counted = Vocabulary(), {}
@@ -285,13 +325,13 @@ def code_runs(documents: DataFrame, pairs: np.ndarray | None = None) -> DataFram
         if held:
             yield from send_codes()
 
-    return _named(documents).mapInArrow(run, "lang string, w1 binary, code bigint, n bigint")
+    return _named(documents).mapInArrow(run, ddl)
 
 
-def phrase_runs(documents: DataFrame, pairs: np.ndarray, triples: np.ndarray, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
+def phrase_runs(documents: DataFrame, pairs: np.ndarray, triples: np.ndarray, entries: int = ENTRIES, burst: int = BURST, size: int = CODE) -> DataFrame:
     """(lang, w1, w2, w3, n): sorted runs of phrase counts, one subtree after another; w3 is null in pairs.
 
-    `pairs` and `triples` are bit maps of the codes of phrases that may reach the least count.
+    `pairs` and `triples` are bit maps of the phrases to count.
     """
     shared = documents.sparkSession.sparkContext.broadcast((pairs, triples))
     schema = pa.schema([("lang", pa.string()), ("w1", pa.binary()), ("w2", pa.binary()), ("w3", pa.binary()), ("n", pa.int64())])
@@ -303,13 +343,13 @@ def phrase_runs(documents: DataFrame, pairs: np.ndarray, triples: np.ndarray, en
         def spilled(room: int) -> Iterator[pa.RecordBatch]:
             texts = pa.array(vocabulary.words, pa.binary())
             for lang in sorted(tries):
-                held, size = [], 0
+                held, waiting = [], 0
                 for part in tries[lang].spill(room):
                     held.append(part)
-                    size += len(part[1])
-                    if size > 50_000:
+                    waiting += len(part[1])
+                    if waiting > 50_000:
                         yield batch_of(lang, held, texts)
-                        held, size = [], 0
+                        held, waiting = [], 0
                 if held:
                     yield batch_of(lang, held, texts)
 
@@ -326,7 +366,7 @@ def phrase_runs(documents: DataFrame, pairs: np.ndarray, triples: np.ndarray, en
             marks = lang_codes(names)
             for ids, piece, text, fresh in tokens(batch, vocabulary, 2):
                 of = of_text[text]
-                two, three = phrases_in(vocabulary, ids, piece, marks[of], pairs, triples)
+                two, three = phrases_in(vocabulary.word_codes(ids, marks[of], size), piece, pairs, triples)
                 two, three = two[two + 1 >= fresh], three[three + 2 >= fresh]
                 firsts = np.concatenate([ids[two], ids[three]])
                 rests = np.concatenate([(ids[two + 1] << 31) | NOTHING, (ids[three + 1] << 31) | ids[three + 2]])
@@ -357,16 +397,59 @@ def bit_map(codes: DataFrame, bits: int = BITS) -> np.ndarray:
     return out.astype("<i8").view(np.uint8)
 
 
-def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(totals per language, words, pairs, triples): the latter three with at least `least` occurrences."""
-    counted = code_runs(documents).groupBy("lang", "w1", "code").agg(F.sum("n").alias("n"))
-    counted, _ = written(counted.filter(F.col("code").isNull() | (F.col("n") >= least)), "phrase-words")
-    words = counted.filter("code is null").drop("code")
-    pairs = bit_map(counted.filter("code is not null").select("code"))
-    codes = code_runs(documents, pairs).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    triples = bit_map(codes.filter("code is not null").select("code"))
+def phrases_needed(words: DataFrame, pairs: DataFrame, triples: DataFrame, least: int, share: int, shown: int) -> DataFrame:
+    """(code, third) of the phrases that the `shown` strongest of a language follow from; third is null in pairs.
+
+    `words` are all (lang, w1, code, n); `pairs` (code, n) and `triples` (code, third, n) those whose codes reach
+    `least`. A phrase is sure to be shown or beaten if its words share their codes with no others and no triple
+    may hold half of it. Needed is what is not behind the `shown`-th of the sure ones, triples that hold half of such
+    a pair, and all phrases of words with shared codes, whose counts are only upper bounds here.
+    """
+    told = words.groupBy("code").agg(F.sum("n").alias("n"), F.when(F.count("*") == 1, F.min("lang")).alias("lang")).filter(F.col("n") >= least)
+    side = lambda k, c: told.select(F.col("code").alias(f"c{k}"), F.col("n").alias(c), F.col("lang").alias(f"lang{k}"))
+    both = lambda: F.when(F.col("lang1").isNotNull(), F.when(F.col("lang2").isNotNull(), F.col("lang1"))).alias("lang")
+    two = pairs.select("code", first_word("code").alias("c1"), second_word("code").alias("c2"), F.col("n").alias("a"))
+    two = two.join(side(1, "l"), "c1").join(side(2, "r"), "c2").select("code", "a", "l", "r", both())
+    two, _ = written(two.withColumn("score", F.when(F.col("lang").isNotNull(), strength("a", "l", "r"))), "phrase-pairs")
+    second = F.shiftleft(second_word("code"), 32).bitwiseOR(F.col("third")).alias("second")
+    three = triples.select("code", "third", F.col("n").alias("a"), second)
+    left = two.select("code", F.col("a").alias("la"), F.col("l").alias("ll"), F.col("score").alias("ls"), F.col("lang").alias("lang1"))
+    right = two.select(F.col("code").alias("second"), F.col("a").alias("ra"), F.col("r").alias("rr"), F.col("score").alias("rs"), F.col("lang").alias("lang2"))
+    three = three.join(left, "code").join(right, "second").withColumn("lang", both())
+    three = three.withColumn("score", F.when(F.col("lang").isNotNull(), F.least(strength("a", "ll", "ra"), strength("a", "la", "rr"))))
+    inside = triples.select("code", "n").unionAll(triples.select(second, "n")).groupBy("code").agg(F.max("n").alias("longer"))
+    two = two.join(inside, "code", "left").withColumn("sure", F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
+    scored = three.withColumn("sure", F.lit(True)).unionByName(two.drop("l", "r", "longer"), allowMissingColumns=True)
+    scored, _ = written(scored.drop("second", "ll", "rr", "lang1", "lang2"), "phrase-scores")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    last = scored.filter("sure and lang is not null").select("lang", "score", "a").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == shown)
+    last = last.select("lang", F.col("score").alias("last_score"), F.col("a").alias("last_a"))  # one row per language
+
+    def may_show(score: str, a: str) -> Column:
+        return F.col("last_a").isNull() | (F.col(score) > F.col("last_score")) | ((F.col(score) == F.col("last_score")) & (F.col(a) >= F.col("last_a")))
+
+    def holds(score: str, a: str) -> Column:
+        return may_show(score, a) & (100 * F.col("a") >= share * F.col(a))
+
+    needed = scored.join(F.broadcast(last), "lang", "left").filter(may_show("score", "a") | (F.col("third").isNotNull() & (holds("ls", "la") | holds("rs", "ra"))))
+    return written(needed.select("code", "third"), "phrase-needs")[0]
+
+
+def phrase_counts(documents: DataFrame, least: int = LEAST, share: int = SHARE, shown: int = SHOWN, size: int = CODE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(totals per language, words, pairs, triples): words with at least `least` occurrences, and of such pairs
+    and triples those that the `shown` strongest of a language follow from."""
+    counted = code_runs(documents, size=size).groupBy("lang", "w1", "code").agg(F.sum("n").alias("n"))
+    counted, _ = written(counted.filter(F.col("w1").isNotNull() | (F.col("n") >= least)), "phrase-words")
+    words, codes = counted.filter("w1 is not null"), counted.filter("w1 is null").select("code", "n")
+    triples = code_runs(documents, bit_map(codes.select(place_of("code").alias("place"))), size).groupBy("code", "third").agg(F.sum("n").alias("n"))
+    triples, _ = written(triples.filter(F.col("n") >= least), "phrase-triples")
+    needed = phrases_needed(words, codes, triples, least, share, shown)
+    three = needed.filter("third is not null")
+    parts = needed.select("code").unionAll(three.select(F.shiftleft(second_word("code"), 32).bitwiseOR(F.col("third"))))
+    maps = bit_map(parts.select(place_of("code").alias("place"))), bit_map(three.select(place_of("code", "third").alias("place")))
+    words = words.drop("code")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    phrases = phrase_runs(documents, pairs, triples).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    phrases = phrase_runs(documents, *maps, size=size).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     phrases, _ = written(phrases, "phrases")
     return totals, words.filter(F.col("n") >= least), phrases.filter("w3 is null").drop("w3"), phrases.filter("w3 is not null")
 
@@ -377,9 +460,9 @@ def strength(a: str, left: str, right: str) -> Column:
     return F.call_function("div", wide[a] * wide[a] * F.lit(1_000_000).cast("decimal(7,0)"), wide[left] * wide[right])
 
 
-def collocations(documents: DataFrame, least: int = LEAST, share: int = SHARE, shown: int = SHOWN) -> DataFrame:
+def collocations(documents: DataFrame, least: int = LEAST, share: int = SHARE, shown: int = SHOWN, size: int = CODE) -> DataFrame:
     """The `shown` strongest phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    totals, words, pairs, triples = phrase_counts(documents, least)
+    totals, words, pairs, triples = phrase_counts(documents, least, share, shown, size)
     part = lambda frame, names, n: frame.select("lang", *[F.col(c).alias(d) for c, d in zip(frame.columns[1:-1], names)], F.col("n").alias(n))
     two = pairs.withColumnRenamed("n", "a")
     two = two.join(part(words, ["w1"], "l"), ["lang", "w1"]).join(part(words, ["w2"], "r"), ["lang", "w2"])

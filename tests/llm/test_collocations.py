@@ -155,3 +155,18 @@ def test_large_counts_stay_exact(spark):
 
 def test_empty_table(spark):
     assert result(co.collocations(spark.createDataFrame([], "text string, lang string"))) == []
+
+
+@pytest.mark.parametrize("size, least, shown", [(3, 2, 5), (6, 2, 40), (6, 4, 2000), (32, 2, 40)])
+def test_words_that_share_a_code_change_nothing(spark, size, least, shown):
+    some = [*rows(4), ("of the sea . " * 12 + "by the sea . " * 11 + "on the sea at all . " * 10, "fr")]
+    assert result(co.collocations(frame(spark, some), least=least, shown=shown, size=size)) == brute(some, least, shown)
+
+
+def test_pass_with_texts_counts_what_is_shown_and_its_parts(spark, monkeypatch):
+    rng, made = random.Random(5), []
+    some = [(" ".join(rng.choice([f"w{k}" for k in range(12)]) for _ in range(400)), "en") for _ in range(40)]
+    runs = co.phrase_runs
+    monkeypatch.setattr(co, "phrase_runs", lambda *a, **k: made.append(runs(*a, **k)) or made[-1])
+    assert result(co.collocations(frame(spark, some), shown=20)) == brute(some, shown=20)
+    assert made[0].groupBy("w1", "w2", "w3").count().count() <= 3 * 20 < len([p for p, n in pairs_and_triples(some).items() if n >= co.LEAST]) / 10
