@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -17,10 +18,10 @@ from cargolume.operators.envelope import (
     dead_letters_b,
     raw_rows,
 )
-from cargolume.operators.merge import merge_new_events
+from cargolume.operators.merge import merge_stored_batch
 from cargolume.operators.validate import validate_events
 from cargolume.session import hadoop_path
-from cargolume.streaming.sinks import STORED, EventStore, checkpoint_query_id
+from cargolume.streaming.sinks import STORED, EventStore, checkpoint_query_id, numbered
 
 CRITICAL = ("raw", "dlq", "valid-events")
 
@@ -175,11 +176,15 @@ def first_stopped(queries: list[StreamingQuery]) -> str | None:
 def late_reconciliation(spark: SparkSession, layout: Layout) -> DataFrame:
     """Accepted raw events the store lacks, late ones included; same uniqueness rules.
 
-    Both sides are whole tables, so nothing is broadcast here.
+    Both sides are whole tables. The accepted rows are validated once and stored: a plan that validates
+    and merges repeats the validator's expressions until it no longer fits the driver. They stay below
+    `reconciling`, as the result is read from them.
     """
     raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
     stored = EventStore(spark, layout.root).read_committed("keys")
-    return merge_new_events(accepted_events(validate_events(raw)), stored)
+    stage = f"{layout.root}/reconciling/{uuid.uuid4().hex}"
+    accepted = numbered(accepted_events(validate_events(raw)), f"{stage}/rows")
+    return merge_stored_batch(accepted, stored, stored, accepted.count(), f"{stage}/merging")
 
 
 def deduplicated(stream: DataFrame, time: str, key: str, delay: str = "10 minutes") -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from cargolume.contract import ENVELOPE_SCHEMA
+from cargolume.contract import ENVELOPE_SCHEMA, RAW_SCHEMA
 from cargolume.operators.metrics import reconcile_minute_metrics
 from cargolume.sources.jdbc import jdbc_options
 from cargolume.sources.retention import expire, retention_candidates
@@ -80,3 +80,14 @@ def test_jdbc_options_push_the_query():
     options = jdbc_options("jdbc:x", "select 1", ("id", 0, 100, 8), user="u")
     assert options["dbtable"] == "(select 1) pushed"
     assert (options["partitionColumn"], options["numPartitions"]) == ("id", "8")
+
+
+def test_reconciliation_plans_no_validation(spark, tmp_path):
+    layout = jobs.Layout(str(tmp_path))
+    rows = [("t", 0, i, T0, b"k", record(n, T0), T0 + timedelta(hours=2), T0.date()) for i, n in enumerate((1, 1, 2, 3))]
+    spark.createDataFrame(rows, RAW_SCHEMA).write.parquet(layout.raw)
+    known = jobs.accepted_events(jobs.validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw))).filter("customer_id = 'c3'")
+    EventStore(spark, layout.root).write_batch(known, 0, "q")
+    missing = jobs.late_reconciliation(spark, layout)
+    assert "parse_json" not in missing._jdf.queryExecution().toString().lower()
+    assert sorted((r["customer_id"], r["source_offset"]) for r in missing.collect()) == [("c1", 0), ("c2", 2)]
