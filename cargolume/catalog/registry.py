@@ -19,13 +19,15 @@ def comparable(df: DataFrame) -> DataFrame:
     Decimals become doubles, instants become naive UTC timestamps, and arrays become
     '|'-joined text. Only this edge converts; the operators keep their declared types.
     """
-    out = []
+    out, zone = [], df.sparkSession.conf.get("spark.sql.session.timeZone")
     for field in df.schema.fields:
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.DecimalType):
             c = c.cast("double")
         elif isinstance(kind, T.TimestampType):
-            c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+            c = c.cast("timestamp_ntz")
+            if zone != "UTC":  # zones are looked up by name for every row
+                c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c)
         elif isinstance(kind, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), "|")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):

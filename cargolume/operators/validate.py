@@ -34,20 +34,28 @@ def _one_of(values) -> str:
     return "(?:" + "|".join(values) + ")"
 
 
+def _any_of(first: int, last: int, but: str = "") -> str:
+    """A character class, each character by itself: one table, where ranges are a chain of tests."""
+    return "[" + "".join(f"\\x{n:02x}" for n in range(first, last + 1) if chr(n) not in but) + "]"
+
+
+_HEX = "[0123456789abcdefABCDEF]"
+# Printable ASCII that stands for itself in a JSON text. Other texts are no plain ones.
+_PRINTED, _UNSPACED = (_any_of(first, 0x7E, '"\\') for first in (0x20, 0x21))
 # The plain record. Possessive groups are matched in a loop, without backtracking or recursion.
 _PLAIN_AMOUNT = r"(?:0|[1-9][0-9]{0,11}+)(?:\.[0-9]{1,2}+)?+"
 _PLAIN_TEXTS = {
-    "event_id": "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    "event_id": f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}",
     "event_type": _one_of(c.EVENT_TYPES),
     "timestamp": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?+(?:Z|[+-]\d{2}:\d{2})",
-    **{name: r"[!#-\[\]-~]{1,100}+" for name in ("customer_id", "order_id", "product_id")},
+    **{name: f"{_UNSPACED}{{1,100}}+" for name in ("customer_id", "order_id", "product_id")},
     "currency": c.CURRENCY,
     "payment_provider": _one_of(c.PAYMENT_PROVIDERS),
     "shipment_provider": _one_of(c.SHIPMENT_PROVIDERS),
     "region": _one_of(c.REGIONS),
     "status": _one_of(c.STATUS_OF_TYPE.values()),
 }
-_TEXT = r'"[^"\\\x00-\x1f]*+"'
+_TEXT = f'"{_PRINTED}*+"'
 _FLAT = rf"{_TEXT}: ?(?:{_TEXT}|-?(?:0|[1-9][0-9]{{0,14}}+)|true|false|null)"
 _PAIR = _one_of(
     [
@@ -58,6 +66,8 @@ _PAIR = _one_of(
     ]
 )
 _PLAIN = rf"\A\{{{_PAIR}(?:, ?{_PAIR})*+\}}\z"
+# Metadata of one pair, written as the variant of it would be.
+_ONE_PAIR = rf"\A\{{{_TEXT}:(?:{_TEXT}|0|-?[1-9][0-9]{{0,14}}+|true|false|null)\}}\z"
 #: Bytes of a record that may be read as a plain one.
 PLAIN_BYTES = 16_384
 
@@ -110,25 +120,44 @@ def _amount_text() -> Column:
 
 def _colons(text: Column) -> Column:
     """Number of quotes followed by a colon: one per key, and one more per text that begins so."""
-    return F.length(text) - F.length(F.replace(text, F.lit('":'), F.lit('"')))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit('":'), F.lit('"')))
+
+
+def _taken() -> Column:
+    """Bytes that the fields found in a plain record take at least; amounts are re-written when read."""
+    taken = F.lit(1)
+    for name in c.PAYLOAD_FIELDS:
+        around = len(name) + (6 if name in _PLAIN_TEXTS else 4)
+        inside = F.lit(1) if name in ("amount", "schema_version") else F.octet_length(_text(name))
+        taken += F.when(_text(name).isNotNull(), inside + around).otherwise(0)
+    return taken
+
+
+def _no_key_twice() -> Column:
+    """No field of a plain record comes twice.
+
+    A second one leaves bytes beyond what the fields found take: where too few are left, keys need no
+    counting.
+    """
+    shortest = min(len(name) for name in c.PAYLOAD_FIELDS) + len(',"":1')
+    keys = _colons(F.col("_text")) - F.coalesce(_colons(_text("metadata")), F.lit(0))
+    return F.when(F.octet_length("_text") - F.col("_taken") < shortest, True).otherwise(keys == F.bit_count("_given"))
 
 
 def _plain_events(texts: DataFrame) -> DataFrame:
     """`plain`: the event of a record that is plain and keeps the rules across fields, else NULL.
 
     A key that comes twice leaves more colons than fields, and metadata in which one does has no
-    variant parse; neither is plain.
+    variant parse; neither is plain. Metadata of one pair stands as it is, unless its quantity is asked for.
     """
-    shaped = (
-        (F.octet_length("raw_payload") <= PLAIN_BYTES)
-        & F.is_valid_utf8(F.col("raw_payload").cast("string"))
-        & F.col("_text").rlike(_PLAIN)
-    )
+    shaped = (F.octet_length("raw_payload") <= PLAIN_BYTES) & F.col("_text").rlike(_PLAIN)
     columns = ", ".join(f"{name} string" for name in c.PAYLOAD_FIELDS)
     found = texts.withColumn("_f", F.from_json(F.when(shaped, F.col("_text")), columns))
-    found = found.withColumns(
+    as_it_is = (_text("event_type") != "inventory_updated") & _text("metadata").rlike(_ONE_PAIR)
+    found = found.withColumn("_kept", F.when(as_it_is, _text("metadata"))).withColumns(
         {
-            "_metadata": F.try_parse_json("_f.metadata"),
+            "_metadata": F.try_parse_json(F.when(F.col("_kept").isNull(), _apart(_text("metadata")))),
+            "_taken": _taken(),
             "_ts": F.col("_f.timestamp").try_cast("timestamp"),
             "_given": sum((F.when(_text(name).isNotNull(), 1 << n).otherwise(0) for n, name in enumerate(c.PAYLOAD_FIELDS)), F.lit(0)),
         }
@@ -138,10 +167,10 @@ def _plain_events(texts: DataFrame) -> DataFrame:
     needed = F.create_map(*[F.lit(x) for kind_ in c.EVENT_TYPES for x in (kind_, _needed(kind_))])
     whole = (
         (_text("status") == legal[kind])
-        & (F.col("_given").bitwiseAND(needed[kind]) == needed[kind])
-        & (_colons(F.col("_text")) - F.coalesce(_colons(_text("metadata")), F.lit(0)) == F.bit_count("_given"))
+        & (F.bitwise_not("_given").bitwiseAND(needed[kind]) == 0)
+        & _no_key_twice()
         & F.col("_ts").between(*_time_bounds())
-        & (_text("metadata").isNull() | F.col("_metadata").isNotNull())
+        & (_text("metadata").isNull() | F.col("_kept").isNotNull() | F.col("_metadata").isNotNull())
         & ((kind != "inventory_updated") | (quantity >= 0))
     )
     typed = {
@@ -150,10 +179,10 @@ def _plain_events(texts: DataFrame) -> DataFrame:
         "event_ts": F.col("_ts"),
         "amount": _text("amount").try_cast("decimal(14,2)"),
         "currency": F.lit(c.CURRENCY),
-        "metadata": F.coalesce(F.to_json("_metadata"), F.lit("{}")),
+        "metadata": F.coalesce("_kept", F.to_json("_metadata"), F.lit("{}")),
     }
     event = F.struct(*[typed.get(name, _text(name)).alias(name) for name in c.BUSINESS_COLUMNS])
-    return found.withColumn("plain", computed_once(F.when(whole, event))).drop("_f", "_metadata", "_ts", "_given")
+    return found.withColumn("plain", computed_once(F.when(whole, event))).drop("_f", "_kept", "_metadata", "_taken", "_ts", "_given")
 
 
 def _text(name: str) -> Column:
@@ -180,7 +209,8 @@ def _time_bounds() -> tuple[Column, Column]:
 
 def validate_events(raw: DataFrame) -> DataFrame:
     """Archive rows plus `validation`: struct<event, error_code, error_detail>."""
-    text = F.regexp_replace(F.col("raw_payload").cast("string"), "^﻿", "")
+    payload = F.col("raw_payload").cast("string")
+    text = F.when(payload.startswith("\ufeff"), F.expr("substring(cast(raw_payload as string), 2)")).otherwise(payload)
     # Texts of accepted plain records are NULL from here on, so that the parses below skip them.
     staged = _plain_events(raw.withColumn("_text", text)).withColumn(
         "_text", F.when(F.col("plain").isNull(), F.col("_text"))
@@ -196,11 +226,11 @@ def validate_events(raw: DataFrame) -> DataFrame:
         *raw.columns,
         "plain",
         (
-            F.is_valid_utf8(F.col("raw_payload").cast("string"))
-            & F.col("_wrapped").isNotNull()
+            F.col("_wrapped").isNotNull()
             & F.col("_listed").isNotNull()
             & single
             & (F.length(F.trim("_text")) > 0)
+            & F.is_valid_utf8(F.col("raw_payload").cast("string"))
         ).alias("is_json"),
         F.expr("schema_of_variant(try_variant_get(_wrapped, '$.r', 'variant'))")
         .startswith("OBJECT")
@@ -211,9 +241,9 @@ def validate_events(raw: DataFrame) -> DataFrame:
     # Structs that are NULL for accepted plain records, whose fields are then never computed.
     other = F.col("plain").isNull()
     kinds = [F.schema_of_variant(_field(name)).alias(name) for name in c.PAYLOAD_FIELDS]
-    staged = staged.withColumn("kinds", F.when(other, F.struct(*kinds)))
+    staged = staged.withColumn("kinds", F.when(other, _apart(F.struct(*kinds))))
     texts = [F.when(_kind(name) == "STRING", _field(name).cast("string")).alias(name) for name in c.PAYLOAD_FIELDS]
-    staged = staged.withColumn("texts", F.when(other, F.struct(*texts)))
+    staged = staged.withColumn("texts", F.when(other, _apart(F.struct(*texts))))
     values = [
         _instant(_string("timestamp")).alias("ts"),
         _amount_text().alias("amount"),
@@ -239,6 +269,11 @@ def validate_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def _apart(value: Column) -> Column:
+    """The same value, kept out of the fused stage method: one of more than 8,000 bytes is never compiled."""
+    return F.get(F.filter(F.array(value), lambda _: F.lit(True)), 0)
+
+
 def _verdict() -> Column:
     kind = _string("event_type")
     type_ok = F.coalesce(kind.isin(*c.EVENT_TYPES), F.lit(False))

@@ -192,3 +192,29 @@ def test_classifier_reports_every_code_in_order(spark):
     assert [told[n]["is_valid"] for n in range(6)] == [not e for _, e in cases[:6]]
     # A lambda would have all conditions inside it interpreted.
     assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stage_methods_are_small_enough_to_be_compiled(spark, tmp_path):
+    spark.createDataFrame([], RAW_SCHEMA).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.schema(RAW_SCHEMA).parquet(str(tmp_path / "raw"))
+    plan = accepted_events(validate_events(raw))._jdf.queryExecution().executedPlan()
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert len(sizes) > 2 and max(sizes) < 8000, sizes
+
+
+def test_a_second_key_is_seen_whatever_the_record_leaves(spark, tmp_path):
+    body = (
+        b'{"schema_version":1,"event_id":"00000000-0000-4000-a000-000000000001","event_type":"payment_failed",'
+        b'"timestamp":"2026-09-08T10:00:00Z","customer_id":"c","order_id":"o","product_id":"p","amount":%b,'
+        b'"payment_provider":"stripe","region":"us-east","status":"failed","metadata":%b}'
+    )
+    plain = body % (b"100000000.10", b'{"k":":x"}')
+    payloads = [plain, plain.replace(b":", b": ").replace(b",", b", "), body % (b"0,\"amount\":0", b"{}"), body % (b"1.50", b'{"k":-0}')]
+    payloads += [body % (b"1", meta) for meta in (b'{"a":1,"a":1}', b'{"b":1, "a":"/"}', b'{"\xff":1}', b'{"\xc3\xa9":1}')]
+    payloads += [b"\xef\xbb\xbf" + plain, b"\xef\xbb\xbf" + plain[:-1], plain + b"}"]
+    spark.createDataFrame([("t", 0, i, NOW, None, p, NOW, NOW.date()) for i, p in enumerate(payloads)], RAW_SCHEMA).write.parquet(str(tmp_path / "raw"))
+    rows = validate_events(spark.read.schema(RAW_SCHEMA).parquet(str(tmp_path / "raw"))).orderBy("source_offset").collect()
+    got = [r["validation"]["error_code"] or r["validation"]["event"]["metadata"] for r in rows]
+    bad = "malformed_json"
+    assert got[:1] == ['{"k":":x"}'] and got[2:] == [bad, '{"k":0}', bad, '{"a":"/","b":1}', bad, '{"é":1}', '{"k":":x"}', bad, bad], got
