@@ -11,6 +11,7 @@ from cargolume.catalog import QUERIES
 from cargolume.contract import EVENT_SCHEMA
 from cargolume.operators import merge
 from cargolume.operators.merge import stage_identity
+from cargolume.sources.derived_log import envelope_log
 from cargolume.streaming import keyindex, ledger, sinks
 
 T0 = datetime(2026, 9, 8, 10, tzinfo=UTC)
@@ -200,3 +201,28 @@ def test_nine_batches_validate_once(spark, monkeypatch):
     QUERIES["indexed_keys"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 9
     assert not any("parse_json" in frame._jdf.queryExecution().toString().lower() for frame in seen)
+
+
+@pytest.mark.parametrize("name", ["batch_ledger_commit", "replay_after_crash", "interleaved_writers"])
+def test_batches_of_the_same_rows_validate_once(spark, monkeypatch, name):
+    seen, plain = [], sinks.EventStore.write_batch
+    monkeypatch.setattr(sinks.EventStore, "write_batch", lambda self, frame, *more: seen.append(frame) or plain(self, frame, *more))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    batch = [frame for frame in seen if "parse_json" in frame._jdf.queryExecution().toString().lower()]
+    assert len(seen) >= 2 and len(batch) == 0
+
+
+def test_both_batches_classify_once(spark, monkeypatch):
+    seen, plain = [], sinks.write_event_batch_a
+    monkeypatch.setattr(sinks, "write_event_batch_a", lambda frame, *more: seen.append(frame) or plain(frame, *more))
+    assert QUERIES["write_event_batch_a"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and not any("from_json" in frame._jdf.queryExecution().toString().lower() for frame in seen)
+
+
+def test_a_run_has_few_folders(spark, tmp_path):
+    keys = spark.range(200_000).selectExpr("string(id) event_id", "'t' source_topic", "0 source_partition", "id source_offset")
+    assert keyindex.write_run(keys, 200_000, str(tmp_path))["prefixes"] <= 4
+
+
+def test_broker_records_are_made_by_all_cores(spark):
+    assert envelope_log(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
