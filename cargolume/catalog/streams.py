@@ -50,6 +50,12 @@ def raw_layer(spark, sf):
     return layout, query_
 
 
+def accepted_once(spark, layout):
+    """Accepted rows of the raw archive, validated once and stored for all batches that hold them."""
+    accepted = accepted_events(validate_events(spark.read.schema(RAW_SCHEMA).parquet(layout.raw)))
+    return sinks.numbered(accepted, scratch_dir(spark, "accepted")).drop("_row")
+
+
 def store(spark, sf, files_per_trigger=1000):
     """Raw archive and event store after one complete run."""
     layout, _ = raw_layer(spark, sf)
@@ -152,8 +158,7 @@ def _(spark, sf):
     ledger = kept.manifests().agg(
         F.sum("row_count").alias("rows"), F.max_by(F.struct("query_id", "batch_id", "row_count"), "batch_id").alias("last")
     ).first()
-    raw = spark.read.schema(RAW_SCHEMA).parquet(layout.raw)
-    rows = accepted_events(validate_events(raw))
+    rows = accepted_once(spark, layout)
     again = kept.write_batch(rows, ledger["last"]["batch_id"], ledger["last"]["query_id"])
     other = kept.write_batch(rows, 0, "second-query")
     return kept.read_committed("cleaned").agg(F.count("*").alias("stored_rows")).select(
